@@ -174,6 +174,10 @@ def mentions(rows: DataFrame, targets: list[Target], handlers: DataFrame | None
     )
 
 
+def _field(name: str):
+    return lambda item: item[name]
+
+
 def chunked(rows: DataFrame) -> DataFrame:
     """Rows (group key, ``position``) with ``part_index`` of 20 records each."""
     numbered = positions(rows, GROUP_KEY, ["position", "anomaly_id"], "__i")
@@ -236,7 +240,7 @@ def group_messages(
     url = F.concat(F.lit(f"{base}/#anomaly-groups/"), F.col("run_id"))
     group = {c: F.col(c) for c in ("rule_name", "detected_at", "scanned_rows", "matched_rows", "new_anomalies")}
     if template:
-        lists = {n: F.transform("items", lambda item, i=i: item[f"v{i}"]) for i, n in enumerate(names)}
+        lists = {n: F.transform("items", _field(f"v{i}")) for i, n in enumerate(names)}
         lists = {n: F.coalesce(v, F.array().cast("array<string>")) for n, v in lists.items()}
         lines = render_group_lines(template, lists, url)
     else:
