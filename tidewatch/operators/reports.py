@@ -255,42 +255,45 @@ def group_member_records(members: DataFrame, records: DataFrame, rule_id: str, d
 
 
 def record_details(
-    ids: DataFrame, events: DataFrame, notifications: DataFrame, requests: DataFrame, jobs: DataFrame,
+    anomaly_id: str, events: DataFrame, notifications: DataFrame, requests: DataFrame, jobs: DataFrame,
     members: DataFrame, broadcasts: DataFrame, submissions: DataFrame,
 ) -> DataFrame:
-    """Everything attached to the given records (``anomaly_id``), as sorted-by-key rows.
+    """Everything attached to one record: its own children and its groups' jobs.
 
     One row per child: ``section``, ``sort_at``, ``sort_id`` and a JSON ``body``.
     Children stay rows rather than nested lists, so a record with very many of
     them is still spread over tasks.
     """
-    wanted = ids.select("anomaly_id").distinct()
+    mine = F.col("anomaly_id") == anomaly_id
 
     def section(name: str, rows: DataFrame, at: str | None, sort_id: str, columns: list[str]) -> DataFrame:
         when = F.col(at) if at else F.lit(None)
-        return rows.join(wanted, "anomaly_id", "left_semi").select(
-            "anomaly_id", F.lit(name).alias("section"), when.cast("timestamp_ntz").alias("sort_at"),
+        return rows.select(
+            F.lit(name).alias("section"), when.cast("timestamp_ntz").alias("sort_at"),
             F.col(sort_id).cast("string").alias("sort_id"), F.to_json(F.struct(*columns)).alias("body"),
         )
 
-    shared = (
-        members.join(wanted, "anomaly_id", "left_semi")
-        .select("anomaly_id", *GROUP_KEY)
-        .join(broadcasts.select(F.col("id").alias("delivery_id"), *GROUP_KEY), GROUP_KEY)
-        .select("anomaly_id", "delivery_id")
-        .join(jobs.filter(F.col("kind") == "group_broadcast").drop("anomaly_id"), "delivery_id")
-    )
-    own = jobs.filter(F.col("anomaly_id").isNotNull())
+    groups = members.filter(mine).select(*GROUP_KEY).distinct()
+    shared = broadcasts.join(groups, GROUP_KEY, "left_semi").select(F.col("id").alias("delivery_id"))
+    group_jobs = jobs.filter(F.col("kind") == "group_broadcast").join(shared, "delivery_id", "left_semi")
     job_columns = ["id", "kind", "status", "publish_attempts", "dispatch_attempts"]
-    all_jobs = own.select("anomaly_id", "created_at", *job_columns).unionByName(
-        shared.select("anomaly_id", "created_at", *job_columns)
-    )
+    kept = ["created_at", *job_columns]
+    all_jobs = jobs.filter(mine).select(*kept).unionByName(group_jobs.select(*kept)).distinct()
     return (
-        section("timeline", events, "created_at", "event_type", ["event_type", "description"])
-        .unionByName(section("delivery", notifications, None, "id", ["receive_id_type", "recipient", "status", "attempts"]))
-        .unionByName(section("request", requests, None, "id", ["recipient_user_id", "delivery_status", "delivery_attempts"]))
+        section("timeline", events.filter(mine), "created_at", "event_type", ["event_type", "description"])
+        .unionByName(
+            section("delivery", notifications.filter(mine), None, "id", ["receive_id_type", "recipient", "status", "attempts"])
+        )
+        .unionByName(
+            section("request", requests.filter(mine), None, "id", ["recipient_user_id", "delivery_status", "delivery_attempts"])
+        )
         .unionByName(section("job", all_jobs, "created_at", "id", job_columns))
-        .unionByName(section("submission", submissions, "submitted_at", "submitted_by_user_id", ["submitted_by_user_id", "submitted_text", "result"]))
+        .unionByName(
+            section(
+                "submission", submissions.filter(mine), "submitted_at", "submitted_by_user_id",
+                ["submitted_by_user_id", "submitted_text", "result"],
+            )
+        )
     )
 
 

@@ -224,19 +224,16 @@ def r17(spark, sf):
 
 
 @query(
-    "r18_record_details",
+    "r18_record_detail",
     ctes("records", "jobs", "members", "notifications", "requests", "broadcasts")
-    + """, ids AS (SELECT id AS anomaly_id FROM records WHERE severity = 'high' AND status = 'processing'),
-        shared AS (SELECT m.anomaly_id, b.id AS delivery_id FROM members m JOIN ids USING (anomaly_id) JOIN broadcasts b ON b.rule_id = m.rule_id AND b.detected_at = m.detected_at)
-        SELECT anomaly_id, section, count(*) AS n FROM (
-          SELECT anomaly_id, 'timeline' AS section FROM ids UNION ALL SELECT anomaly_id, 'delivery' FROM notifications JOIN ids USING (anomaly_id)
-          UNION ALL SELECT anomaly_id, 'request' FROM requests JOIN ids USING (anomaly_id) UNION ALL SELECT anomaly_id, 'job' FROM jobs JOIN ids USING (anomaly_id)
-          UNION ALL SELECT s.anomaly_id, 'job' FROM shared s JOIN jobs j ON j.kind = 'group_broadcast' AND j.delivery_id = s.delivery_id
-          UNION ALL SELECT anomaly_id, 'submission' FROM ids) GROUP BY 1, 2""",
+    + """, grp AS (SELECT DISTINCT rule_id, detected_at FROM members WHERE anomaly_id = 'a2'), shared AS (SELECT id FROM broadcasts JOIN grp USING (rule_id, detected_at))
+        SELECT 'timeline' AS section, 'detected' AS sort_id, CAST(first_seen_at AS VARCHAR) AS sort_at FROM records WHERE id = 'a2'
+        UNION ALL SELECT 'delivery', id, NULL FROM notifications WHERE anomaly_id = 'a2' UNION ALL SELECT 'request', id, NULL FROM requests WHERE anomaly_id = 'a2'
+        UNION ALL SELECT 'job', id, CAST(created_at AS VARCHAR) FROM jobs WHERE anomaly_id = 'a2' OR (kind = 'group_broadcast' AND delivery_id IN (SELECT id FROM shared))
+        UNION ALL SELECT 'submission', 'u1', CAST(last_seen_at AS VARCHAR) FROM records WHERE id = 'a2'""",
 )
 def r18(spark, sf):
     records = record_frame(spark, sf)
-    ids = records.filter("severity = 'high' AND status = 'processing'").select(F.col("id").alias("anomaly_id"))
     log = records.select(
         F.col("id").alias("anomaly_id"), F.lit("detected").alias("event_type"), F.lit("x").alias("description"), F.col("first_seen_at").alias("created_at")
     )
@@ -245,10 +242,10 @@ def r18(spark, sf):
         F.col("last_seen_at").alias("submitted_at"),
     )
     out = R.record_details(
-        ids, log, frame(spark, sf, "notifications"), frame(spark, sf, "requests"), frame(spark, sf, "jobs"), frame(spark, sf, "members"),
+        "a2", log, frame(spark, sf, "notifications"), frame(spark, sf, "requests"), frame(spark, sf, "jobs"), frame(spark, sf, "members"),
         frame(spark, sf, "broadcasts"), texts,
     )
-    return out.groupBy("anomaly_id", "section").agg(F.count("*").alias("n"))
+    return out.select("section", "sort_id", F.col("sort_at").cast("string").alias("sort_at"))
 
 
 @query(

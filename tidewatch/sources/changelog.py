@@ -27,12 +27,12 @@ def raw_kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets:
     )
 
 
-def raw_file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The same columns from a folder of JSON files, for tests and replays."""
+def raw_file_stream(spark: SparkSession, path: str, max_files: int | None = None, fmt: str = "json") -> DataFrame:
+    """The same columns from a folder of files, for tests and replays."""
     reader = spark.readStream.schema(RAW_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return reader.format(fmt).load(path)
 
 
 def parse_changes(raw: DataFrame, row_type: str = ORDER_ROW) -> DataFrame:

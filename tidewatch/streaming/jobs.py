@@ -22,6 +22,7 @@ from tidewatch.streaming.warehouse import (
     ods_rows,
     signed_deltas,
 )
+from tidewatch.streaming.windows import streaming_windows
 
 # Group keys of the three metric tables.
 STORE_KEYS = ["run_id", "store_id"]
@@ -113,3 +114,9 @@ def newest_totals(target: BatchTable, keys: list[str]) -> DataFrame:
     body = F.struct("order_count", "priced_count", "amount_sum")
     newest = target.read().groupBy(*keys).agg(F.max_by(body, F.col("batch_id")).alias("b"))
     return newest.select(*keys, "b.*")
+
+
+def start_windows(deltas: DataFrame, target: BatchTable, checkpoint: str, interval: str | None = None, shop: str = "shop_id") -> StreamingQuery:
+    """Closed sliding windows, each written once when the watermark passes it."""
+    target.refuse_fresh_checkpoint(checkpoint)
+    return run_stream(streaming_windows(deltas, shop), checkpoint, target.write, interval)
