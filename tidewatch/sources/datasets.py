@@ -38,7 +38,7 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         raise NotReadOnly(f"cannot parse the query: {error}") from error
     for_name = spark._jvm.java.lang.Class.forName
     refused = [for_name(_LOGICAL + "Command"), for_name(_LOGICAL + "ParsedStatement")]
-    if plan.getClass().getSimpleName() in ("UnresolvedInlineTable", "UnresolvedRelation"):
+    if plan.getClass().getSimpleName() in ("UnresolvedInlineTable", "LocalRelation", "UnresolvedRelation"):
         raise NotReadOnly("only SELECT or WITH queries are allowed")
     nodes = [plan]
     while nodes:
