@@ -154,4 +154,4 @@ def test_backfills(spark):
     )
     got = {r.anomaly_id: r.timeout_notified_at for r in L.fill_notified_at(members, groups).collect()}
     assert got == {"a": T, "b": datetime(2026, 1, 1)}
-    assert lookup(members, groups, ["rule_id", "detected_at"], ["timeout_processed_at"]).count() == 2
+    assert lookup(members, groups, ["rule_id", "detected_at"], ["timeout_processed_at"], ["anomaly_id"]).count() == 2

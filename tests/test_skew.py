@@ -63,7 +63,7 @@ def test_previous_row_across_slices(spark):
 def test_lookup_keeps_all_rows_of_hot_and_null_keys(spark):
     rows, df = skewed(spark)
     dim = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, x int")
-    out = lookup(df, dim, ["k"], ["x"]).groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("x")).collect()
+    out = lookup(df, dim, ["k"], ["x"], ["i"]).groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("x")).collect()
     want = {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
     assert {r.k: r.n for r in out} == want
     assert {r.k: r.x for r in out} == {"hot": 1, "a": 2, "b": None, "c": None, None: None}

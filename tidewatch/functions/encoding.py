@@ -48,17 +48,14 @@ def encode_operations(rows: DataFrame, has_primary_key: bool = True, ignore_upda
 
 def change_rows(changes: DataFrame) -> DataFrame:
     """Change events as rows with their kind, both images of an update included."""
-    parts = F.array(
-        F.when(F.col("op").isin("c", "r"), F.struct(F.lit("insert").alias("row_kind"), F.col("after").alias("row"))),
-        F.when(F.col("op") == "u", F.struct(F.lit("update_before").alias("row_kind"), F.col("before").alias("row"))),
-        F.when(F.col("op") == "u", F.struct(F.lit("update_after").alias("row_kind"), F.col("after").alias("row"))),
-        F.when(F.col("op") == "d", F.struct(F.lit("delete").alias("row_kind"), F.col("before").alias("row"))),
-    )
     others = [F.col(f"`{c}`") for c in changes.columns if c not in ("op", "before", "after")]
-    present = F.filter(parts, lambda part: part.isNotNull())
-    return changes.select(*others, F.posexplode(present).alias("step", "part")).select(
-        *others, "step", "part.row_kind", "part.row.*"
-    )
+    op, step = F.col("op"), F.col("step")
+    steps = F.when(op == "u", F.array(F.lit(0), F.lit(1))).when(op.isin("c", "r", "d"), F.array(F.lit(0)))
+    spread = changes.select(*others, "op", "before", "after", F.explode(steps).alias("step"))
+    old = (op == "d") | ((op == "u") & (step == 0))
+    kind = F.when(op.isin("c", "r"), "insert").when(op == "d", "delete").when(step == 0, "update_before").otherwise("update_after")
+    row = F.when(old, F.col("before")).otherwise(F.col("after"))
+    return spread.select(*others, "step", kind.alias("row_kind"), row.alias("row")).select(*others, "step", "row_kind", "row.*")
 
 
 def key_change_rows(changes: DataFrame, key: str) -> DataFrame:

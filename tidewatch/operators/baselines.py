@@ -63,7 +63,7 @@ def attach_baselines(
     names = [baseline_name(f, b) for f, b in wanted]
     daily = _daily(dated, fields, entity, order_by)
     history = _history(daily, wanted, entity).select(*[f"`{e}`" for e in entity], DAY, "__rows", *names)
-    return attach(dated, history, [*entity, DAY], "__rows", names).drop(DAY)
+    return attach(dated, history, [*entity, DAY], "__rows", names, order_by).drop(DAY)
 
 
 def _daily(dated: DataFrame, fields: list[str], entity: list[str], order_by: list[str]) -> DataFrame:

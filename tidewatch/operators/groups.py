@@ -66,7 +66,7 @@ def unique_times(runs: DataFrame) -> DataFrame:
     starts = running(offset, ["rule_id"], ["__us"], {"__max": ("max", F.col("__gap"))}).select(
         "rule_id", "__us", "__n", (F.col("__before") + F.col("__max")).alias("__start")
     )
-    placed = attach(positions(micros, ["rule_id", "__us"], ["run_id"], "__pos"), starts, ["rule_id", "__us"], "__n", ["__start"])
+    placed = attach(positions(micros, ["rule_id", "__us"], ["run_id"], "__pos"), starts, ["rule_id", "__us"], "__n", ["__start"], ["run_id"])
     shifted = F.timestamp_micros(F.col("__start") + F.col("__pos")).cast("timestamp_ntz")
     return placed.withColumn("detected_at", shifted).select(*runs.columns)
 

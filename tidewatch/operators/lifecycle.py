@@ -177,7 +177,7 @@ def judge_submissions(records: DataFrame, requests: DataFrame, existing: DataFra
     pairs = submissions.groupBy("anomaly_id", "user_id").agg(F.count(F.lit(1)).alias("__n")).join(
         asked, ["anomaly_id", "user_id"], "left"
     )
-    per_user = attach(submissions.withColumn("text", text), pairs, ["anomaly_id", "user_id"], "__n", ["is_recipient"])
+    per_user = attach(submissions.withColumn("text", text), pairs, ["anomaly_id", "user_id"], "__n", ["is_recipient"], ["submission_id"])
     size = F.length("text")
     checked = per_user.withColumn(
         "problem",
@@ -197,11 +197,10 @@ def judge_submissions(records: DataFrame, requests: DataFrame, existing: DataFra
         .withColumn("__holder", F.coalesce("__holder", F.when(F.col("__open"), F.col("__win.user_id"))))
         .withColumn("__taken", F.col("__win.submission_id"))
         .withColumn("__known", F.col("status").isNotNull())
-        .withColumn("__fresh", F.col("__open") & ~F.col("anomaly_id").isNull())
     )
     existing_ids = existing.select("anomaly_id", F.lit(True).alias("__had")).distinct()
     state = state.join(existing_ids, "anomaly_id", "left")
-    joined = attach(checked, state, ["anomaly_id"], "__n", ["__known", "__open", "__had", "__holder", "__taken"])
+    joined = attach(checked, state, ["anomaly_id"], "__n", ["__known", "__open", "__had", "__holder", "__taken"], ["submission_id"])
     outcome = (
         F.when(F.col("problem") == "invalid_text", "invalid_text")
         .when(~F.coalesce("__known", F.lit(False)), "unknown_record")
@@ -262,7 +261,7 @@ def minutes_to_seconds(df: DataFrame, minutes: str, seconds: str) -> DataFrame:
 def fill_notified_at(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of already processed groups take the group's processing time."""
     done = groups.filter(F.col("timeout_processed_at").isNotNull()).select("rule_id", "detected_at", "timeout_processed_at")
-    found = lookup(members, done, ["rule_id", "detected_at"], ["timeout_processed_at"])
+    found = lookup(members, done, ["rule_id", "detected_at"], ["timeout_processed_at"], ["anomaly_id"])
     filled = F.coalesce("timeout_processed_at", "timeout_notified_at")
     return found.withColumn("timeout_notified_at", filled).select(*members.columns)
 

@@ -73,7 +73,9 @@ def _verdicts(check: DataFrame, parameters: list[str], condition: Condition) ->
     return single.select(*keys, reason.alias("reason"), F.when(F.col("__rows") == 1, actual).alias("actual"))
 
 
-def recheck(anomalies: DataFrame, check: DataFrame, parameters: dict[str, str], condition: Condition) -> DataFrame:
+def recheck(
+    anomalies: DataFrame, check: DataFrame, parameters: dict[str, str], condition: Condition, id_column: str = "id"
+) -> DataFrame:
     """Add ``reason``, ``passed`` and ``actual`` to each anomaly.
 
     ``parameters`` maps check columns to the anomalies' row fields; they are
@@ -90,7 +92,7 @@ def recheck(anomalies: DataFrame, check: DataFrame, parameters: dict[str, str],
         keys.append(f"__p{i}")
     wanted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     looked_up = wanted.join(verdicts, keys, "left")
-    joined = attach(keyed, looked_up, keys, "__n", ["reason", "actual"])
+    joined = attach(keyed, looked_up, keys, "__n", ["reason", "actual"], [id_column])
     return joined.select(
         *[F.col(f"`{c}`") for c in anomalies.columns],
         F.coalesce("reason", F.lit("no_rows")).alias("reason"),

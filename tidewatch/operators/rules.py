@@ -105,17 +105,14 @@ def evaluate(df: DataFrame, rule: Rule, order_by: list[str]) -> DataFrame:
     return out.withColumn("fingerprint", fingerprint(F.col("business_key")))
 
 
-def run_summary(scanned: DataFrame, matches: DataFrame, new_records: DataFrame, rule: Rule, run_id: str) -> DataFrame:
-    """The run's row: scanned, matched and new counts (each a distributed count)."""
+def run_summary(scanned: DataFrame, folded: DataFrame, new_records: DataFrame, rule: Rule, run_id: str) -> DataFrame:
+    """The run's row: rows scanned, rows matched (from the folded matches), records new."""
+    zero = F.lit(0).cast("bigint")
     counts = (
-        scanned.select(F.lit("scanned").alias("kind"))
-        .unionAll(matches.select(F.lit("matched").alias("kind")))
-        .unionAll(new_records.select(F.lit("new").alias("kind")))
-        .agg(
-            F.count_if(F.col("kind") == "scanned").alias("scanned_rows"),
-            F.count_if(F.col("kind") == "matched").alias("matched_rows"),
-            F.count_if(F.col("kind") == "new").alias("new_anomalies"),
-        )
+        scanned.agg(F.count(F.lit(1)).alias("scanned"), zero.alias("matched"), zero.alias("new"))
+        .unionAll(folded.agg(zero, F.coalesce(F.sum("run_hits"), zero), zero))
+        .unionAll(new_records.agg(zero, zero, F.count(F.lit(1))))
+        .agg(F.sum("scanned").alias("scanned_rows"), F.sum("matched").alias("matched_rows"), F.sum("new").alias("new_anomalies"))
     )
     return counts.select(
         F.lit(run_id).alias("run_id"),

@@ -12,37 +12,44 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialise
+
 # A key is heavy when it holds more than 1/HEAVY_SHARE of all rows, so there are
 # fewer than HEAVY_SHARE heavy keys however large the data is.
 HEAVY_SHARE = 1000
 SPLIT_SAMPLE = 4096
 
 
-def attach(fact: DataFrame, facts_by_key: DataFrame, keys: list[str], weight: str, values: list[str]) -> DataFrame:
+def attach(
+    fact: DataFrame, facts_by_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str]
+) -> DataFrame:
     """Left lookup of per-key values.
 
-    Keys are compared as structs, in which nulls equal nulls. ``facts_by_key`` has one row per key with the number of fact rows in
-    ``weight``. Heavy keys (fewer than ``HEAVY_SHARE`` by construction) are
-    broadcast; for the shuffled lookup their fact rows get a spread-out key that
-    matches nothing, so no task receives a heavy key's rows.
+    Keys are compared as structs, in which nulls equal nulls. ``facts_by_key``
+    has one row per key with the number of fact rows in ``weight``; it is written
+    out once, being read three times. Heavy keys (fewer than ``HEAVY_SHARE`` by
+    construction) are broadcast; for the other lookup their fact rows get a
+    spread-out key (a hash of the ``spread`` columns) that matches nothing, so no
+    task receives a heavy key's rows.
     """
-    total = facts_by_key.agg(F.sum(weight)).scalar()
-    heavy = facts_by_key.filter(F.col(weight) * HEAVY_SHARE > total).select(
-        F.struct(*keys).alias("__hk"), F.struct(*values).alias("__hv")
+    known = materialise(facts_by_key.select(*[F.col(f"`{k}`") for k in keys], weight, *values), "keys")
+    total = known.agg(F.sum(weight)).scalar()
+    heavy = known.filter(F.col(weight) * HEAVY_SHARE > total).select(
+        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__hk"), F.struct(*values).alias("__hv")
     )
-    light = facts_by_key.filter(F.col(weight) * HEAVY_SHARE <= total).select(
-        F.struct(*keys).alias("__lk"), F.lit(0).cast("long").alias("__ls"), F.struct(*values).alias("__lv")
+    light = known.filter(F.col(weight) * HEAVY_SHARE <= total).select(
+        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__lk"), F.lit(0).cast("long").alias("__ls"), F.struct(*values).alias("__lv")
     )
     key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
     marked = fact.withColumn("__fk", key).join(F.broadcast(heavy), F.col("__fk") == F.col("__hk"), "left")
-    spread = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(1 << 20))
-    marked = marked.withColumn("__fs", F.when(F.col("__hk").isNotNull(), spread).otherwise(F.lit(0).cast("long")))
+    away = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(1 << 20))
+    marked = marked.withColumn("__fs", F.when(F.col("__hk").isNotNull(), away).otherwise(F.lit(0).cast("long")))
     joined = marked.join(light, (F.col("__fs") == F.col("__ls")) & (F.col("__fk") == F.col("__lk")), "left")
     found = F.coalesce(F.col("__hv"), F.col("__lv"))
     return joined.select(*[F.col(f"`{c}`") for c in fact.columns], *[found[v].alias(v) for v in values])
 
 
-def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], values: list[str], spread: list[str]) -> DataFrame:
     """Left lookup in ``dim`` (one row per key) for facts whose keys may be skewed.
 
     The fact's keys are counted first (a mergeable count over the key columns
@@ -50,7 +57,7 @@ def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], values: list[str])
     """
     counted = fact.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__weight"))
     known = counted.join(dim.select(*keys, *values), keys, "left")
-    return attach(fact, known, keys, "__weight", values)
+    return attach(fact, known, keys, "__weight", values, spread)
 
 
 def _split_points(df: DataFrame, order: list[str], parts: int) -> list:

@@ -13,7 +13,7 @@ from tidewatch.operators.recheck import recheck, result_events, store_results
 from tidewatch.operators.rules import Rule, Target, evaluate
 from tidewatch.plans.derived import NOW, ctes, frame, record_frame
 from tidewatch.plans.registry import query
-from tidewatch.session import table
+from tidewatch.session import materialise, table
 
 ORDER = ["ts", "event_id"]
 KEYS = ["event_type", "user_id"]
@@ -34,8 +34,9 @@ def halves(spark, sf):
 
 
 def run(spark, records, df, run_id, now, rule=RULE):
-    folded = A.fold_matches(A.occurrence_keys(evaluate(df, rule, ORDER), rule, run_id, now, ORDER), ORDER)
-    return A.merge_matches(records, folded, rule, run_id, now), folded
+    """Folded matches and merged records of a run, both written out as a real run does."""
+    folded = materialise(A.fold_matches(A.occurrence_keys(evaluate(df, rule, ORDER), rule, run_id, now, ORDER), ORDER), "folded")
+    return materialise(A.merge_matches(records, folded, rule, run_id, now), "records"), folded
 
 
 def state(merged):

@@ -10,7 +10,7 @@ from tidewatch.operators.baselines import attach_baselines, baseline_name, day_o
 from tidewatch.operators.conditions import Condition
 from tidewatch.operators.rules import Rule, evaluate, run_summary
 from tidewatch.plans.registry import query
-from tidewatch.session import table
+from tidewatch.session import materialise, table
 
 C = Condition
 
@@ -254,9 +254,9 @@ def summary(spark, sf):
     df = lineitem(spark, sf)
     rule = Rule("bulk", [C("l_quantity", "gte", 45)], ["l_orderkey", "l_linenumber"])
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    matches = evaluate(df, rule, order)
-    merged = A.merge_matches(A.empty_records(spark), A.fold_matches(matches, order), rule, "run-1", "2024-01-01 00:00:00")
-    return run_summary(df, matches, merged.filter("is_new"), rule, "run-1").select(
+    folded = materialise(A.fold_matches(evaluate(df, rule, order), order), "folded")
+    merged = A.merge_matches(A.empty_records(spark), folded, rule, "run-1", "2024-01-01 00:00:00")
+    return run_summary(df, folded, merged.filter("is_new"), rule, "run-1").select(
         "run_id", "status", "scanned_rows", "matched_rows", "new_anomalies"
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import anomalies as A
 from tidewatch.operators import groups as G
 from tidewatch.operators.rules import Rule, evaluate, run_summary
+from tidewatch.session import materialise
 
 GROUP_SCHEMA = (
     "rule_id string, detected_at timestamp_ntz, run_id string, rule_name string, scanned_rows bigint, "
@@ -37,7 +38,7 @@ class State:
 
 @dataclass(frozen=True)
 class RunResult:
-    matches: DataFrame
+    folded: DataFrame
     records: DataFrame
     summary: DataFrame
     group: DataFrame
@@ -53,16 +54,17 @@ def run_rule(
     dataset: DataFrame, rule: Rule, order_by: list[str], state: State, run_id: str, now: datetime,
     generation: int = 1, base_url: str = "",
 ) -> RunResult:
-    """Evaluate, fold, merge, number and queue; nothing runs before a table is used.
+    """Evaluate, fold, merge, number and queue.
 
-    Writers should store ``records`` first and read the other tables' inputs back
-    from it; every id is derived, so a repeated run yields identical rows.
+    The dataset is evaluated once: the folded matches and the merged records are
+    written to the shared folder, and every other table is a lazy plan over
+    those two. All ids are derived, so a repeated run yields identical rows.
     """
     matches = A.occurrence_keys(evaluate(dataset, rule, order_by), rule, run_id, now, order_by)
-    folded = A.fold_matches(matches, order_by)
+    folded = materialise(A.fold_matches(matches, order_by), "folded")
     merged = A.merge_matches(state.records, folded, rule, run_id, now)
     fields = dataset.columns
-    merged = A.snapshot_validation(merged, rule, fields, F.col("is_new"))
+    merged = materialise(A.snapshot_validation(merged, rule, fields, F.col("is_new")), "records")
     created = A.new_with_rows(merged, folded)
     if rule.validation_enabled:
         wanted = A.validation_targets(created, rule.validation_targets)
@@ -71,7 +73,7 @@ def run_rule(
     requests = A.new_requests(wanted, state.requests, now)
     notifications = A.new_notifications(A.notification_targets(created, rule.notification_targets), wanted)
     records = merged.drop("is_new", "is_hit", "hit_fp")
-    summary = run_summary(dataset, matches, merged.filter("is_new"), rule, run_id)
+    summary = run_summary(dataset, folded, merged.filter("is_new"), rule, run_id)
     detected_at = G.unique_time(state.groups, rule.rule_id, now)
     members = G.group_members(merged, folded, rule, detected_at)
     group = G.group_row(summary, members, records, rule, detected_at)
@@ -80,4 +82,4 @@ def run_rule(
     if broadcasts is not None:
         jobs = jobs.unionByName(A.new_jobs(broadcasts, "group_broadcast", generation))
     events = A.detected_events(merged, now).unionByName(A.requested_events(requests, now))
-    return RunResult(matches, records, summary, group, members, events, requests, notifications, broadcasts, jobs)
+    return RunResult(folded, records, summary, group, members, events, requests, notifications, broadcasts, jobs)

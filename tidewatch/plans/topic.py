@@ -41,40 +41,26 @@ def order_row(status, bump: int):
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed change events in topic order."""
-    df = table(spark, sf, "events")
+    repeats, deletes = F.col("event_type") == "click", (F.col("event_type") == "view") & (F.col("user_id") % 2 == 0)
+    numbers = F.when(repeats, F.array(*map(F.lit, (0, 1, 2)))).when(deletes, F.array(*map(F.lit, (0, 1, 3)))).otherwise(
+        F.array(*map(F.lit, (0, 1)))
+    )
+    df = table(spark, sf, "events").withColumn("step", F.explode(numbers))
+    step = F.col("step")
     created = order_row(F.lit("CREATED"), 0)
     status = F.when(F.col("event_type") == "error", "CANCELLED").when(F.col("event_type") == "purchase", "COMPLETED").otherwise("PAID")
     updated = order_row(status, 1)
-
-    def step(op: str, number: int, before, after, pos: int, on=None):
-        body = F.struct(
-            F.lit(op).alias("op"), F.lit(number).alias("step"), F.lit(pos).alias("pos"),
-            (before if before is not None else F.when(F.lit(False), created)).alias("before"),
-            (after if after is not None else F.when(F.lit(False), created)).alias("after"),
-        )
-        return body if on is None else F.when(on, body)
-
-    steps = F.array(
-        step("c", 0, None, created, 0),
-        step("u", 1, created, updated, 1),
-        step("u", 2, created, updated, 1, F.col("event_type") == "click"),
-        step("d", 3, updated, None, 3, (F.col("event_type") == "view") & (F.col("user_id") % 2 == 0)),
-    )
-    offset = F.col("event_id") * 4
-    return (
-        df.withColumn("s", F.explode(F.filter(steps, lambda x: x.isNotNull())))
-        .select(
-            F.col("s.op").alias("op"),
-            (F.unix_millis(F.col("ts").cast("timestamp")) + F.col("s.step")).alias("ts_ms"),
-            F.col("s.before").alias("before"),
-            F.col("s.after").alias("after"),
-            F.struct(
-                F.lit(1).alias("server_id"), F.lit("log.000001").alias("file"), (offset + F.col("s.pos")).alias("pos"), F.lit(0).alias("row")
-            ).alias("source"),
-            (F.col("user_id") % 3).cast("int").alias("partition"),
-            (offset + F.col("s.step")).alias("offset"),
-            F.col("ts").cast("timestamp").alias("timestamp"),
-        )
+    millis, offset = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") * 4
+    position = offset + F.when(step == 2, 1).otherwise(step)
+    return df.select(
+        F.when(step == 0, "c").when(step == 3, "d").otherwise("u").alias("op"),
+        (millis + step).alias("ts_ms"),
+        F.when(step.isin(1, 2), created).when(step == 3, updated).alias("before"),
+        F.when(step == 0, created).when(step.isin(1, 2), updated).alias("after"),
+        F.struct(F.lit(1).alias("server_id"), F.lit("log.000001").alias("file"), position.alias("pos"), F.lit(0).alias("row")).alias("source"),
+        (F.col("user_id") % 3).cast("int").alias("partition"),
+        (offset + step).alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
     )
 
 

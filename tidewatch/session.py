@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,36 @@ def shared_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(fallback)
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
+
+
+SCRATCH_PREFIX = "tidewatch-scratch-"
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{shared_dir(spark)}/{SCRATCH_PREFIX}{uuid.uuid4().hex}"
+    return _SCRATCH[app]
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For small tables several later steps read (per-key summaries, folded
+    matches): the big input is scanned once, a lost executor costs only its own
+    tasks, and the written size is what join planning sees.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables once nothing reads them."""
+    path = _SCRATCH.pop(spark.sparkContext.applicationId, None)
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -15,10 +15,10 @@ MONEY = "decimal(18,2)"
 OPS = ("c", "u", "d", "r")
 
 
-def _scalar(payload: Column, path: str) -> Column:
+def _scalar(text: Column) -> Column:
     """A scalar JSON value as text; objects and arrays count as missing."""
-    text = F.get_json_object(payload, path)
-    return F.when(~F.coalesce(text.rlike(r"^\s*[\[{]"), F.lit(False)), text)
+    nested = text.startswith("{") | text.startswith("[")
+    return F.when(~F.coalesce(nested, F.lit(False)), text)
 
 
 def local_time(millis: Column, zone: str = ZONE) -> Column:
@@ -30,26 +30,27 @@ def local_time(millis: Column, zone: str = ZONE) -> Column:
 
 def ods_rows(raw: DataFrame, now: Column | None = None, zone: str = ZONE) -> DataFrame:
     """The event log: one row per raw record of a known operation."""
-    payload = F.col("value")
     at = now if now is not None else F.current_timestamp()
-    source_ts = _scalar(payload, "$.ts_ms").cast("bigint")
-    op = _scalar(payload, "$.op")
+    keys = "struct<id:string,run_id:string>"
+    event = F.from_json("value", f"op string, ts_ms string, before {keys}, after {keys}")
+    parsed = raw.select("*", event.alias("event"))
+    source_ts = _scalar(F.col("event.ts_ms")).cast("bigint")
 
     def either(name: str) -> Column:
-        return F.coalesce(_scalar(payload, f"$.after.{name}"), _scalar(payload, f"$.before.{name}"))
+        return F.coalesce(_scalar(F.col(f"event.after.{name}")), _scalar(F.col(f"event.before.{name}")))
 
-    return raw.filter(op.isin(*OPS)).select(
+    return parsed.filter(F.col("event.op").isin(*OPS)).select(
         local_time(F.floor(source_ts / 1000) * 1000, zone).cast("date").alias("event_date"),
         F.col("partition").alias("topic_partition"),
         F.col("offset").alias("topic_offset"),
-        op.alias("op"),
+        F.col("event.op").alias("op"),
         either("id").alias("order_id"),
         either("run_id").alias("run_id"),
         source_ts.alias("source_ts"),
         F.col("timestamp").alias("kafka_ts"),
         at.alias("processed_at"),
         F.greatest(F.lit(0).cast("bigint"), F.unix_timestamp(at) * 1000 - source_ts).alias("latency_ms"),
-        payload.alias("payload"),
+        F.col("value").alias("payload"),
     )
 
 
@@ -71,14 +72,11 @@ def drop_repeats(changes: DataFrame, key: str) -> DataFrame:
 
 def signed_deltas(changes: DataFrame) -> DataFrame:
     """Each change as rows to add (+1) or take away (-1)."""
-    removes = F.col("op").isin("u", "d") & F.col("before").isNotNull()
-    adds = F.col("op").isin("c", "r", "u") & F.col("after").isNotNull()
-    parts = F.array(
-        F.struct(F.lit(-1).alias("sign"), F.when(removes, F.col("before")).alias("row")),
-        F.struct(F.lit(1).alias("sign"), F.when(adds, F.col("after")).alias("row")),
-    )
-    kept = F.filter(parts, lambda part: part["row"].isNotNull())
-    return changes.select(F.explode(kept).alias("delta")).select("delta.sign", "delta.row.*")
+    both = changes.select("op", "before", "after", F.explode(F.array(F.lit(-1), F.lit(1))).alias("sign"))
+    removes = (F.col("sign") == -1) & F.col("op").isin("u", "d")
+    adds = (F.col("sign") == 1) & F.col("op").isin("c", "r", "u")
+    image = F.when(removes, F.col("before")).when(adds, F.col("after"))
+    return both.select("sign", image.alias("row")).filter(F.col("row").isNotNull()).select("sign", "row.*")
 
 
 def current_rows(changes: DataFrame, key: str, order: list[str], with_marks: bool = False) -> DataFrame:
