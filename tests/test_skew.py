@@ -67,3 +67,27 @@ def test_lookup_keeps_all_rows_of_hot_and_null_keys(spark):
     want = {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
     assert {r.k: r.n for r in out} == want
     assert {r.k: r.x for r in out} == {"hot": 1, "a": 2, "b": None, "c": None, None: None}
+
+
+def test_hot_key_is_not_gathered(spark):
+    """With shuffled joins forced, no partition holds the hot key's rows."""
+    rows, df = skewed(spark, 4000)
+    dim = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, x int")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = lookup(df, dim, ["k"], ["x"], ["i"]).withColumn("p", F.spark_partition_id())
+        sizes = {r.p: r.n for r in out.groupBy("p").agg(F.count("*").alias("n")).collect()}
+        assert out.filter("k = 'hot' and x = 1").count() == sum(r[0] == "hot" for r in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes.values()) < 0.25 * len(rows)
+
+
+def test_many_slices(spark):
+    rows, df = skewed(spark, 2000)
+    got = {r.i: r.p for r in positions(df, [], ["t", "i"], "p", parts=200).collect()}
+    assert [got[r[2]] for r in sorted(rows, key=lambda r: (r[1], r[2]))] == list(range(len(rows)))

@@ -19,7 +19,8 @@ from tidewatch.operators.messages import (
     text_node,
 )
 from tidewatch.operators.rules import Rule, Target
-from tidewatch.operators.skew import attach, positions, running
+from tidewatch.operators.skew import attach, lookup, positions, running
+from tidewatch.session import materialise
 
 GROUP_KEY = ["rule_id", "detected_at"]
 CHUNK = 20  # Fixed value: records per message.
@@ -335,21 +336,28 @@ def timeout_scan(
     state = records.select(
         F.col("id").alias("anomaly_id"), "status", "validation_deadline", "business_key", "row_details"
     )
+    open_groups = groups.filter(F.col("timeout_processed_at").isNull()).select(
+        *GROUP_KEY, "timeout_enabled", "timeout_webhook", F.lit(True).alias("is_open")
+    )
+    candidates = members.filter(F.col("is_new") & F.col("timeout_notified_at").isNull())
     waiting = (
-        members.filter(F.col("is_new") & F.col("timeout_notified_at").isNull())
+        lookup(candidates, open_groups, GROUP_KEY, ["timeout_enabled", "timeout_webhook", "is_open"], ["anomaly_id"])
+        .filter("is_open")
         .join(state, "anomaly_id")
-        .join(groups.filter(F.col("timeout_processed_at").isNull()).select(*GROUP_KEY, "timeout_enabled", "timeout_webhook"), GROUP_KEY)
     )
     is_due = (F.col("validation_deadline") <= at) & F.col("status").isin(*OPEN)
+    waiting = waiting.withColumn("is_due", F.coalesce(is_due, F.lit(False)))
     picked = (
-        waiting.filter(is_due)
+        waiting.filter("is_due")
         .groupBy(*GROUP_KEY)
         .agg(F.min("validation_deadline").alias("first_due"))
         .orderBy("first_due", *GROUP_KEY)
         .limit(limit)
     )
-    # at most ``limit`` rows, so the broadcast has a fixed size
-    due = waiting.filter(is_due).join(F.broadcast(picked.select(*GROUP_KEY)), GROUP_KEY, "left_semi")
+    # at most ``limit`` rows, so the broadcast has a fixed size; the cohort is
+    # written out once because every result below reads it
+    cohort = materialise(waiting.join(F.broadcast(picked.select(*GROUP_KEY)), GROUP_KEY, "left_semi"), "cohort")
+    due = cohort.filter("is_due")
     expired = due.filter(F.col("status") != "timed_out").select(F.col("anomaly_id").alias("id"))
     sends = F.col("timeout_enabled") & F.coalesce(F.col("timeout_webhook") != "", F.lit(False))
     notified = due.filter(sends)
@@ -368,14 +376,9 @@ def timeout_scan(
     handlers = _ordered_handlers(handlers)
     people = mentions(notified, extra_targets or [], handlers)
     # a member stops waiting once notified in this scan or resolved
-    told = F.coalesce(is_due & sends, F.lit(False))
-    remaining = (
-        waiting.join(F.broadcast(picked.select(*GROUP_KEY)), GROUP_KEY, "left_semi")
-        .groupBy(*GROUP_KEY)
-        .agg(
-            F.count_if((F.col("status") != "resolved") & ~told).alias("remaining"),
-            F.bool_or("timeout_enabled").alias("enabled"),
-        )
+    remaining = cohort.groupBy(*GROUP_KEY).agg(
+        F.count_if((F.col("status") != "resolved") & ~(F.col("is_due") & sends)).alias("remaining"),
+        F.bool_or("timeout_enabled").alias("enabled"),
     )
     closed = remaining.filter((F.col("remaining") == 0) | ~F.col("enabled")).select(*GROUP_KEY, at.alias("timeout_processed_at"))
     rows = notified.select(*GROUP_KEY, "position", "anomaly_id", F.lit("timed_out").alias("status"), "business_key", "row_details")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.values import backoff_seconds, derived_id, plus_seconds
 from tidewatch.operators.anomalies import OPEN, moment
+from tidewatch.operators.skew import lookup
 
 # Message version, attempt limits, leases and statuses.
 MESSAGE_VERSION = 1
@@ -178,19 +179,20 @@ def completed_status(kind: Column, delivery_status: Column) -> Column:
 
 
 def classify_messages(messages: DataFrame, jobs: DataFrame, states: DataFrame, generation: int, aborting: bool = False) -> DataFrame:
-    """What to do with each consumed message (``value`` JSON); batch or stream.
+    """What to do with each consumed message (``value`` JSON); a stream calls it per micro-batch.
 
     The tests apply in order: invalid, duplicate, paused, in progress,
-    duplicate, reconciled, dispatch.
+    duplicate, reconciled, dispatch. Jobs are looked up skew-safely, as one job's
+    message may be delivered any number of times.
     """
-    parsed = messages.withColumn(
-        "event", F.from_json("value", "version int, job_id string, generation int, kind string")
-    )
+    event = F.from_json("value", "version int, job_id string, generation int, kind string")
+    parsed = messages.withColumn("event", F.explode(F.array(event))).withColumn("job_id", F.col("event.job_id"))
     known = with_delivery(jobs, states).select(
         F.col("id").alias("job_id"), F.col("generation").alias("job_generation"), F.col("kind").alias("job_kind"),
         F.col("status").alias("job_status"), "cancel_requested", "delivery_status",
     )
-    joined = parsed.withColumn("job_id", F.col("event.job_id")).join(known, "job_id", "left")
+    found = ["job_generation", "job_kind", "job_status", "cancel_requested", "delivery_status"]
+    joined = lookup(parsed, known, ["job_id"], found, messages.columns)
     done = completed_status(F.col("job_kind"), F.col("delivery_status"))
     differs = (
         ~F.col("event.generation").eqNullSafe(F.col("job_generation"))

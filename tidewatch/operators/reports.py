@@ -305,8 +305,9 @@ def sources_in_use(sources: DataFrame, datasets: DataFrame, rules: DataFrame, re
     live = rules.filter(F.col("deleted_at").isNull())
     by_rule = named(live.filter(F.col("validation_method") == "sql"), "sql_validation_config")
     open_records = records.filter(F.col("status").isin(*OPEN) & (F.col("validation_method_snapshot") == "sql"))
-    open_records = open_records.join(live.select(F.col("id").alias("rule_id")), "rule_id", "left_semi")
-    by_record = named(open_records, "validation_config_snapshot")
+    # distinct (rule, source) pairs first: a rule with very many records joins as few rows
+    pairs = open_records.select("rule_id", "validation_config_snapshot").distinct()
+    by_record = named(pairs.join(live.select(F.col("id").alias("rule_id")), "rule_id", "left_semi"), "validation_config_snapshot")
     by_dataset = datasets.select(F.lower("datasource_id").alias("ref"))
     used = by_dataset.unionByName(by_rule).unionByName(by_record).filter(F.col("ref").isNotNull()).distinct()
     return sources.join(used, F.lower(F.col("id")) == F.col("ref"), "left_semi")

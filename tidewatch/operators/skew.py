@@ -17,7 +17,11 @@ from tidewatch.session import materialise
 # A key is heavy when it holds more than 1/HEAVY_SHARE of all rows, so there are
 # fewer than HEAVY_SHARE heavy keys however large the data is.
 HEAVY_SHARE = 1000
-SPLIT_SAMPLE = 4096
+
+# Ordered operations use at most MAX_SLICES value ranges, cut from a sample of
+# SAMPLE_PER_SLICE rows each: what reaches the driver has a fixed bound.
+MAX_SLICES = 4096
+SAMPLE_PER_SLICE = 16
 
 
 def attach(
@@ -38,13 +42,17 @@ def attach(
         F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__hk"), F.struct(*values).alias("__hv")
     )
     light = known.filter(F.col(weight) * HEAVY_SHARE <= total).select(
-        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__lk"), F.lit(0).cast("long").alias("__ls"), F.struct(*values).alias("__lv")
+        F.struct(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), F.lit(0).cast("long").alias("away")).alias("__lk"),
+        F.struct(*values).alias("__lv"),
     )
     key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
     marked = fact.withColumn("__fk", key).join(F.broadcast(heavy), F.col("__fk") == F.col("__hk"), "left")
     away = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(1 << 20))
-    marked = marked.withColumn("__fs", F.when(F.col("__hk").isNotNull(), away).otherwise(F.lit(0).cast("long")))
-    joined = marked.join(light, (F.col("__fs") == F.col("__ls")) & (F.col("__fk") == F.col("__lk")), "left")
+    # key and spread value are compared as one struct: as two columns the constant
+    # on the light side would be folded away and heavy rows would gather again
+    away = F.when(F.col("__hk").isNotNull(), away).otherwise(F.lit(0).cast("long"))
+    marked = marked.withColumn("__fs", F.struct(F.col("__fk").alias("key"), away.alias("away")))
+    joined = marked.join(light, F.col("__fs") == F.col("__lk"), "left")
     found = F.coalesce(F.col("__hv"), F.col("__lv"))
     return joined.select(*[F.col(f"`{c}`") for c in fact.columns], *[found[v].alias(v) for v in values])
 
@@ -67,7 +75,7 @@ def _split_points(df: DataFrame, order: list[str], parts: int) -> list:
         df.select(*keys)
         .withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in order]))
         .orderBy("__h", *order)
-        .limit(SPLIT_SAMPLE)
+        .limit(parts * SAMPLE_PER_SLICE)
         .drop("__h")
         .orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
         .collect()
@@ -92,7 +100,7 @@ def with_slices(df: DataFrame, order: list[str], parts: int | None = None) -> Da
     found in two short steps (coarse block, then position within it).
     """
     wanted = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _split_points(df, order, max(1, min(wanted, SPLIT_SAMPLE // 4)))
+    cuts = _split_points(df, order, max(1, min(wanted, MAX_SLICES)))
     if not cuts:
         return df.withColumn("__slice", F.lit(0))
     key = F.struct(*[F.col(f"`{c}`").alias(c) for c in order])

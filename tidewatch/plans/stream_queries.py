@@ -176,6 +176,10 @@ def d7_stream(spark, sf):
     messages(spark, sf).write.json(f"{root}/topic")
     stream = spark.readStream.schema("message bigint, value string").json(f"{root}/topic")
     out = BatchTable(spark, f"{root}/verdicts")
-    judged = O.classify_messages(stream, frame(spark, sf, "jobs"), states(spark, sf), GENERATION).select("message", "verdict")
-    finish(J.run_stream(judged, f"{root}/checkpoint", out.write))
+    jobs, known = frame(spark, sf, "jobs"), states(spark, sf)
+
+    def judge(batch, batch_id):
+        out.write(O.classify_messages(batch, jobs, known, GENERATION).select("message", "verdict"), batch_id)
+
+    finish(J.run_stream(stream, f"{root}/checkpoint", judge))
     return out.read().groupBy("verdict").agg(F.count("*").alias("n"))

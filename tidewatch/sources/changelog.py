@@ -38,8 +38,10 @@ def raw_file_stream(spark: SparkSession, path: str, max_files: int | None = None
 def parse_changes(raw: DataFrame, row_type: str = ORDER_ROW) -> DataFrame:
     """Change envelopes of raw records; malformed payloads fail the job."""
     envelope = f"op string, ts_ms bigint, before {row_type}, after {row_type}, source {SOURCE_ROW}"
-    parsed = raw.filter(F.col("value").isNotNull()).withColumn(
-        "event", F.from_json("value", envelope, {"mode": "FAILFAST"})
+    event = F.from_json("value", envelope, {"mode": "FAILFAST"})
+    # one-element explode: later filters stay above it, so a payload is parsed once
+    parsed = raw.filter(F.col("value").isNotNull()).select(
+        F.explode(F.array(event)).alias("event"), "partition", "offset", "timestamp"
     )
     return parsed.select("event.*", "partition", "offset", "timestamp")
 

@@ -33,7 +33,8 @@ def ods_rows(raw: DataFrame, now: Column | None = None, zone: str = ZONE) -> Dat
     at = now if now is not None else F.current_timestamp()
     keys = "struct<id:string,run_id:string>"
     event = F.from_json("value", f"op string, ts_ms string, before {keys}, after {keys}")
-    parsed = raw.select("*", event.alias("event"))
+    # one-element explode: the filter stays above it, so a payload is parsed once
+    parsed = raw.select("*", F.explode(F.array(event)).alias("event"))
     source_ts = _scalar(F.col("event.ts_ms")).cast("bigint")
 
     def either(name: str) -> Column:
@@ -86,15 +87,10 @@ def current_rows(changes: DataFrame, key: str, order: list[str], with_marks: boo
     ``with_marks`` keeps the deleted keys and the order of the last change.
     """
     key_value = F.coalesce(F.col(f"after.{key}"), F.col(f"before.{key}"))
-    position = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    last = (
-        changes.filter(F.col("op").isin(*OPS))
-        .groupBy(key_value.alias("__key"))
-        .agg(
-            F.max_by(F.struct(F.col("op"), F.col("after")), position).alias("__last"),
-            F.max(position).alias("__order"),
-        )
-    )
+    position = F.when(F.col("op").isin(*OPS), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    last = changes.groupBy(key_value.alias("__key")).agg(
+        F.max_by(F.struct(F.col("op"), F.col("after")), position).alias("__last"), F.max(position).alias("__order")
+    ).filter(F.col("__order").isNotNull())
     if with_marks:
         return last.select(
             F.col("__key").alias("key"), (F.col("__last.op") == "d").alias("deleted"),
