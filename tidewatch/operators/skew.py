@@ -115,11 +115,17 @@ def with_slices(df: DataFrame, order: list[str], parts: int | None = None) -> Da
     )
 
 
-def _same(keys: list[str], left: str, right: str) -> Column:
-    test = F.col(f"{left}.__slice") == F.col(f"{right}.__slice")
-    for k in keys:
-        test = test & F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
-    return test
+def _keyed(sliced: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``__key``: key columns and slice as one struct, in which nulls are equal.
+
+    Windows, summaries and joins all use it, so the rows are shuffled once.
+    """
+    return sliced.withColumn("__key", F.struct(*[F.col(f"`{k}`").alias(k) for k in keys], F.col("__slice")))
+
+
+def _slices_of(keys: list[str]):
+    """A key's slices in order."""
+    return Window.partitionBy(*([F.col(f"__key.`{k}`") for k in keys] or [F.lit(0)])).orderBy("__key.__slice")
 
 
 def running(
@@ -132,29 +138,25 @@ def running(
     summary row per (key, slice), of which a key has a bounded number.
     """
     fold = {"sum": F.sum, "max": F.max}
-    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}
-    sliced = with_slices(df, order, parts)
+    combine = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}
+    kinds = [kind for kind, _ in totals.values()]
+    sliced = _keyed(with_slices(df, order, parts), keys)
     for i, (_, expression) in enumerate(totals.values()):
         sliced = sliced.withColumn(f"__x{i}", expression)
-    inside = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = sliced.groupBy(*keys, "__slice").agg(
-        *[fold[kind](f"__x{i}").alias(f"__t{i}") for i, (kind, _) in enumerate(totals.values())]
-    )
+    inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _slices_of(keys).rowsBetween(Window.unboundedPreceding, -1)
+    summary = sliced.groupBy("__key").agg(*[fold[kind](f"__x{i}").alias(f"__t{i}") for i, kind in enumerate(kinds)])
     carried = summary.select(
-        *[F.col(f"`{k}`") for k in keys],
-        "__slice",
-        *[fold[kind](f"__t{i}").over(before).alias(f"__c{i}") for i, (kind, _) in enumerate(totals.values())],
+        F.col("__key").alias("__ck"), *[fold[kind](f"__t{i}").over(before).alias(f"__c{i}") for i, kind in enumerate(kinds)]
     )
     local = sliced
-    for i, (kind, _) in enumerate(totals.values()):
+    for i, kind in enumerate(kinds):
         local = local.withColumn(f"__l{i}", fold[kind](f"__x{i}").over(inside))
-    joined = local.alias("l").join(carried.alias("s"), _same(keys, "l", "s"), "inner")
+    joined = local.join(carried, F.col("__key") == F.col("__ck"))
     results = [
-        join[kind](F.col(f"l.__l{i}"), F.col(f"s.__c{i}")).alias(name)
-        for i, (name, (kind, _)) in enumerate(totals.items())
+        combine[kind](F.col(f"__l{i}"), F.col(f"__c{i}")).alias(name) for i, (name, kind) in enumerate(zip(totals, kinds))
     ]
-    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], *results)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *results)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
@@ -170,21 +172,17 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     the key's nearest earlier slice. ``has_prev`` tells a missing predecessor
     from one whose values are null.
     """
-    sliced = with_slices(df, order, parts)
+    sliced = _keyed(with_slices(df, order, parts), keys)
     carried = F.struct(*[F.col(f"`{v}`").alias(v) for v in values])
-    inside = Window.partitionBy(*keys, "__slice").orderBy(*order)
-    by_slice = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slice")
-    last = (
-        sliced.groupBy(*keys, "__slice")
-        .agg(F.max_by(carried, F.struct(*[F.col(f"`{c}`") for c in order])).alias("__last"))
-        .withColumn("__carry", F.lag("__last").over(by_slice))
-        .drop("__last")
+    inside = Window.partitionBy("__key").orderBy(*order)
+    last = sliced.groupBy("__key").agg(
+        F.max_by(carried, F.struct(*[F.col(f"`{c}`") for c in order])).alias("__last")
     )
-    local = sliced.withColumn("__prev", F.lag(carried).over(inside))
-    joined = local.alias("l").join(last.alias("s"), _same(keys, "l", "s"), "inner")
-    found = F.coalesce(F.col("l.__prev"), F.col("s.__carry"))
+    last = last.select(F.col("__key").alias("__ck"), F.lag("__last").over(_slices_of(keys)).alias("__carry"))
+    joined = sliced.withColumn("__prev", F.lag(carried).over(inside)).join(last, F.col("__key") == F.col("__ck"))
+    found = F.coalesce(F.col("__prev"), F.col("__carry"))
     return joined.select(
-        *[F.col(f"l.`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns],
         *[found[v].alias(f"{prefix}{v}") for v in values],
         found.isNotNull().alias("has_prev"),
     )
