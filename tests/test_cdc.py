@@ -156,3 +156,22 @@ def test_metrics_with_unknown_amounts(spark):
     df = spark.createDataFrame(rows, "run_id string, store_id string, amount string, status string")
     got = {r.store_id: (r.order_count, r.revenue, r.average_ticket) for r in W.group_metrics(df, ["run_id", "store_id"]).collect()}
     assert got == {"a": (2, Decimal("3.00"), Decimal("1.50")), "b": (1, Decimal("0.00"), None)}
+
+
+def test_folding_keeps_the_tables(spark, folder):
+    from tidewatch.plans import topic
+
+    sf = "/root/testdata/sf0.001"
+    topic.raw(spark, sf).repartition(3, "offset").write.parquet(f"{folder}/topic")
+    house = J.Warehouse(spark, f"{folder}/tables")
+    for query in J.start_warehouse(raw_file_stream(spark, f"{folder}/topic", max_files=1, fmt="parquet"), house, f"{folder}/checkpoints"):
+        query.awaitTermination()
+    assert len(house.table("dwd").batch_ids()) > 1
+
+    def contents():
+        tables = [house.current().drop("processed_at"), house.store_metrics(), house.minute_metrics(), house.run_metrics()]
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    before = contents()
+    house.fold()
+    assert contents() == before and all(before)

@@ -91,3 +91,33 @@ def test_many_slices(spark):
     rows, df = skewed(spark, 2000)
     got = {r.i: r.p for r in positions(df, [], ["t", "i"], "p", parts=200).collect()}
     assert [got[r[2]] for r in sorted(rows, key=lambda r: (r[1], r[2]))] == list(range(len(rows)))
+
+
+def test_order_with_nulls_and_times(spark):
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.2 else rng.randrange(30), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "t int, i int").selectExpr(
+        "timestamp_ntz'2026-03-29 00:30:00' + make_dt_interval(0, 0, t * 10) as n", "timestamp_seconds(1774744200 + t * 600) as z", "i"
+    )
+    want = [i for _, i in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1]))]
+    for zone in ("UTC", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for time in ("n", "z"):
+                out = positions(df, [], [time, "i"], "p", parts=20).select("i", "p").collect()
+                assert [r.i for r in sorted(out, key=lambda r: r.p)] == want
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_time_numbers_do_not_depend_on_the_zone(spark):
+    from tidewatch.functions.values import ntz_from_micros, ntz_micros
+
+    df = spark.sql("select timestamp_ntz'1969-12-31 23:59:59.999999' a, timestamp_ntz'2026-03-29 02:30:00.000001' b")
+    for zone in ("UTC", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = df.select(ntz_micros(df.a), ntz_micros(df.b), ntz_from_micros(ntz_micros(df.b)).cast("string")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert tuple(got) == (-1, 1774751400000001, "2026-03-29 02:30:00.000001")

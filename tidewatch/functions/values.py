@@ -133,6 +133,21 @@ def plus_seconds(moment: Column, seconds: Column) -> Column:
     return moment + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+def ntz_micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, independent of the session zone."""
+    days = F.unix_date(moment.cast("date")).cast("long")
+    minutes = F.hour(moment).cast("long") * 60 + F.minute(moment)
+    seconds = F.extract(F.lit("SECOND"), moment) * 1000000
+    return (days * 1440 + minutes) * 60000000 + seconds.cast("long")
+
+
+def ntz_from_micros(micros: Column) -> Column:
+    """The inverse of ``ntz_micros``."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return epoch + F.make_dt_interval(secs=seconds)
+
+
 def severity_rank(severity: Column) -> Column:
     # List order of the severities.
     return F.when(severity == "high", 3).when(severity == "medium", 2).when(severity == "low", 1).otherwise(0)

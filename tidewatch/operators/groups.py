@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.values import clean_text, derived_id
+from tidewatch.functions.values import clean_text, derived_id, ntz_from_micros, ntz_micros
 from tidewatch.operators.anomalies import OPEN, events, moment
 from tidewatch.operators.messages import (
     link_node,
@@ -58,7 +58,7 @@ def unique_times(runs: DataFrame) -> DataFrame:
     Runs of one rule that share a time form a cluster; a cluster starts at its
     own time or right after the clusters before it, which is a running maximum.
     """
-    micros = runs.withColumn("__us", F.unix_micros(F.col("detected_at").cast("timestamp")))
+    micros = runs.withColumn("__us", ntz_micros(F.col("detected_at")))
     clusters = micros.groupBy("rule_id", "__us").agg(F.count(F.lit(1)).alias("__n"))
     summed = running(clusters, ["rule_id"], ["__us"], {"__upto": ("sum", F.col("__n"))})
     offset = summed.withColumn("__before", F.col("__upto") - F.col("__n")).withColumn(
@@ -68,7 +68,7 @@ def unique_times(runs: DataFrame) -> DataFrame:
         "rule_id", "__us", "__n", (F.col("__before") + F.col("__max")).alias("__start")
     )
     placed = attach(positions(micros, ["rule_id", "__us"], ["run_id"], "__pos"), starts, ["rule_id", "__us"], "__n", ["__start"], ["run_id"])
-    shifted = F.timestamp_micros(F.col("__start") + F.col("__pos")).cast("timestamp_ntz")
+    shifted = ntz_from_micros(F.col("__start") + F.col("__pos"))
     return placed.withColumn("detected_at", shifted).select(*runs.columns)
 
 

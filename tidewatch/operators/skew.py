@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import materialise
 
@@ -68,16 +69,29 @@ def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], values: list[str],
     return attach(fact, known, keys, "__weight", values, spread)
 
 
+def _portable(column: Column, data_type: T.DataType) -> Column:
+    """A value that survives the way to the driver and back whatever the time zones."""
+    if isinstance(data_type, T.TimestampNTZType):
+        return column.cast("string")
+    return F.unix_micros(column) if isinstance(data_type, T.TimestampType) else column
+
+
+def _literal(value, data_type: T.DataType) -> Column:
+    if isinstance(data_type, T.TimestampType):
+        return F.timestamp_micros(F.lit(value).cast("long"))
+    return F.lit(value).cast(data_type)
+
+
 def _split_points(df: DataFrame, order: list[str], parts: int) -> list:
     """Ordered cut tuples from a fixed-size, repeatable sample (smallest hashes)."""
     keys = [F.col(f"`{c}`") for c in order]
     sample = (
         df.select(*keys)
-        .withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in order]))
-        .orderBy("__h", *order)
+        .withColumn("__h", F.xxhash64(*keys))
+        .orderBy("__h", *keys)
         .limit(parts * SAMPLE_PER_SLICE)
-        .drop("__h")
-        .orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
+        .orderBy(*[k.asc_nulls_first() for k in keys])
+        .select(*[_portable(k, df.schema[c].dataType).alias(c) for k, c in zip(keys, order)])
         .collect()
     )
     step = max(1, math.ceil(len(sample) / parts))
@@ -89,7 +103,7 @@ def _split_points(df: DataFrame, order: list[str], parts: int) -> list:
 
 
 def _cut_struct(row, df: DataFrame, order: list[str]) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(df.schema[name].dataType).alias(name) for i, name in enumerate(order)])
+    return F.struct(*[_literal(row[i], df.schema[name].dataType).alias(name) for i, name in enumerate(order)])
 
 
 def with_slices(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:

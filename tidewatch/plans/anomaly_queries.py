@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.values import canonical_json, fingerprint
+from tidewatch.functions.values import canonical_json, fingerprint, ntz_micros
 from tidewatch.operators import anomalies as A
 from tidewatch.operators import groups as G
 from tidewatch.operators import lifecycle as L
@@ -249,7 +249,7 @@ def a13(spark, sf):
         F.col("event_type").alias("rule_id"), F.col("event_id").cast("string").alias("run_id"),
         F.col("ts").cast("date").cast("timestamp_ntz").alias("detected_at"),
     )
-    return G.unique_times(runs).select("rule_id", "run_id", F.unix_micros(F.col("detected_at").cast("timestamp")).alias("at_us"))
+    return G.unique_times(runs).select("rule_id", "run_id", ntz_micros(F.col("detected_at")).alias("at_us"))
 
 
 @query(

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.values import ntz_micros
 from tidewatch.operators import outbox as O
 from tidewatch.plans import topic
 from tidewatch.plans.derived import GENERATION, frame
@@ -111,7 +112,7 @@ WINDOWS_SQL = """e AS (SELECT concat('S00', 1 + user_id % 4) AS shop_id, epoch_u
 def sales(events: DataFrame) -> DataFrame:
     return events.select(
         F.concat(F.lit("S00"), (1 + F.col("user_id") % 4).cast("string")).alias("shop_id"), F.lit(1).alias("sign"),
-        F.col("value").cast("decimal(12,2)").alias("amount"), F.col("ts").cast("timestamp").alias("event_time"),
+        F.col("value").cast("decimal(12,2)").alias("amount"), F.timestamp_micros(ntz_micros(F.col("ts"))).alias("event_time"),
     )
 
 

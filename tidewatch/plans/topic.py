@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.values import ntz_micros
 from tidewatch.session import table
 
 SHOPS_SQL = "(SELECT concat('S00', r_regionkey + 1) AS store_id FROM region)"
@@ -33,7 +34,7 @@ def order_row(status, bump: int):
         F.col("props").alias("items"),
         amount.cast("string").alias("amount"),
         status.alias("status"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("event_time"),
+        F.floor(ntz_micros(F.col("ts")) / 1000).alias("event_time"),
         null.alias("created_at"),
         null.alias("updated_at"),
     )
@@ -50,17 +51,17 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     created = order_row(F.lit("CREATED"), 0)
     status = F.when(F.col("event_type") == "error", "CANCELLED").when(F.col("event_type") == "purchase", "COMPLETED").otherwise("PAID")
     updated = order_row(status, 1)
-    millis, offset = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") * 4
+    micros, offset = ntz_micros(F.col("ts")), F.col("event_id") * 4
     position = offset + F.when(step == 2, 1).otherwise(step)
     return df.select(
         F.when(step == 0, "c").when(step == 3, "d").otherwise("u").alias("op"),
-        (millis + step).alias("ts_ms"),
+        (F.floor(micros / 1000) + step).alias("ts_ms"),
         F.when(step.isin(1, 2), created).when(step == 3, updated).alias("before"),
         F.when(step == 0, created).when(step.isin(1, 2), updated).alias("after"),
         F.struct(F.lit(1).alias("server_id"), F.lit("log.000001").alias("file"), position.alias("pos"), F.lit(0).alias("row")).alias("source"),
         (F.col("user_id") % 3).cast("int").alias("partition"),
         (offset + step).alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.timestamp_micros(micros).alias("timestamp"),
     )
 
 

@@ -30,6 +30,14 @@ MINUTE_KEYS = ["run_id", "metric_minute"]
 RUN_KEYS = ["run_id"]
 
 
+def newest_changes(changes: DataFrame) -> DataFrame:
+    """The newest change per key, deletes included."""
+    last = changes.groupBy("key").agg(
+        F.max_by(F.struct("deleted", "row"), F.col("order")).alias("last"), F.max("order").alias("order")
+    )
+    return last.select("key", "last.deleted", "last.row", "order")
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """The five target tables below one folder, and how to read them."""
@@ -46,9 +54,7 @@ class Warehouse:
 
     def current(self) -> DataFrame:
         """Current orders: the newest change per key over all batches."""
-        changes = self.table("dwd").read()
-        last = changes.groupBy("key").agg(F.max_by(F.struct("deleted", "row"), F.col("order")).alias("last"))
-        return dwd_rows(last.filter(~F.col("last.deleted")).select("last.row.*"))
+        return dwd_rows(newest_changes(self.table("dwd").read()).filter(~F.col("deleted")).select("row.*"))
 
     def store_metrics(self) -> DataFrame:
         return live_metrics(merge_totals(self.table("dws_store").read(), STORE_KEYS), STORE_KEYS)
@@ -59,6 +65,12 @@ class Warehouse:
     def run_metrics(self) -> DataFrame:
         return live_metrics(merge_totals(self.table("ads_run").read(), RUN_KEYS), RUN_KEYS)
 
+    def fold(self) -> None:
+        """Merge the keyed tables' batches; run between streams or as a regular job."""
+        self.table("dwd").fold(newest_changes)
+        for name, keys in (("dws_store", STORE_KEYS), ("dws_minute", MINUTE_KEYS), ("ads_run", RUN_KEYS)):
+            self.table(name).fold(lambda df, keys=keys: merge_totals(df, keys))
+
 
 def run_stream(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], interval: str | None = None, mode: str = "append") -> StreamingQuery:
     """Start a stream into a batch function: all available data, or every interval."""

@@ -8,7 +8,10 @@ never touches older data and costs only as much as the batch itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class BatchTable:
@@ -23,31 +26,55 @@ class BatchTable:
     def _folder(self, batch_id: int) -> str:
         return f"{self.path}/batch_id={batch_id}"
 
-    def is_committed(self, batch_id: int) -> bool:
-        fs, marker = self._file_system(f"{self._folder(batch_id)}/_SUCCESS")
+    def _has_marker(self, folder: str) -> bool:
+        fs, marker = self._file_system(f"{folder}/_SUCCESS")
         return fs.exists(marker)
 
-    def batch_ids(self) -> list[int]:
+    def _numbers(self, prefix: str) -> list[int]:
+        """Committed folders ``<prefix>=<n>``, in order."""
         fs, root = self._file_system(self.path)
         if not fs.exists(root):
             return []
         names = [status.getPath().getName() for status in fs.listStatus(root)]
-        ids = [int(name.split("=", 1)[1]) for name in names if name.startswith("batch_id=")]
-        return sorted(i for i in ids if self.is_committed(i))
+        found = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{prefix}="))
+        return [n for n in found if self._has_marker(f"{self.path}/{prefix}={n}")]
+
+    def batch_ids(self) -> list[int]:
+        return self._numbers("batch_id")
 
     def write(self, batch: DataFrame, batch_id: int) -> bool:
         """Write a batch unless it is already there; True when written."""
-        if self.is_committed(batch_id):
+        if self._has_marker(self._folder(batch_id)):
             return False
         batch.write.mode("overwrite").parquet(self._folder(batch_id))
         return True
 
     def read(self) -> DataFrame:
-        """All committed batches, with their ``batch_id``."""
-        folders = [self._folder(i) for i in self.batch_ids()]
-        if not folders:
+        """The newest folded part and all committed batches after it, with ``batch_id``."""
+        folded = self._numbers("folded")
+        upto = folded[-1] if folded else None
+        folders = [self._folder(i) for i in self.batch_ids() if upto is None or i > upto]
+        parts = []
+        if upto is not None:
+            parts.append(self.spark.read.parquet(f"{self.path}/folded={upto}").withColumn("batch_id", F.lit(upto)))
+        if folders:
+            parts.append(self.spark.read.option("basePath", self.path).parquet(*folders))
+        if not parts:
             raise LookupError(f"no committed batch in {self.path}")
-        return self.spark.read.option("basePath", self.path).parquet(*folders)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def fold(self, merge: Callable[[DataFrame], DataFrame]) -> int | None:
+        """Merge everything committed so far into one part, so reads stay short.
+
+        ``merge`` must give the same result on folded data as on the batches (a
+        mergeable summary). A part counts only once complete, and the batches
+        below it are merely no longer read.
+        """
+        ids = self.batch_ids()
+        if not ids:
+            return None
+        merge(self.read()).drop("batch_id").write.mode("overwrite").parquet(f"{self.path}/folded={ids[-1]}")
+        return ids[-1]
 
     def refuse_fresh_checkpoint(self, checkpoint: str) -> None:
         """A new checkpoint over a filled table would replay the source into it."""
