@@ -121,7 +121,7 @@ def w8(spark, sf):
 )
 def w9(spark, sf):
     clean = W.drop_repeats(parsed(spark, sf), "id")
-    spoiled = F.col("before").withField("amount", F.lit("0.00"))
+    spoiled = F.col("before").withField("amount", F.lit("-1.00"))
     wrong = (F.col("op") == "u") & (F.col("after.status").isin("PAID", "COMPLETED")) & F.col("before.amount").isNotNull()
     kind = table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("spoil_id"))
     marked = clean.join(kind, F.coalesce(F.col("after.id"), F.col("before.id")) == F.col("spoil_id"), "left")
