@@ -1,3 +1,3 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidewatch.llm import chat  # noqa: F401
+from tidewatch.llm import bpe, chat, tokencount  # noqa: F401
