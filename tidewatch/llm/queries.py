@@ -1,3 +1,3 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidewatch.llm import bpe, chat, decontam, langid, setjoin, tokencount  # noqa: F401
+from tidewatch.llm import bpe, chat, decontam, langid, pii, setjoin, tokencount  # noqa: F401
