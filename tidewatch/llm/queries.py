@@ -1,3 +1,3 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidewatch.llm import ann, bpe, chat, decontam, langid, pii, secrets, setjoin, tokencount  # noqa: F401
+from tidewatch.llm import ann, bpe, chat, decontam, langid, lm, pii, secrets, setjoin, tokencount  # noqa: F401
