@@ -39,10 +39,12 @@ def test_bulk_is_all_or_nothing(spark):
     def ids(*names):
         return spark.createDataFrame([(n,) for n in names], "id string")
 
-    with pytest.raises(LookupError):
-        L.bulk_transition(recs, ids("a", "zz"), "resolved", "admin", T)
-    with pytest.raises(ValueError):
+    with pytest.raises(L.MissingRecords) as missing:
+        L.bulk_transition(recs, ids("a", *[f"z{i}" for i in range(30)]), "resolved", "admin", T)
+    assert {r.id for r in missing.value.offenders.collect()} == {f"z{i}" for i in range(30)}
+    with pytest.raises(L.RefusedTransitions) as refused:
         L.bulk_transition(recs, ids("a", "b"), "processing", "admin", T)
+    assert [tuple(r) for r in refused.value.offenders.collect()] == [("b", "already_resolved")]
     after, decisions = L.bulk_transition(recs, ids("a", "a", "b"), "resolved", "admin", T)
     assert decisions.count() == 2
     assert {r.id: (r.status, r.resolved_by_user_id) for r in after.collect()} == {"a": ("resolved", "admin"), "b": ("resolved", None)}

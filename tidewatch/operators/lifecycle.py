@@ -95,11 +95,27 @@ def status_events(decisions: DataFrame, now) -> DataFrame:
     return events(changed, "status_changed", F.concat(F.lit("状态更新为 "), F.col("target_status")), now)
 
 
+class MissingRecords(LookupError):
+    """Ids without a record; ``offenders`` has all of them (id)."""
+
+    def __init__(self, offenders: DataFrame, count: int):
+        super().__init__(f"{count} records do not exist")
+        self.offenders = offenders
+
+
+class RefusedTransitions(ValueError):
+    """Moves that may not be made; ``offenders`` has all of them (id, reason)."""
+
+    def __init__(self, offenders: DataFrame, count: int):
+        super().__init__(f"{count} records may not change")
+        self.offenders = offenders
+
+
 def bulk_transition(records: DataFrame, ids: DataFrame, target_status: str, user_id: str, now) -> tuple[DataFrame, DataFrame]:
     """Move all ids or none: returns the new records and the decisions.
 
-    Repeated ids count once. Unknown ids or any rejected move raise before
-    anything changes; only a fixed-size excerpt of the offenders is fetched.
+    Repeated ids count once. Unknown ids or any rejected move raise before anything
+    changes; the error names every offender in a DataFrame.
     """
     wishes = ids.select("id").distinct().select(
         "id",
@@ -108,12 +124,13 @@ def bulk_transition(records: DataFrame, ids: DataFrame, target_status: str, user
         F.lit(user_id).alias("user_id"),
     )
     decisions = decide_transitions(records, wishes)
-    missing = [r[0] for r in decisions.filter(F.col("reason") == "missing_record").select("id").orderBy("id").limit(20).collect()]
-    if missing:
-        raise LookupError(f"records do not exist: {', '.join(missing)}")
-    refused = decisions.filter(F.col("outcome") == "rejected").select("id", "reason").orderBy("id").limit(20).collect()
-    if refused:
-        raise ValueError("; ".join(f"{r.id}: {r.reason}" for r in refused))
+    missing = F.col("reason") == "missing_record"
+    refused = F.col("outcome") == "rejected"
+    counts = decisions.agg(F.count_if(missing).alias("missing"), F.count_if(refused).alias("refused")).first()
+    if counts.missing:
+        raise MissingRecords(decisions.filter(missing).select("id"), counts.missing)
+    if counts.refused:
+        raise RefusedTransitions(decisions.filter(refused).select("id", "reason"), counts.refused)
     return apply_transitions(records, decisions, now), decisions
 
 

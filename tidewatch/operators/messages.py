@@ -28,7 +28,7 @@ STATUS_LABELS = {"pending": "待处理", "processing": "处理中", "timed_out":
 SEVERITY_LABELS = {"low": "低", "medium": "中", "high": "高"}
 SEVERITY_COLOURS = {"high": "red", "medium": "yellow", "low": "blue"}
 
-_LINK = re.compile(r"\[([^\]\r\n]+)\]\((\{[^{}]+\}|[^)\r\n]+)\)")
+_CUSTOM_TARGET = re.compile(r"https://[^/@\s?#]+([/?#]\S*)?")
 
 
 class TemplateError(ValueError):
@@ -84,36 +84,59 @@ def read_pieces(text: str) -> tuple[Piece, ...]:
     return tuple(pieces)
 
 
-def _links(text: str) -> list[re.Match]:
-    """Links of a text, with every ``[label](`` required to be a complete link."""
-    found = list(_LINK.finditer(text))
-    starts = {m.start() for m in found}
-    if any(m.start() not in starts for m in re.finditer(r"\[[^\]\r\n]+\]\(", text)):
-        raise TemplateError("incomplete link in template")
-    return found
+def read_nodes(line: str) -> tuple[Node, ...]:
+    """One pass over a line: links (``[label](target)``) and the text between them."""
+    nodes: list[Node] = []
+    text, rest = "", line
+    while rest:
+        before, bracket, rest = rest.partition("[")
+        text += before
+        if not bracket:
+            break
+        label, opened, after = rest.partition("](")
+        if not opened or not label or "]" in label:
+            text += bracket
+            continue
+        target, closed, rest = after.partition(")")
+        if not closed or not target:
+            raise TemplateError("incomplete link in template")
+        if text:
+            nodes.append(Node(read_pieces(text)))
+        nodes.append(Node(read_pieces(label), read_pieces(target)))
+        text = ""
+    if text or not nodes:
+        nodes.append(Node(read_pieces(text)))
+    return tuple(nodes)
+
 
+def label_text(node: Node) -> str:
+    """A link's label as written: parameters are not filled in."""
+    return "".join("{" + p.text + "}" if p.is_parameter else p.text for p in node.pieces)
 
-def _check(template: str, allowed: set[str], link_name: str) -> None:
+
+def _checked(template: str, allowed: set[str], link_name: str) -> list[tuple[Node, ...]]:
+    """Lines of a template whose parameters are known and whose links lead where they may."""
     if not template or not template.strip():
         raise TemplateError("a template must not be empty")
-    for piece in read_pieces(template):
-        if piece.is_parameter and piece.text not in allowed:
-            raise TemplateError(f"unknown template parameter: {piece.text}")
-    for link in _links(template):
-        target = link.group(2)
-        if target.startswith("{"):
-            if target != "{" + link_name + "}":
+    lines = [read_nodes(line) for line in template.splitlines()]
+    for node in (node for line in lines for node in line):
+        for piece in (*node.pieces, *(node.href or ())):
+            if piece.is_parameter and piece.text not in allowed:
+                raise TemplateError(f"unknown template parameter: {piece.text}")
+        if node.href and node.href[0].is_parameter:
+            if node.href != (Piece(link_name, True),):
                 raise TemplateError("a link may only target the system link parameter")
-        elif not re.fullmatch(r"https://[^/@\s?#]+([/?#]\S*)?", target):
+        elif node.href and not _CUSTOM_TARGET.fullmatch("".join(p.text for p in node.href)):
             raise TemplateError("a custom link must use https")
+    return lines
 
 
 def check_private_template(template: str, field_names: list[str]) -> None:
-    _check(template, {*field_names, RECORD_LINK}, RECORD_LINK)
+    _checked(template, {*field_names, RECORD_LINK}, RECORD_LINK)
 
 
 def check_group_template(template: str, field_names: list[str]) -> None:
-    _check(template, {GROUP_LINK, *[name + LIST_SUFFIX for name in field_names]}, GROUP_LINK)
+    read_lines(template, field_names)
 
 
 def escape_markdown(text: Column) -> Column:
@@ -148,22 +171,9 @@ def list_text(values: Column) -> Column:
     return F.array_join(distinct_values(values), LIST_JOINER)
 
 
-def read_lines(template: str, field_names: list[str]) -> list[list[Node]]:
+def read_lines(template: str, field_names: list[str]) -> list[tuple[Node, ...]]:
     """Lines of a group template, each split into text and link nodes."""
-    check_group_template(template, field_names)
-    lines = []
-    for line in template.splitlines():
-        nodes, cursor = [], 0
-        for link in _LINK.finditer(line):
-            if link.start() > cursor:
-                nodes.append(Node(read_pieces(line[cursor : link.start()])))
-            label = link.group(1).replace("{{", "{").replace("}}", "}")
-            nodes.append(Node((Piece(label),), read_pieces(link.group(2))))
-            cursor = link.end()
-        if cursor < len(line) or not nodes:
-            nodes.append(Node(read_pieces(line[cursor:])))
-        lines.append(nodes)
-    return lines
+    return _checked(template, {GROUP_LINK, *[name + LIST_SUFFIX for name in field_names]}, GROUP_LINK)
 
 
 def text_node(text: Column) -> Column:
@@ -212,8 +222,10 @@ def render_group_lines(template: str, lists: dict[str, Column], group_url: Colum
     for line in read_lines(template, list(lists)):
         nodes = []
         for node in line:
-            text = text_of(node.pieces) if node.href is None else F.lit(node.pieces[0].text)
-            nodes.append(text_node(text) if node.href is None else link_node(text, text_of(node.href)))
+            if node.href is None:
+                nodes.append(text_node(text_of(node.pieces)))
+            else:
+                nodes.append(link_node(F.lit(label_text(node)), text_of(node.href)))
         rendered.append(F.array(*nodes))
     return F.array(*rendered)
 

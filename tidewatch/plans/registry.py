@@ -33,13 +33,12 @@ MODULES = [
 ]
 
 
-#: Names of the queries that MODULES register.
-OWN: set[str] = set()
-
-
 def load_all() -> None:
     """Register the queries of MODULES; others add theirs beside them."""
     for name in MODULES:
-        before = set(QUERIES)
         import_module(f"tidewatch.plans.{name}")
-        OWN.update(set(QUERIES) - before)
+
+
+def own() -> list[str]:
+    """Names of the queries that MODULES register."""
+    return sorted(name for name, function in QUERIES.items() if function.__module__.startswith("tidewatch.plans."))

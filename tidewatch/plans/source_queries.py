@@ -27,26 +27,38 @@ def s1(spark, sf):
     )
 
 
+ACCEPTED = {
+    "select": "SELECT * FROM nation WHERE n_regionkey = 1",
+    "with": "WITH x AS (SELECT n_regionkey AS k FROM nation) SELECT DISTINCT k FROM x",
+    "union": "SELECT n_name FROM nation UNION SELECT r_name FROM region",
+    "subquery": "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')",
+}
+REFUSED = {
+    "drop": "DROP TABLE nation", "insert": "INSERT INTO nation SELECT * FROM nation", "create": "CREATE TABLE t AS SELECT 1 AS a",
+    "two statements": "SELECT 1; DROP TABLE nation", "broken": "SELEC 1", "delete": "DELETE FROM nation", "values": "VALUES (1)",
+    "immediate": "EXECUTE IMMEDIATE 'DROP VIEW nation'", "reflect": "SELECT reflect('java.lang.System', 'lineSeparator') FROM nation",
+    "java method": "SELECT java_method('java.lang.System', 'lineSeparator') FROM nation",
+    "hidden": "SELECT n_name FROM nation WHERE n_name = (SELECT max(reflect('java.lang.System', 'lineSeparator')) FROM region)",
+}
+
+
 @query(
     "s1_read_only_guard",
-    """SELECT * FROM (VALUES ('select', 'accepted'), ('with', 'accepted'), ('union', 'accepted'), ('drop', 'refused'), ('insert', 'refused'), ('create', 'refused'), ('two statements', 'refused'), ('broken', 'refused'))
-       v(statement, outcome), (SELECT count(*) AS "rows" FROM nation)""",
+    " UNION ALL ".join(
+        [f"SELECT '{name}' AS statement, 'accepted' AS outcome, count(*) AS found FROM ({text})" for name, text in ACCEPTED.items()]
+        + [f"SELECT '{name}', 'refused', count(*) FROM nation" for name in REFUSED]
+    ),
 )
 def s1_guard(spark, sf):
-    D.register_tables(spark, sf, ["nation"])
-    statements = {
-        "select": "SELECT * FROM nation", "with": "WITH x AS (SELECT 1 AS a) SELECT * FROM x", "union": "SELECT 1 UNION SELECT 2",
-        "drop": "DROP TABLE nation", "insert": "INSERT INTO nation SELECT * FROM nation", "create": "CREATE TABLE t AS SELECT 1 AS a",
-        "two statements": "SELECT 1; DROP TABLE nation", "broken": "SELEC 1",
-    }
+    """Rows of each accepted query, and of the table after each refused statement."""
+    D.register_tables(spark, sf, ["nation", "region"])
     out = None
-    for name, text in statements.items():
+    for name, text in {**ACCEPTED, **REFUSED}.items():
         try:
-            D.check_read_only(spark, text)
-            outcome = "accepted"
+            found, outcome = D.scan(spark, text), "accepted"
         except D.NotReadOnly:
-            outcome = "refused"
-        row = spark.table("nation").agg(F.lit(name).alias("statement"), F.lit(outcome).alias("outcome"), F.count("*").alias("rows"))
+            found, outcome = spark.table("nation"), "refused"
+        row = found.agg(F.lit(name).alias("statement"), F.lit(outcome).alias("outcome"), F.count("*").alias("found"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -11,7 +11,8 @@ from pyspark.sql.utils import ParseException
 
 from tidewatch.functions.values import field_list
 
-_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+_ANALYSIS = "org.apache.spark.sql.catalyst.analysis."
 
 # Channel and item labels a seeded order's number selects.
 CHANNELS = ["堂食", "外卖", "小程序"]
@@ -27,8 +28,24 @@ class NotReadOnly(ValueError):
     """The text is not a single read-only query."""
 
 
+#: Plan nodes of Spark's parser that a query may be made of; any other is refused.
+READ_NODES = frozenset((
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sample",
+    "Sort", "SubqueryAlias", "Tail", "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition", "UnresolvedHint",
+))
+#: What a query may be at its root: SELECT (with or without clauses) or a set operation.
+READ_ROOTS = READ_NODES - {"LocalRelation", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedTableValuedFunction", "OneRowRelation", "SubqueryAlias"}
+#: Functions that run code of the caller's choice.
+REFUSED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect"))
+
+
 def check_read_only(spark: SparkSession, sql: str) -> str:
-    """Accept one SELECT, WITH or UNION statement; Spark's own parser decides."""
+    """Accept one SELECT, WITH or UNION statement; Spark's own parser decides.
+
+    Every node of the parsed plan, those of subqueries and WITH parts included, must be
+    one that reads; a statement that Spark learns in a later version is refused until listed.
+    """
     if not isinstance(sql, str) or not sql.strip():
         raise NotReadOnly("a dataset needs a query")
     text = sql.strip().rstrip(";")
@@ -36,17 +53,30 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except ParseException as error:
         raise NotReadOnly(f"cannot parse the query: {error}") from error
-    for_name = spark._jvm.java.lang.Class.forName
-    refused = [for_name(_LOGICAL + "Command"), for_name(_LOGICAL + "ParsedStatement")]
-    if plan.getClass().getSimpleName() in ("UnresolvedInlineTable", "LocalRelation", "UnresolvedRelation"):
+    if plan.getClass().getSimpleName() not in READ_ROOTS:
         raise NotReadOnly("only SELECT or WITH queries are allowed")
-    nodes = [plan]
-    while nodes:
-        node = nodes.pop()
-        if any(kind.isInstance(node) for kind in refused):
-            raise NotReadOnly("the statement writes or changes structures")
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
+    subquery = spark._jvm.java.lang.Class.forName(_EXPRESSIONS + "PlanExpression")
+    function = spark._jvm.java.lang.Class.forName(_ANALYSIS + "UnresolvedFunction")
+    plans, expressions = [plan], []
+
+    def each(items):
+        return [items.apply(i) for i in range(items.size())]
+
+    while plans or expressions:
+        if plans:
+            node = plans.pop()
+            if node.getClass().getSimpleName() not in READ_NODES:
+                raise NotReadOnly(f"the statement does more than read: {node.getClass().getSimpleName()}")
+            plans += each(node.children())
+            plans += [p for p in each(node.innerChildren()) if hasattr(p, "innerChildren")]
+            expressions += each(node.expressions())
+        else:
+            node = expressions.pop()
+            if subquery.isInstance(node):
+                plans.append(node.plan())
+            if function.isInstance(node) and node.nameParts().last().lower() in REFUSED_FUNCTIONS:
+                raise NotReadOnly(f"the function {node.nameParts().last()} is not allowed")
+            expressions += each(node.children())
     return text
 
 
