@@ -156,3 +156,58 @@ def test_recover(spark):
     got = O.recover_failed(table, known, records, 2, T)
     assert sorted(r.id for r in got.filter("requeue").collect()) == ["1", "4"]
     assert tuple(O.recover_counts(got).first()) == (2, 1, 0, 1, 4)
+
+
+NOTES = "id string, anomaly_id string, status string, attempts int, updated_at timestamp_ntz"
+REQUESTS = (
+    "id string, anomaly_id string, delivery_status string, delivery_attempts int, send_started_at timestamp_ntz, next_attempt_at timestamp_ntz, "
+    "created_at timestamp_ntz, updated_at timestamp_ntz"
+)
+CASTS = "id string, rule_id string, detected_at timestamp_ntz, status string, attempts int, next_attempt_at timestamp_ntz, updated_at timestamp_ntz"
+
+
+def test_deliveries_without_a_live_job_are_called_off(spark):
+    notes = spark.createDataFrame([("d1", "x", "pending", 0, T), ("d2", "x", "failed", 1, T), ("d3", "y", "pending", 0, T), ("d4", "x", "sent", 1, T), ("d5", "x", "sending", 1, T)], NOTES)
+    asked = spark.createDataFrame([("d6", "x", "uncertain", 1, T, T, T, T), ("d7", "x", "sent", 1, T, T, T, T)], REQUESTS)
+    casts = spark.createDataFrame([("d8", "r", T, "pending", 0, T, T), ("d9", "q", T, "pending", 0, T, T)], CASTS)
+    members = spark.createDataFrame([("r", T, "x"), ("q", T, "y")], "rule_id string, detected_at timestamp_ntz, anomaly_id string")
+    table = jobs(spark, ("1", "notification", "sent", {"anomaly_id": "x"}), ("5", "notification", "kafka_queued", {"anomaly_id": "x"}))
+    ids = spark.createDataFrame([("x",), ("x",)], "anomaly_id string")
+    out = {r.delivery_id: (r.set_status, r.set_next_attempt_at) for r in O.cancel_deliveries(table, notes, asked, casts, members, ids).collect()}
+    assert out == {"d1": ("aborted", None), "d2": ("aborted", None), "d5": ("uncertain", None), "d6": ("uncertain", None), "d8": ("aborted", None)}
+    assert [r.anomaly_id for r in O.cancel_events(ids, T).collect()] == ["x"]
+
+
+def test_clearing_waits_for_an_abort(spark):
+    with pytest.raises(O.PipelinePaused):
+        O.clear_in_transit(None, None, None, None, None, 2, "admin", aborting=True)
+
+
+def test_two_cycles_in_sequence(spark):
+    from tidewatch.operators import cycle as C
+
+    records = spark.createDataFrame([("a1", "pending"), ("a2", "processing"), ("a3", "resolved"), ("a4", "pending")], "id string, status string")
+    state = C.Outbox(
+        jobs=jobs(
+            spark, ("4", "validation", "executing", {"anomaly_id": "a4", "updated_at": T - timedelta(hours=1)}),
+            ("9", "notification", "executing", {"anomaly_id": "a9", "delivery_id": "d9"}),
+        ),
+        notifications=spark.createDataFrame([("d1", "a1", "pending", 0, T), ("d3", "a3", "pending", 0, T), ("d9", "a9", "sent", 1, T)], NOTES),
+        requests=spark.createDataFrame([("d2", "a2", "pending", 0, None, None, T, T), ("d4", "a4", "sending", 1, T, None, T, T)], REQUESTS),
+        broadcasts=spark.createDataFrame([("d8", "r", T, "pending", 0, None, T)], CASTS),
+    )
+    paused, none = C.run_cycle(state, records, 2, T, aborting=True)
+    assert none.count() == 0 and paused.jobs.count() == 2
+    state, messages = C.run_cycle(state, records, 2, T)
+    # the settled job is closed, the stale validation fails, and each due delivery has a published job
+    status = {r.delivery_id: r.status for r in state.jobs.collect()}
+    assert status == {"d9": "sent", "d4": "failed", "d1": "kafka_queued", "d2": "kafka_queued", "d8": "kafka_queued"}
+    assert messages.count() == 3
+    # nothing is published twice; a job whose delivery arrived is closed, and the failed one goes out again
+    later = T + timedelta(minutes=5)
+    sent = state.notifications.withColumn("status", F.when(F.col("id") == "d1", "sent").otherwise(F.col("status")))
+    failed = state.requests.withColumn("delivery_status", F.when(F.col("id") == "d4", "failed").otherwise(F.col("delivery_status")))
+    state, messages = C.run_cycle(C.Outbox(state.jobs, sent, failed, state.broadcasts), records, 2, later)
+    status = {r.delivery_id: (r.status, r.publish_attempts) for r in state.jobs.collect()}
+    assert status == {"d9": ("sent", 0), "d1": ("sent", 1), "d2": ("kafka_queued", 1), "d8": ("kafka_queued", 1), "d4": ("kafka_queued", 1)}
+    assert messages.count() == 1

@@ -326,11 +326,13 @@ def timeout_scan(
     now,
     limit: int = 50,
     extra_targets: list[Target] | None = None,
+    aborting: bool = False,
 ) -> TimeoutScan:
     """Newly due members of up to ``limit`` groups, each notified exactly once.
 
     The limit counts groups and is the scan's batch size; a group's due members
     are always taken whole, and the remaining groups follow in the next scan.
+    While pushes are being aborted a scan takes nothing.
     """
     at = moment(now)
     state = records.select(
@@ -339,7 +341,7 @@ def timeout_scan(
     open_groups = groups.filter(F.col("timeout_processed_at").isNull()).select(
         *GROUP_KEY, "timeout_enabled", "timeout_webhook", F.lit(True).alias("is_open")
     )
-    candidates = members.filter(F.col("is_new") & F.col("timeout_notified_at").isNull())
+    candidates = members.filter(F.col("is_new") & F.col("timeout_notified_at").isNull() & F.lit(not aborting))
     waiting = (
         lookup(candidates, open_groups, GROUP_KEY, ["timeout_enabled", "timeout_webhook", "is_open"], ["anomaly_id"])
         .filter("is_open")

@@ -3,6 +3,8 @@
 Each function takes state tables and returns the rows it would change, with the
 new values in ``set_`` columns (see ``lifecycle.apply_updates``). The limits are
 the batch sizes of a maintenance cycle; what a batch leaves is taken by the next.
+While the pipeline is aborting (``aborting``), nothing is queued, published,
+recovered or taken back, and clearing is refused.
 """
 
 from __future__ import annotations
@@ -28,9 +30,20 @@ UNSETTLED = ["pending", "failed", "sending", "uncertain"]
 DELIVERED_REQUEST = ["sent", "resolved", "timed_out", "update_failed"]
 ACTIVE_JOB = ["pending_publish", "publishing", "kafka_queued", "dispatching", "ds_scheduled", "executing", "sending", "failed"]
 ABORTABLE_JOB = ["pending_publish", "kafka_queued", "ds_scheduled", "executing", "failed"]
+# Texts of the timeline rows of called-off pushes.
+ABORTED_TEXT = "未发送的异常推送已由管理员中止"
+CLEARED_TEXT = "管理员清除在途推送，已取消记录及所在组的待发送推送"
 NOT_CONSUMABLE = ["ds_scheduled", "executing", "sending", "sent", "failed", "aborted"]
 
 
+class PipelinePaused(RuntimeError):
+    """The pipeline is aborting; nothing may be cleared until it is done."""
+
+
+def _unless(aborting: bool, df: DataFrame) -> DataFrame:
+    return df.filter(F.lit(not aborting))
+
+
 def delivery_states(notifications: DataFrame, requests: DataFrame, broadcasts: DataFrame) -> DataFrame:
     """All deliveries in one shape, so that jobs need a single join on (kind, id)."""
     never = F.lit(None).cast("timestamp_ntz")
@@ -74,8 +87,15 @@ def in_transit(jobs: DataFrame, states: DataFrame, generation: int) -> DataFrame
     return current.join(unsettled, ["kind", "delivery_id"], "left_semi").select("anomaly_id").distinct()
 
 
-def due_requests(requests: DataFrame, now, limit: int | None = None) -> DataFrame:
-    """Requests that may be sent now, oldest due first."""
+def due_requests(
+    requests: DataFrame, now, limit: int | None = None, by_update: bool = False,
+    request_ids: DataFrame | None = None, rule_id: str | None = None, records: DataFrame | None = None,
+) -> DataFrame:
+    """Requests that may be sent now, oldest due first (``by_update``: longest untouched first).
+
+    ``request_ids`` (``id``) and ``rule_id`` (of the record, for which ``records`` is
+    needed) narrow the batch; an empty ``request_ids`` leaves nothing.
+    """
     at = moment(now)
     ready = _not_later(F.col("next_attempt_at"), now)
     stale = (
@@ -87,9 +107,15 @@ def due_requests(requests: DataFrame, now, limit: int | None = None) -> DataFram
         (F.col("delivery_status").isin("pending", "failed") & ready)
         | ((F.col("delivery_status") == "sending") & stale)
     )
+    if request_ids is not None:
+        due = due.join(request_ids.select("id"), "id", "left_semi")
+    if rule_id is not None:
+        of_rule = records.filter(F.col("rule_id") == rule_id).select(F.col("id").alias("anomaly_id"))
+        due = due.join(of_rule, "anomaly_id", "left_semi")
     if limit is None:
         return due
-    return due.orderBy(F.coalesce("next_attempt_at", "created_at"), "updated_at", "id").limit(limit)
+    order = ["updated_at", "id"] if by_update else [F.coalesce("next_attempt_at", "created_at"), "updated_at", "id"]
+    return due.orderBy(*order).limit(limit)
 
 
 def due_notifications(notifications: DataFrame, records: DataFrame, limit: int | None = None) -> DataFrame:
@@ -106,13 +132,13 @@ def due_broadcasts(broadcasts: DataFrame, limit: int | None = None) -> DataFrame
     return due if limit is None else due.orderBy("updated_at", "id").limit(limit)
 
 
-def queue_jobs(due: DataFrame, jobs: DataFrame, kind: str, generation: int, now) -> DataFrame:
+def queue_jobs(due: DataFrame, jobs: DataFrame, kind: str, generation: int, now, aborting: bool = False) -> DataFrame:
     """Jobs to insert (none yet) or requeue (failed, uncancelled and due).
 
     Output: job id, anomaly, kind, delivery, ``action`` and the new state.
     """
     owner = F.col("anomaly_id") if "anomaly_id" in due.columns else F.lit(None).cast("string")
-    wanted = due.select(F.col("id").alias("delivery_id"), owner.alias("owner"))
+    wanted = _unless(aborting, due).select(F.col("id").alias("delivery_id"), owner.alias("owner"))
     mine = jobs.filter(F.col("kind") == kind).select(
         F.col("id").alias("job_id"), "delivery_id", F.col("status").alias("job_status"), "cancel_requested",
         F.col("next_attempt_at").alias("job_next_at"),
@@ -142,19 +168,20 @@ def job_message() -> Column:
     )
 
 
-def publishable(jobs: DataFrame, generation: int, limit: int = 50) -> DataFrame:
+def publishable(jobs: DataFrame, generation: int, limit: int = 50, aborting: bool = False) -> DataFrame:
     """The next batch to publish: ``key``, ``value`` and the job's new state.
 
     The batch is the oldest pending jobs; among them, cancelled ones and those
     of another generation are passed over.
     """
     batch = jobs.filter(F.col("status") == "pending_publish").orderBy("created_at", "id").limit(limit)
-    current = batch.filter((F.col("generation") == generation) & ~F.col("cancel_requested"))
+    current = _unless(aborting, batch).filter((F.col("generation") == generation) & ~F.col("cancel_requested"))
     return current.select(
         F.col("id").alias("key"),
         job_message().alias("value"),
         F.lit("kafka_queued").alias("set_status"),
         (F.col("publish_attempts") + 1).alias("set_publish_attempts"),
+        F.lit(None).cast("timestamp_ntz").alias("set_next_attempt_at"),
     )
 
 
@@ -236,11 +263,13 @@ def aborted_delivery(status: Column) -> Column:
     return F.when(status.isin("pending", "failed"), "aborted").when(status == "sending", "uncertain")
 
 
-def stale_jobs(jobs: DataFrame, states: DataFrame, generation: int, now, http_timeout_seconds: float, limit: int | None = 50) -> DataFrame:
+def stale_jobs(
+    jobs: DataFrame, states: DataFrame, generation: int, now, http_timeout_seconds: float, limit: int | None = 50, aborting: bool = False
+) -> DataFrame:
     """Jobs whose claim ran out, with the next state of job and delivery."""
     at = moment(now)
     send_lease = timedelta(seconds=http_timeout_seconds * 3 + 2)
-    stale = jobs.filter(
+    stale = _unless(aborting, jobs).filter(
         (F.col("status").isin("executing", "sending") & (F.col("updated_at") <= at - F.lit(send_lease)))
         | (F.col("status").isin("publishing", "dispatching") & (F.col("updated_at") <= at - F.lit(CLAIM_LEASE)))
         | ((F.col("status") == "ds_scheduled") & (F.col("updated_at") <= at - F.lit(SCHEDULED_LEASE)))
@@ -310,7 +339,7 @@ def abort_events(touched: DataFrame, now) -> DataFrame:
     return owners.select(
         "anomaly_id",
         F.lit("push_aborted").alias("event_type"),
-        F.lit("未发送的异常推送已由管理员中止").alias("description"),
+        F.lit(ABORTED_TEXT).alias("description"),
         moment(now).alias("created_at"),
     )
 
@@ -350,8 +379,55 @@ def cancel_pushes(jobs: DataFrame, states: DataFrame, members: DataFrame, broadc
     )
 
 
-def recover_failed(jobs: DataFrame, states: DataFrame, records: DataFrame, generation: int, now) -> DataFrame:
-    """Failed jobs with ``requeue``: whether they may go out again now."""
+def cancel_deliveries(
+    jobs: DataFrame, notifications: DataFrame, requests: DataFrame, broadcasts: DataFrame, members: DataFrame, ids: DataFrame
+) -> DataFrame:
+    """Deliveries to call off for the given anomalies (``anomaly_id``), whether or not they have a job.
+
+    All unsent notifications and requests of the records and broadcasts of their groups;
+    one being sent becomes uncertain when its waiting job is cancelled. What is off or
+    uncertain is not tried again: its ``next_attempt_at`` is cleared.
+    """
+    wanted = ids.select("anomaly_id").distinct()
+    groups = members.join(wanted, "anomaly_id", "left_semi").select("rule_id", "detected_at").distinct()
+    never = F.lit(None).cast("timestamp_ntz").alias("next_attempt_at")
+    owned = (
+        notifications.join(wanted, "anomaly_id", "left_semi")
+        .select(F.lit("notification").alias("kind"), F.col("id").alias("delivery_id"), F.col("status"), never)
+        .unionByName(
+            requests.join(wanted, "anomaly_id", "left_semi").select(
+                F.lit("validation").alias("kind"), F.col("id").alias("delivery_id"), F.col("delivery_status").alias("status"), "next_attempt_at"
+            )
+        )
+        .unionByName(
+            broadcasts.join(groups, ["rule_id", "detected_at"], "left_semi").select(
+                F.lit("group_broadcast").alias("kind"), F.col("id").alias("delivery_id"), "status", "next_attempt_at"
+            )
+        )
+    )
+    waiting = jobs.filter(~F.col("status").isin("sent", "aborted", "executing", "sending") & ~F.col("cancel_requested"))
+    waiting = waiting.select("kind", "delivery_id", F.lit(True).alias("waits")).distinct()
+    after = (
+        F.when(F.col("status").isin("pending", "failed"), "aborted")
+        .when((F.col("status") == "sending") & F.col("waits"), "uncertain")
+        .otherwise(F.col("status"))
+    )
+    settled = owned.join(waiting, ["kind", "delivery_id"], "left").withColumn("set_status", after)
+    over = F.col("set_status").isin("aborted", "sending", "uncertain")
+    return settled.withColumn("set_next_attempt_at", F.when(~over, F.col("next_attempt_at"))).filter(
+        (F.col("set_status") != F.col("status")) | ~F.col("set_next_attempt_at").eqNullSafe(F.col("next_attempt_at"))
+    ).select("kind", "delivery_id", "status", "set_status", "set_next_attempt_at")
+
+
+def cancel_events(ids: DataFrame, now) -> DataFrame:
+    """One timeline row per anomaly whose pushes are cleared."""
+    return ids.select("anomaly_id").distinct().select(
+        "anomaly_id", F.lit("push_aborted").alias("event_type"), F.lit(CLEARED_TEXT).alias("description"), moment(now).alias("created_at")
+    )
+
+
+def recover_failed(jobs: DataFrame, states: DataFrame, records: DataFrame, generation: int, now, aborting: bool = False) -> DataFrame:
+    """Failed jobs with ``requeue``: whether they may go out again now, and their new state."""
     failed = jobs.filter(F.col("status") == "failed")
     openness = records.select(F.col("id").alias("anomaly_id"), F.col("status").isin(*OPEN).alias("is_open"))
     joined = with_delivery(failed, states).join(openness, "anomaly_id", "left")
@@ -364,7 +440,11 @@ def recover_failed(jobs: DataFrame, states: DataFrame, records: DataFrame, gener
         .when(F.col("kind") == "group_broadcast", unsent & tries & later)
     )
     mine = (F.col("generation") == generation) & ~F.col("cancel_requested") & _not_later(F.col("next_attempt_at"), now)
-    return joined.select("id", "kind", F.coalesce(mine & retryable, F.lit(False)).alias("requeue"))
+    again = F.coalesce(mine & retryable & F.lit(not aborting), F.lit(False))
+    return joined.select(
+        "id", "kind", again.alias("requeue"), F.when(again, "pending_publish").otherwise(F.col("status")).alias("set_status"),
+        F.when(~again, F.col("next_attempt_at")).alias("set_next_attempt_at"),
+    )
 
 
 def recover_counts(recovered: DataFrame) -> DataFrame:
@@ -399,11 +479,18 @@ def card_refresh(requests: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def clear_in_transit(
-    jobs: DataFrame, states: DataFrame, members: DataFrame, broadcasts: DataFrame, records: DataFrame, generation: int, user_id: str
+    jobs: DataFrame, states: DataFrame, members: DataFrame, broadcasts: DataFrame, records: DataFrame, generation: int, user_id: str,
+    aborting: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cancel everything under way: jobs to cancel, and decisions that resolve the records."""
+    """Cancel everything under way: jobs to cancel, and decisions that resolve the records.
+
+    Deliveries and timeline rows follow from ``cancel_deliveries`` and ``cancel_events``
+    for the ids of ``in_transit``.
+    """
     from tidewatch.operators.lifecycle import decide_transitions
 
+    if aborting:
+        raise PipelinePaused("pushes are being aborted; try again later")
     ids = in_transit(jobs, states, generation)
     cancelled = cancel_pushes(jobs, states, members, broadcasts, ids)
     wishes = ids.join(records.select(F.col("id").alias("anomaly_id")), "anomaly_id", "left_semi").select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import backoff_seconds, request_backoff_seconds
+from tidewatch.operators import groups as G
 from tidewatch.operators import outbox as O
 from tidewatch.plans.derived import GENERATION, NOW, ctes, frame, record_frame
+from tidewatch.plans import registry
 from tidewatch.plans.registry import query
 from tidewatch.session import table
 
@@ -75,6 +77,25 @@ def d3(spark, sf):
     return _queued(spark, sf, O.due_requests(frame(spark, sf, "requests"), NOW), "validation")
 
 
+@query(
+    "d3_queue_validation_batch",
+    _queue_sql("validation", f"SELECT * FROM ({DUE_REQUESTS}) ORDER BY updated_at, id LIMIT 50", "due.anomaly_id"),
+)
+def d3_batch(spark, sf):
+    return _queued(spark, sf, O.due_requests(frame(spark, sf, "requests"), NOW, 50, by_update=True), "validation")
+
+
+@query(
+    "d2_due_requests_of_rule",
+    f"""{BASE} SELECT id, delivery_status FROM ({DUE_REQUESTS}) WHERE anomaly_id IN (SELECT id FROM records WHERE rule_id = 'rule-purchase')
+        AND id IN (SELECT concat('d', event_id) FROM events WHERE user_id % 2 = 0)""",
+)
+def d2_of_rule(spark, sf):
+    ids = table(spark, sf, "events").filter("user_id % 2 = 0").select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("id"))
+    due = O.due_requests(frame(spark, sf, "requests"), NOW, request_ids=ids, rule_id="rule-purchase", records=record_frame(spark, sf))
+    return due.select("id", "delivery_status")
+
+
 @query(
     "d4_queue_notification_jobs",
     _queue_sql(
@@ -102,7 +123,7 @@ def d5(spark, sf):
         WHERE generation = 2 AND NOT cancel_requested""",
 )
 def d6(spark, sf):
-    return O.publishable(frame(spark, sf, "jobs"), GENERATION, 500)
+    return O.publishable(frame(spark, sf, "jobs"), GENERATION, 500).drop("set_next_attempt_at")
 
 
 def messages(spark, sf):
@@ -202,6 +223,37 @@ def d11(spark, sf):
     return out.select("id", "kind", "set_status", "set_delivery_status")
 
 
+OWNED = """grp AS (SELECT DISTINCT rule_id, detected_at FROM members WHERE anomaly_id IN (SELECT anomaly_id FROM wanted)),
+  owned AS (SELECT 'notification' AS kind, id, status, CAST(NULL AS TIMESTAMP) AS next_at FROM notifications WHERE anomaly_id IN (SELECT anomaly_id FROM wanted)
+    UNION ALL SELECT 'validation', id, delivery_status, next_attempt_at FROM requests WHERE anomaly_id IN (SELECT anomaly_id FROM wanted)
+    UNION ALL SELECT 'group_broadcast', id, status, next_attempt_at FROM broadcasts JOIN grp USING (rule_id, detected_at)),
+  off AS (SELECT *, CASE WHEN status IN ('pending', 'failed') THEN 'aborted' WHEN status = 'sending' AND EXISTS (SELECT 1 FROM jobs w WHERE w.kind = owned.kind AND w.delivery_id = owned.id
+      AND w.publish_attempts > 0 AND w.status NOT IN ('sent', 'aborted', 'executing', 'sending') AND NOT w.cancel_requested) THEN 'uncertain' ELSE status END AS set_status FROM owned),
+  changes AS (SELECT kind, id AS delivery_id, set_status, CASE WHEN set_status NOT IN ('aborted', 'sending', 'uncertain') THEN next_at END AS kept FROM off
+    WHERE set_status <> status OR (next_at IS NOT NULL AND set_status IN ('aborted', 'sending', 'uncertain')))"""
+
+
+@query(
+    "d11_cancel_deliveries",
+    f"{BASE}, wanted AS (SELECT id AS anomaly_id FROM records WHERE status = 'processing'), {OWNED} SELECT kind, delivery_id, set_status, kept IS NULL AS cleared FROM changes",
+)
+def d11_deliveries(spark, sf):
+    """Deliveries of small events have no job; they are called off all the same."""
+    ids = record_frame(spark, sf).filter("status = 'processing'").select(F.col("id").alias("anomaly_id"))
+    tables = [frame(spark, sf, name) for name in ("notifications", "requests", "broadcasts", "members")]
+    out = O.cancel_deliveries(some_jobs(spark, sf), *tables, ids)
+    return out.select("kind", "delivery_id", "set_status", F.col("set_next_attempt_at").isNull().alias("cleared"))
+
+
+@query(
+    "d11_cancel_events",
+    f"{BASE}, wanted AS ({IN_TRANSIT}) SELECT anomaly_id, 'push_aborted' AS event_type, '{O.CLEARED_TEXT}' AS description FROM wanted",
+)
+def d11_events(spark, sf):
+    ids = O.in_transit(frame(spark, sf, "jobs"), states(spark, sf), GENERATION)
+    return O.cancel_events(ids, NOW).drop("created_at")
+
+
 RECOVER = """rec AS (SELECT j.id, j.kind, coalesce(j.generation = 2 AND NOT cancel_requested AND (j.next_attempt_at IS NULL OR j.next_attempt_at <= now)
     AND ds IN ('pending', 'failed') AND CASE kind WHEN 'notification' THEN attempts < 6 AND r.status <> 'resolved'
       WHEN 'validation' THEN (next_at IS NULL OR next_at <= now) AND r.status <> 'resolved' ELSE attempts < 6 AND (next_at IS NULL OR next_at <= now) END, false) AS requeue
@@ -212,9 +264,9 @@ def recovered(spark, sf):
     return O.recover_failed(frame(spark, sf, "jobs"), states(spark, sf), record_frame(spark, sf), GENERATION, NOW)
 
 
-@query("d12_recover_failed", f"{BASE}, {RECOVER} SELECT * FROM rec")
+@query("d12_recover_failed", f"{BASE}, {RECOVER} SELECT id, kind, requeue, CASE WHEN requeue THEN 'pending_publish' ELSE 'failed' END AS set_status FROM rec")
 def d12(spark, sf):
-    return recovered(spark, sf)
+    return recovered(spark, sf).drop("set_next_attempt_at")
 
 
 @query(
@@ -264,3 +316,49 @@ def d17(spark, sf):
     jobs = cancelled.agg(F.lit("cancelled_jobs").alias("what"), F.count("*").alias("n"))
     records = decisions.agg(F.lit("resolved_records").alias("what"), F.count_if(F.col("outcome") == "changed").alias("n"))
     return jobs.unionByName(records)
+
+
+PAUSABLE = {
+    "d3": "d3_queue_validation_jobs", "d4": "d4_queue_notification_jobs", "d5": "d5_queue_broadcast_jobs", "d6": "d6_publish_batch", "d9": "d9_stale_leases",
+}
+
+
+@query(
+    "d10_paused_pipeline",
+    " UNION ALL ".join(
+        [f"SELECT '{name}' AS operator, 0 AS paused, count(*) AS running FROM ({registry.SQL[full]})" for name, full in PAUSABLE.items()]
+        + [f"SELECT 'd12', 0, coalesce(sum(CASE WHEN requeue THEN 1 ELSE 0 END), 0) FROM ({registry.SQL['d12_recover_failed']})"]
+        + ["SELECT 'd14', 0, 1", "SELECT 'd17', 0, 1"]
+    ),
+)
+def d10_paused(spark, sf):
+    """What each step takes while pushes are being aborted, and otherwise; d14 and d17: whether they act."""
+    jobs, known = frame(spark, sf, "jobs"), states(spark, sf)
+    tables = {n: frame(spark, sf, n) for n in ("notifications", "requests", "broadcasts", "members", "groups")}
+    records = record_frame(spark, sf)
+    due = {
+        "d3": ("validation", O.due_requests(tables["requests"], NOW)), "d4": ("notification", O.due_notifications(tables["notifications"], records)),
+        "d5": ("group_broadcast", O.due_broadcasts(tables["broadcasts"])),
+    }
+
+    def taken(aborting: bool) -> dict:
+        out = {n: O.queue_jobs(rows, some_jobs(spark, sf), kind, GENERATION, NOW, aborting) for n, (kind, rows) in due.items()}
+        out["d6"] = O.publishable(jobs, GENERATION, 500, aborting)
+        out["d9"] = O.stale_jobs(jobs, known, GENERATION, NOW, 10, None, aborting)
+        out["d12"] = O.recover_failed(jobs, known, records, GENERATION, NOW, aborting).filter("requeue")
+        scan = G.timeout_scan(tables["groups"], tables["members"], records, tables["requests"], tables["broadcasts"], NOW, aborting=aborting)
+        out["d14"] = scan.due.limit(1)
+        try:
+            out["d17"] = O.clear_in_transit(jobs, known, tables["members"], tables["broadcasts"], records, GENERATION, "admin", aborting)[0].limit(1)
+        except O.PipelinePaused:
+            out["d17"] = jobs.filter(F.lit(False))
+        return out
+
+    paused, running = taken(True), taken(False)
+    rows = None
+    for name in running:
+        count = F.count(F.lit(1))
+        row = running[name].agg(F.lit(name).alias("operator"), count.alias("running"))
+        row = row.withColumn("paused", paused[name].agg(count).scalar())
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
