@@ -57,7 +57,9 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = ~(border[1:] & border[:-1])
-    codes = np.concatenate([[0], codes[keep], [0]])
+    keep[[0, -1]] &= ~border[[0, -1]]
+    codes = codes[keep]
+    codes = np.concatenate([[0], codes if codes[-1] else codes[:-1], [0]])  # one border at each end
     n = len(codes) - GRAM + 1
     packed = np.zeros(n, dtype=np.int64)
     for i in range(GRAM):
