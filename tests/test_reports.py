@@ -1,3 +1,4 @@
+import csv
 import glob
 from datetime import date, datetime, timedelta
 
@@ -47,9 +48,18 @@ def test_export_order_filters_and_file(spark, listed, folder):
     rows = R.export_rows(R.filter_records(listed, "pending", "high", search="Rule"))
     assert ids(rows) == ["11", "09", "07", "05", "01"]
     R.write_export(rows, f"{folder}/csv")
-    files = sorted(glob.glob(f"{folder}/csv/part-*.csv"))
+    files = sorted(glob.glob(f"{folder}/csv/*.csv"))
     text = "".join(open(f, encoding="utf-8").read() for f in files)
-    assert text.startswith("\ufeffid,rule_name")
+    assert text.startswith("\ufeffid,rule_name") and text.count("\ufeff") == 1
+    lines = list(csv.reader(text.removeprefix("\ufeff").splitlines()))
+    assert lines[0] == R.EXPORT_COLUMNS and [line[0] for line in lines[1:]] == [f"record-{i}" for i in ("11", "09", "07", "05", "01")]
+    chosen = spark.createDataFrame([("record-07",), ("record-01",), ("zz",)], "id string")
+    assert ids(R.export_rows(listed, chosen)) == ["07", "01"]
+
+
+def test_push_status(spark, listed):
+    transit = spark.createDataFrame([("record-05",), ("record-05",)], "anomaly_id string")
+    assert ids(R.filter_records(listed, push_status="in_transit", transit=transit)) == ["05"]
 
 
 def test_formula_cells(spark):
@@ -63,7 +73,7 @@ def test_formula_cells(spark):
 
 def test_pages_are_clamped(listed):
     rows, total = R.page(listed, R.record_order(), 2, 5)
-    assert (ids(rows), total) == (["06", "05", "04", "03", "02"], 12)
+    assert [(r.id, r.total) for r in rows.withColumn("total", total).collect()] == [(i, 12) for i in ("06", "05", "04", "03", "02")]
     assert len(ids(R.page(listed, R.record_order(), 0, 0)[0])) == 1
     by_rank = ids(listed.orderBy(*R.record_order("severity")))
     assert by_rank[:6] == ["01", "03", "05", "07", "09", "11"]

@@ -24,10 +24,18 @@ ZONE = "Asia/Shanghai"
 
 def filter_records(
     records: DataFrame, status: str | None = None, severity: str | None = None, rule_id: str | None = None,
-    search: str | None = None,
+    search: str | None = None, push_status: str | None = None, transit: DataFrame | None = None,
 ) -> DataFrame:
-    """Equality filters plus search: literal text in a name, or an exact condition field."""
+    """Equality filters plus search: literal text in a name, or an exact condition field.
+
+    ``push_status`` ``in_transit`` keeps the records whose pushes are under way
+    (``transit``: the anomaly ids of ``outbox.in_transit``).
+    """
     out = records
+    if push_status == "in_transit":
+        out = out.join(transit.select(F.col("anomaly_id").alias("id")), "id", "left_semi").select(records.columns)
+    elif push_status:
+        raise ValueError(f"unknown push status: {push_status}")
     for name, value in (("status", status), ("severity", severity), ("rule_id", rule_id)):
         if value:
             out = out.filter(F.col(name) == value)
@@ -45,11 +53,14 @@ def record_order(sort_key: str = "occurredAt", descending: bool = True) -> list[
     return [by.desc() if descending else by.asc(), F.col("id").asc()]
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> tuple[DataFrame, int]:
-    """One page and the total; the size is clamped to 1..100."""
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> tuple[DataFrame, Column]:
+    """One page, and the total as a column to select with it; the size is clamped to 1..100.
+
+    Nothing runs until the page is read.
+    """
     rows = min(max(size, 1), MAX_PAGE_SIZE)
     start = max(number - 1, 0) * rows
-    return df.orderBy(*order).offset(start).limit(rows), df.count()
+    return df.orderBy(*order).offset(start).limit(rows), df.agg(F.count(F.lit(1))).scalar()
 
 
 def delivery_status(records: DataFrame, notifications: DataFrame) -> DataFrame:
@@ -72,23 +83,28 @@ def delivery_status(records: DataFrame, notifications: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in records.columns], verdict.alias("delivery"))
 
 
-def export_rows(records: DataFrame, ids: list[str] | None = None, sort_key: str = "occurredAt", descending: bool = True) -> DataFrame:
-    """The export's nine columns in global order, text made formula-safe."""
-    chosen = records if ids is None else records.filter(F.col("id").isin(ids))
+def export_rows(records: DataFrame, ids: DataFrame | None = None, sort_key: str = "occurredAt", descending: bool = True) -> DataFrame:
+    """The export's nine columns in global order, text made formula-safe; ``ids`` (``id``) chooses records."""
+    chosen = records if ids is None else records.join(ids.select("id"), "id", "left_semi").select(records.columns)
     ordered = chosen.orderBy(*record_order(sort_key, descending))
     cells = [formula_safe(F.col(c), records.schema[c].dataType).alias(c) for c in EXPORT_COLUMNS]
     return ordered.select(*cells)
 
 
 def write_export(rows: DataFrame, path: str) -> None:
-    """CSV with header and byte-order mark.
+    """One CSV in parts: byte-order mark and header first, then the rows in order.
 
-    The sorted rows stay split over tasks: part files follow the global order,
-    so reading them in name order gives the sorted export. Each file starts with
-    the mark and the header.
+    The sorted rows stay split over tasks in headerless part files. Joining all
+    files of the folder in name order gives the export.
     """
-    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
-    marked.write.csv(path, header=True, encoding="UTF-8", escape='"', mode="errorifexists")
+    rows.write.csv(path, header=False, encoding="UTF-8", escape='"', mode="errorifexists")
+    spark = rows.sparkSession
+    first = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header.csv")
+    out = first.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(first, False)
+    try:
+        out.write(("\ufeff" + ",".join(rows.columns) + "\n").encode())
+    finally:
+        out.close()
 
 
 def overview_counters(

@@ -24,6 +24,12 @@ def r1(spark, sf):
     return R.filter_records(record_frame(spark, sf), "pending", "high", "rule-error").select("id", "status", "severity")
 
 
+@query("r1_records_in_transit", f"{BASE} SELECT id, status, severity FROM records WHERE severity = 'high' AND id IN ({IN_TRANSIT})")
+def r1_in_transit(spark, sf):
+    transit = O.in_transit(frame(spark, sf, "jobs"), states(spark, sf), GENERATION)
+    return R.filter_records(record_frame(spark, sf), severity="high", push_status="in_transit", transit=transit).select("id", "status", "severity")
+
+
 @query("r2_literal_search", ctes("records") + " SELECT id, dataset_name FROM records WHERE contains(dataset_name, 't_3') OR contains(rule_name, 't_3')")
 def r2(spark, sf):
     return R.filter_records(record_frame(spark, sf), search="t_3").select("id", "dataset_name")
@@ -45,7 +51,7 @@ def r4(spark, sf):
 )
 def r5(spark, sf):
     rows, total = R.page(record_frame(spark, sf), R.record_order(), 3, 500)
-    return rows.select("id", F.lit(total).alias("total"))
+    return rows.select("id", total.alias("total"))
 
 
 @query(
@@ -74,6 +80,18 @@ def r7(spark, sf):
     return rows.withColumns({c: F.col(c).cast("string") for c in ("first_seen_at", "last_seen_at")})
 
 
+@query(
+    "r7_export_chosen_in_transit",
+    f"""{BASE} SELECT id, rule_name, status, CAST(first_seen_at AS VARCHAR) AS first_seen_at FROM records
+        WHERE id IN ({IN_TRANSIT}) AND id IN (SELECT concat('a', event_id) FROM events WHERE user_id % 2 = 0)""",
+)
+def r7_chosen(spark, sf):
+    transit = O.in_transit(frame(spark, sf, "jobs"), states(spark, sf), GENERATION)
+    ids = table(spark, sf, "events").filter("user_id % 2 = 0").select(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("id"))
+    rows = R.export_rows(R.filter_records(record_frame(spark, sf), push_status="in_transit", transit=transit), ids)
+    return rows.select("id", "rule_name", "status", F.col("first_seen_at").cast("string").alias("first_seen_at"))
+
+
 @query(
     "r8_formula_safe_cells",
     r"""SELECT o_orderkey, CASE WHEN regexp_matches(cell, '^[\s\x00-\x1f]*[=+\-@]') THEN '''' || cell ELSE cell END AS cell FROM (

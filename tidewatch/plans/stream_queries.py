@@ -150,7 +150,7 @@ def w13(spark, sf):
     out = BatchTable(spark, f"{root}/windows")
     for late in (False, True):
         part = events.filter((F.col("event_type") == "error") == F.lit(late))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/events")
+        part.write.mode("append").parquet(f"{root}/events")
         stream = spark.readStream.schema(events.schema).parquet(f"{root}/events")
         finish(J.run_stream(J.streaming_windows(sales(stream)), f"{root}/checkpoint", out.write))
     return window_summary(out.read())

@@ -49,8 +49,8 @@ class Warehouse:
         return BatchTable(self.spark, f"{self.root}/{name}")
 
     def ods(self) -> DataFrame:
-        """Event log; its key (date, partition, offset) makes replays harmless."""
-        return self.table("ods").read().drop("batch_id").dropDuplicates(["event_date", "topic_partition", "topic_offset"])
+        """Event log; a batch is stored once however often it is replayed."""
+        return self.table("ods").read().drop("batch_id")
 
     def current(self) -> DataFrame:
         """Current orders: the newest change per key over all batches."""

@@ -164,7 +164,7 @@ def before_image_check(changes: DataFrame, key: str, order: list[str]) -> DataFr
     linked = previous(state, ["__key"], order, ["__state"], "__prev_")
     wrong = F.col("op").isin("u", "d") & ~F.col("before").eqNullSafe(F.col("__prev___state"))
     problem = F.when(wrong, F.lit("before image does not match the current row"))
-    return linked.withColumn("problem", problem).drop("__state", "__prev___state", "has_prev")
+    return linked.withColumn("problem", problem).drop("__key", "__state", "__prev___state", "has_prev")
 
 
 def cumulative(deltas: DataFrame, shops: DataFrame, shop: str = "shop_id", amount: str = "amount") -> DataFrame:

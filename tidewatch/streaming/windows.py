@@ -13,21 +13,34 @@ SLIDE_MS = 5_000
 LATENESS_MS = 5_000
 
 
+#: Windows that one block of panes serves: those that start in the same span of time.
+BLOCK_MS = 720 * SLIDE_MS
+
+
 def window_totals(deltas: DataFrame, shop: str = "shop_id", amount: str = "amount", millis: str = "event_ms") -> DataFrame:
     """Count and amount per shop and window, for a bounded set of deltas.
 
-    Deltas are first summed per slide-sized pane; only panes, not rows, are
-    copied into the windows that cover them.
+    Deltas are first summed per slide-sized pane. Panes are dealt out by shop and
+    block of time, to at most two blocks each, and copied into the windows that
+    cover them only there; the sum over windows needs no further exchange.
     """
     pane = F.floor(F.col(millis) / SLIDE_MS) * SLIDE_MS
     panes = deltas.groupBy(F.col(shop), pane.alias("pane")).agg(
         F.sum("sign").alias("order_count"), F.sum(F.col("sign") * F.col(amount).cast(MONEY)).alias("total_amount")
     )
     first = F.col("pane") - LENGTH_MS + SLIDE_MS
-    starts = panes.withColumn("window_start_ms", F.explode(F.sequence(first, F.col("pane"), F.lit(SLIDE_MS).cast("bigint"))))
-    return starts.groupBy(shop, "window_start_ms").agg(
+
+    def block(start):
+        return F.floor(start / BLOCK_MS)
+
+    dealt = panes.withColumn("block", F.explode(F.array_distinct(F.array(block(first), block(F.col("pane"))))))
+    dealt = dealt.repartition(F.col(shop), F.col("block"))
+    low = F.greatest(first, F.col("block") * BLOCK_MS)
+    high = F.least(F.col("pane"), (F.col("block") + 1) * BLOCK_MS - SLIDE_MS)
+    starts = dealt.withColumn("window_start_ms", F.explode(F.sequence(low, high, F.lit(SLIDE_MS).cast("bigint"))))
+    return starts.groupBy(shop, "block", "window_start_ms").agg(
         F.sum("order_count").alias("order_count"), F.sum("total_amount").cast(MONEY).alias("total_amount")
-    ).withColumn("window_end_ms", F.col("window_start_ms") + LENGTH_MS)
+    ).drop("block").withColumn("window_end_ms", F.col("window_start_ms") + LENGTH_MS)
 
 
 def closed_end(max_event_ms):
@@ -69,13 +82,17 @@ def streaming_windows(deltas: DataFrame, shop: str = "shop_id", amount: str = "a
     """The windows over an unbounded stream (append mode).
 
     The watermark trails the newest event by the allowed lateness; later events
-    no longer reach closed windows.
+    no longer reach closed windows. Rows are summed to slide-sized panes first; only
+    panes are copied into the windows.
     """
-    counted = (
+    panes = (
         deltas.withWatermark(time, f"{LATENESS_MS} milliseconds")
-        .groupBy(F.window(time, f"{LENGTH_MS} milliseconds", f"{SLIDE_MS} milliseconds"), F.col(shop))
+        .groupBy(F.window(time, f"{SLIDE_MS} milliseconds").alias("pane"), F.col(shop))
         .agg(F.sum("sign").alias("order_count"), F.sum(F.col("sign") * F.col(amount).cast(MONEY)).alias("total_amount"))
     )
+    counted = panes.groupBy(F.window(F.window_time("pane"), f"{LENGTH_MS} milliseconds", f"{SLIDE_MS} milliseconds"), F.col(shop)).agg(
+        F.sum("order_count").alias("order_count"), F.sum("total_amount").alias("total_amount")
+    )
     return counted.select(
         shop,
         F.unix_millis("window.start").alias("window_start_ms"),
