@@ -73,7 +73,7 @@ def test_formula_cells(spark):
 
 def test_pages_are_clamped(listed):
     rows, total = R.page(listed, R.record_order(), 2, 5)
-    assert [(r.id, r.total) for r in rows.withColumn("total", total).collect()] == [(i, 12) for i in ("06", "05", "04", "03", "02")]
+    assert ids(rows) == ["06", "05", "04", "03", "02"] and {r.total for r in rows.select(total.alias("total")).collect()} == {12}
     assert len(ids(R.page(listed, R.record_order(), 0, 0)[0])) == 1
     by_rank = ids(listed.orderBy(*R.record_order("severity")))
     assert by_rank[:6] == ["01", "03", "05", "07", "09", "11"]

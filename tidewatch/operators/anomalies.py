@@ -95,8 +95,26 @@ def fold_matches(matches: DataFrame, order_by: list[str]) -> DataFrame:
     )
 
 
+def _mine(rule: Rule) -> Column:
+    return F.coalesce((F.col("rule_id") == rule.rule_id) & F.col("active_fingerprint").isNotNull(), F.lit(False))
+
+
 def merge_matches(records: DataFrame, folded: DataFrame, rule: Rule, run_id: str, now) -> DataFrame:
-    """All records after a run, each with ``is_new`` and ``is_hit``.
+    """All records after a run, each with ``is_new`` and ``is_hit``."""
+    hit = folded.select(F.col("fingerprint").alias("hit_fp"))
+    untouched = records.join(hit, _mine(rule) & (F.col("active_fingerprint") == F.col("hit_fp")), "left_anti").select(
+        *records.columns, F.lit(False).alias("is_new"), F.lit(False).alias("is_hit"), F.lit(None).cast("string").alias("hit_fp")
+    )
+    return touched_records(records, folded, rule, run_id, now).unionByName(untouched)
+
+
+def after_run(records: DataFrame, touched: DataFrame) -> DataFrame:
+    """The records table with a run's touched rows in place of those of the same ids."""
+    return records.join(touched.select("id"), "id", "left_anti").select(records.columns).unionByName(touched.select(records.columns))
+
+
+def touched_records(records: DataFrame, folded: DataFrame, rule: Rule, run_id: str, now) -> DataFrame:
+    """Only the records a run makes or hits, each with ``is_new`` and ``is_hit``.
 
     An active record with the same rule and fingerprint takes the hits, last-seen
     time, details and evidence of the run; other fingerprints become new pending
@@ -104,14 +122,9 @@ def merge_matches(records: DataFrame, folded: DataFrame, rule: Rule, run_id: str
     """
     at = moment(now)
     columns = [c for c in records.columns]
-    mine = (F.col("rule_id") == rule.rule_id) & F.col("active_fingerprint").isNotNull()
-    mine = F.coalesce(mine, F.lit(False))
-    untouched = records.filter(~mine).select(
-        *columns, F.lit(False).alias("is_new"), F.lit(False).alias("is_hit"), F.lit(None).cast("string").alias("hit_fp")
-    )
-    active = records.filter(mine).alias("r")
-    joined = active.join(folded.alias("m"), F.col("r.active_fingerprint") == F.col("m.fingerprint"), "full_outer")
-    fresh, hit = F.col("r.id").isNull(), F.col("m.fingerprint").isNotNull()
+    active = records.filter(_mine(rule)).alias("r")
+    joined = active.join(folded.alias("m"), F.col("r.active_fingerprint") == F.col("m.fingerprint"), "right")
+    fresh = F.col("r.id").isNull()
     new_values = {
         "id": derived_id(F.lit(run_id), F.lit(rule.rule_id), F.col("m.fingerprint")),
         "rule_id": F.lit(rule.rule_id),
@@ -137,14 +150,13 @@ def merge_matches(records: DataFrame, folded: DataFrame, rule: Rule, run_id: str
     for c in columns:
         value = F.col(f"r.`{c}`")
         if c in hit_values:
-            value = F.when(hit, hit_values[c]).otherwise(value)
+            value = hit_values[c]
         elif c in new_values:
             value = F.when(fresh, new_values[c]).otherwise(value)
         selected.append(value.cast(records.schema[c].dataType).alias(c))
-    merged = joined.select(
-        *selected, fresh.alias("is_new"), hit.alias("is_hit"), F.col("m.fingerprint").alias("hit_fp")
+    return joined.select(
+        *selected, fresh.alias("is_new"), F.lit(True).alias("is_hit"), F.col("m.fingerprint").alias("hit_fp")
     )
-    return merged.unionByName(untouched)
 
 
 def new_with_rows(merged: DataFrame, folded: DataFrame) -> DataFrame:

@@ -56,15 +56,15 @@ def run_rule(
 ) -> RunResult:
     """Evaluate, fold, merge, number and queue.
 
-    The dataset is evaluated once: the folded matches and the merged records are
-    written to the shared folder, and every other table is a lazy plan over
-    those two. All ids are derived, so a repeated run yields identical rows.
+    The dataset is evaluated once: the folded matches and the records the run made
+    or hit are written to the shared folder, and every other table is a lazy plan
+    over those two; records it did not touch are not written again. All ids are derived, so a repeated run yields identical rows.
     """
     matches = A.occurrence_keys(evaluate(dataset, rule, order_by), rule, run_id, now, order_by)
     folded = materialise(A.fold_matches(matches, order_by), "folded")
-    merged = A.merge_matches(state.records, folded, rule, run_id, now)
+    merged = A.touched_records(state.records, folded, rule, run_id, now)
     fields = dataset.columns
-    merged = materialise(A.snapshot_validation(merged, rule, fields, F.col("is_new")), "records")
+    merged = materialise(A.snapshot_validation(merged, rule, fields, F.col("is_new")), "touched")
     created = A.new_with_rows(merged, folded)
     if rule.validation_enabled:
         wanted = A.validation_targets(created, rule.validation_targets)
@@ -72,7 +72,7 @@ def run_rule(
         wanted = A.validation_targets(created, []).limit(0)
     requests = A.new_requests(wanted, state.requests, now)
     notifications = A.new_notifications(A.notification_targets(created, rule.notification_targets), wanted)
-    records = merged.drop("is_new", "is_hit", "hit_fp")
+    records = A.after_run(state.records, merged)
     summary = run_summary(dataset, folded, merged.filter("is_new"), rule, run_id)
     detected_at = G.unique_time(state.groups, rule.rule_id, now)
     members = G.group_members(merged, folded, rule, detected_at)
