@@ -19,7 +19,7 @@ from tidewatch.plans.derived import GENERATION, frame
 from tidewatch.plans.outbox_queries import BASE, DONE, MESSAGES, messages, states
 from tidewatch.plans.registry import query
 from tidewatch.plans.warehouse_queries import STEPS, _rounded_average
-from tidewatch.session import shared_dir, table
+from tidewatch.session import scratch_dir, table
 from tidewatch.sources.changelog import parse_changes, raw_file_stream
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import warehouse as W
@@ -27,7 +27,8 @@ from tidewatch.streaming.tables import BatchTable
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
+    """A new folder among this application's intermediate tables, which ``clear_scratch`` removes."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged_topic(spark: SparkSession, sf: str, root: str) -> DataFrame:
