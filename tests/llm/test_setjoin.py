@@ -80,8 +80,11 @@ def test_hamming_distance_is_a_lower_bound():
     rng = np.random.default_rng(4)
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 400, 300).astype(np.uint64) << np.uint64(30)) for _ in range(2))
-        apart = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in setjoin.parity(a) ^ setjoin.parity(b))
-        assert apart <= len(np.setxor1d(a, b))
+        for words in (8, 1):
+            x, y = (setjoin.folded(setjoin.parity(s), words) for s in (a, b))
+            assert sum(bin(int(w) & (1 << 64) - 1).count("1") for w in x ^ y) <= len(np.setxor1d(a, b))
+    big = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    assert len(setjoin.parity(big)) == 256 and np.array_equal(setjoin.folded(setjoin.parity(big), 64), setjoin.folded(setjoin.folded(setjoin.parity(big), 128), 64))
 
 
 def test_hard_cases(spark):

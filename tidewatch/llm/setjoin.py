@@ -14,10 +14,11 @@ last seed it keeps them. Two linked sets have over ``spare`` equal blocks: if on
 those is not empty they meet there, else both go on to the next seed. No link is lost.
 
 Sets are named by a 64-bit hash of their shingles, so copies meet once however many there
-are. Members of a block are compared with the block's first set, what links is contracted,
-and only members of different classes are then compared with each other. Candidates pass a
-512-bit sketch of the whole sets and are verified on the sets, read again for those that
-have candidates only. Classes do not depend on which of several equal copies is taken.
+are. A set is first compared with the first set of most of its blocks, and what links is
+contracted. Sets of different classes are then compared one by class and block, ROUNDS times;
+only what still is in different classes is compared in full. Candidates pass a sketch of the
+whole sets, of two bits a shingle, and are verified on the sets, which are read again for those that have
+candidates only. Classes do not depend on which of several equal copies is taken.
 
 Defined results: a null text, and one without words, has an empty set, links with nothing
 and is a class of its own; a null doc_id is ignored as a class id where others exist;
@@ -44,8 +45,11 @@ from tidewatch.session import materialise, table
 SHINGLE, PERCENT = 4, 85
 #: Seeds of the block sketches, spare blocks for empty ones (a share of the others).
 SEEDS, SPARE = 4, 0.07
-#: Bits that a shingle can toggle in a block, and words of the sketch of a whole set.
-BLOCK_BITS, SKETCH_WORDS = 1 << 20, 8
+#: Bits that a shingle can toggle in a block; least and most words of the sketch of a whole
+#: set, which has two bits a shingle (a set beyond the most still gets a valid bound).
+BLOCK_BITS, SKETCH_WORDS, MOST_WORDS = 1 << 20, 8, 4096
+#: Size of the bit field that picks the texts to read again, and rounds of contraction.
+FILTER_BITS, ROUNDS = 22, 1
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -94,12 +98,18 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """The whole set's parity sketch, as SKETCH_WORDS words."""
-    at = (shingles >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)
-    odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    """The whole set's parity sketch, as words; their number is a power of two that follows the set."""
+    words = min(max(SKETCH_WORDS, 1 << max(len(shingles) // 32 - 1, 0).bit_length()), MOST_WORDS)
+    at = (shingles >> np.uint64(20)) % np.uint64(64 * words)
+    odd = (np.bincount(at.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def folded(sketch: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """The sketch the same set has with fewer words."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def name(shingles: np.ndarray) -> int:
     """Hash of a set."""
     total = np.add.reduce(mix(shingles), keepdims=True) + np.bitwise_xor.reduce(shingles, keepdims=True)
@@ -115,18 +125,18 @@ def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple]:
 
 
 def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, fp, n, sketch, keys; a task gives a set's keys once."""
+    """One row per document: doc_id, fp, n, short, sketch, keys; a task gives a set's sketches and keys once."""
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())),
+        ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("short", "sketch", "keys")],
     ])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        ids, fps, sizes, flat, keys = zip(*rows, strict=True)
+        ids, fps, sizes, *arrays = zip(*rows, strict=True)
         lists = [
             pa.ListArray.from_arrays(
                 np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int32), pa.array(np.concatenate(column), pa.int64())
             )
-            for column in (flat, keys)
+            for column in arrays
         ]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *lists], schema=schema)
 
@@ -137,61 +147,97 @@ def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
             held, size = [], 0
             for doc, shingles in _sets(part, shingle):
                 if not len(shingles):
-                    held.append((doc, None, 0, nothing, nothing))
+                    held.append((doc, None, 0, nothing, nothing, nothing))
                     continue
                 fp = name(shingles)
                 if fp in seen:
-                    held.append((doc, fp, len(shingles), nothing, nothing))
+                    held.append((doc, fp, len(shingles), nothing, nothing, nothing))
                     continue
                 seen.add(fp)
                 keys = block_keys(shingles, percent).view(np.int64)
-                held.append((doc, fp, len(shingles), parity(shingles), keys))
-                size += len(keys) + 16
+                sketch = parity(shingles)
+                held.append((doc, fp, len(shingles), folded(sketch), sketch, keys))
+                size += len(keys) + len(sketch) + 16
                 if size > 1 << 20:
                     yield batch(held)
                     held, size = [], 0
             if held:
                 yield batch(held)
 
-    return df.mapInArrow(run, "doc_id long, fp long, n long, sketch array<long>, keys array<long>")
+    return df.mapInArrow(run, "doc_id long, fp long, n long, short array<long>, sketch array<long>, keys array<long>")
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit field of 2 ** FILTER_BITS bits with the hashed ids of (doc_id) set.
 
+    It has that size whatever the number of ids: with very many it lets more rows
+    pass than are needed, which the join after it takes out.
+    """
+    words = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place")).selectExpr(
+        "cast(shiftright(place, 6) as int) AS word", "shiftleft(1L, cast(place % 64 as int)) AS bit"
+    )
+    out = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[row["word"]] = row["bits"]
+    return out
 
-def _set_rows(df: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles) of documents."""
+
+def _set_rows(df: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame:
+    """(fp, shingles) of the documents that pass the bit field."""
     schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            place = np.asarray(part.column("place"))
+            part = part.filter(pa.array(shared.value[place >> 6] >> (place & 63) & 1 == 1))
             held, size = [], 0
             for _, shingles in _sets(part, shingle):
-                held.append((name(shingles) if len(shingles) else None, shingles.tobytes()))
+                if not len(shingles):
+                    continue
+                held.append((name(shingles), shingles.tobytes()))
                 size += len(shingles)
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                if size > 1 << 19:
+                    yield packed(held)
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                yield packed(held)
+
+    placed = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
+    return placed.mapInArrow(run, "fp long, shingles binary")
 
-    return df.mapInArrow(run, "fp long, shingles binary")
 
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """The sizes fit, and the sketches are no further apart than linked sets can be.
 
-def _may_link(percent: int, n: tuple[str, str], sketch: tuple[str, str]) -> Column:
-    """The sizes fit, and the sketches are no further apart than linked sets can be."""
-    a, b = F.col(n[0]), F.col(n[1])
-    apart = sum(
-        (F.bit_count(F.get(F.col(sketch[0]), F.lit(i)).bitwiseXOR(F.get(F.col(sketch[1]), F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0)
+    ``a`` and ``b`` end the names of the two sides' columns n, short and sketch. Sizes that
+    fit differ by less than the factor two, so at most one side's sketch is folded once.
+    """
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    bound = (na + nb) * (100 - percent)
+    near = sum(
+        (F.bit_count(F.get(F.col(f"short_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"short_{b}"), F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0)
     )
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
+
+    def fold(x: Column) -> Column:
+        half = F.shiftright(F.size(x), 1)
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    x, y = F.col(f"sketch_{a}"), F.col(f"sketch_{b}")
+    left, right = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (near * (100 + percent) <= bound) & (apart * (100 + percent) <= bound)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set names that link."""
     pairs = materialise(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    holders = nodes.select("fp", "holder").join(needed, "fp", "left_semi").select(F.col("holder").alias("doc_id")).distinct()
-    texts = docs.alias("d").join(holders.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
-    sets = _set_rows(texts, shingle).join(needed, "fp", "left_semi").dropDuplicates(["fp"])
-    sets = materialise(sets, "sets")
+    holders = nodes.select("fp", "holder").join(needed, "fp", "left_semi").select(F.col("holder").alias("doc_id"))
+    sets = materialise(_set_rows(docs, shingle, _bits(holders)), "sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -206,7 +252,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(kept), part.column("b").filter(kept)], schema=schema)
 
-    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+    # a set may have been read from two documents; a link counts once
+    return materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,7 +283,8 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     drawn = materialise(sketches(docs, shingle, percent), "sketches")
     # equal sets: one node each, with the sketch of whichever task gave one
     nodes = drawn.filter("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch")
+        F.min("doc_id").alias("holder"), F.first("n").alias("n"),
+        *[F.max(F.when(F.size(c) > 0, F.col(c))).alias(c) for c in ("short", "sketch")],
     )
     nodes = materialise(nodes, "nodes")
 
@@ -245,28 +293,41 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     met = met.withColumns({"lead": F.min("fp").over(block), "last": F.max("fp").over(block)}).filter("lead < last")
     met = materialise(met.select("k", "fp", "lead").distinct(), "blocks")
 
+    def side(end: str) -> DataFrame:
+        return nodes.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "short", "sketch")])
+
     def fits(pairs: DataFrame) -> DataFrame:
-        side = nodes.select("fp", "n", "sketch")
-        both = pairs.join(side.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        both = both.join(side.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        return both.filter(_may_link(percent, ("na", "nb"), ("sa", "sb"))).select("a", "b")
-
-    # first each set with the leads of its blocks that may link
-    stars = fits(met.filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct())
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(first, docs, nodes, shingle, percent)
-    roots = components(links)
-
-    # then all members of a block that are not yet in one class
-    known = met.select("k", "fp").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
-    known = known.withColumn("root", F.coalesce("root", "fp"))
-    known = known.withColumns({"low": F.min("root").over(block), "high": F.max("root").over(block)}).filter("low < high")
-    known = materialise(known.select("k", "fp", "root").join(nodes.select("fp", "n", "sketch"), "fp"), "open-blocks")
-    sides = [known.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "n", "sketch")]) for s in "ab"]
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, "a", "b")).select("a", "b")
+
+    def closest(pairs: DataFrame) -> DataFrame:
+        """One pair per set: with the lead of most of its blocks."""
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("b").agg(F.max_by("a", F.struct("n", F.col("a"))).alias("a")).select("a", "b")
+
+    def open_blocks(links: DataFrame) -> DataFrame:
+        """(k, fp, root) of the blocks whose members are in several classes."""
+        roots = components(links)
+        known = met.select("k", "fp").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
+        known = known.withColumn("root", F.coalesce("root", "fp"))
+        known = known.withColumns({"low": F.min("root").over(block), "high": F.max("root").over(block)}).filter("low < high")
+        return materialise(known.select("k", "fp", "root"), "open-blocks")
+
+    # first each set with one lead, then, round by round, one set of each class in a block
+    links = _verified(fits(closest(met.filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")))), docs, nodes, shingle, percent)
+    known = open_blocks(links)
+    for _ in range(ROUNDS):
+        heads = known.groupBy("k", "root").agg(F.min("fp").alias("b"))
+        pairs = heads.withColumn("a", F.min("b").over(block)).filter("a < b").select("a", "b")
+        links = links.union(_verified(fits(closest(pairs)), docs, nodes, shingle, percent))
+        known = open_blocks(links)
+
+    # at last all members of a block that are not in one class
+    known = materialise(known.join(nodes.select("fp", "n", "short", "sketch"), "fp"), "open-sets")
+    columns = ("fp", "root", "n", "short", "sketch")
+    sides = [known.select("k", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
     apart = sides[0].join(
         sides[1],
-        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b"))
-        & _may_link(percent, ("n_a", "n_b"), ("sketch_a", "sketch_b")),
+        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b"),
     )
     rest = apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
     more = _verified(rest, docs, nodes, shingle, percent)
