@@ -272,7 +272,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
         return asked.mapInArrow(run, "cell long, query_id long, reach double, vector array<double>")
 
-    asked = queries.dropDuplicates(["vec_id"])
+    # a walk takes far longer than its row is wide, so queries are dealt out by number, not by size
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.dropDuplicates(["vec_id"]).repartition(spread, "vec_id")
     place = Window.partitionBy("query_id").orderBy("squared", "vec_id")
 
     def top(found: DataFrame) -> DataFrame:
@@ -281,6 +283,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     early = materialise(top(_meet(index, cells(asked), k)), "early")
     reach = early.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("squared").alias("reach"))
     asked = asked.join(reach, "vec_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    asked = asked.repartition(spread, "vec_id")
     late = _meet(index, cells(asked), k)
     done = top(early.drop("rank").unionByName(late))
     return done.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("squared").alias("score"))
