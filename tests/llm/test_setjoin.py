@@ -84,7 +84,7 @@ def test_hamming_distance_is_a_lower_bound():
             x, y = (setjoin.folded(setjoin.parity(s), words) for s in (a, b))
             assert sum(bin(int(w) & (1 << 64) - 1).count("1") for w in x ^ y) <= len(np.setxor1d(a, b))
     big = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
-    assert len(setjoin.parity(big)) == 256 and np.array_equal(setjoin.folded(setjoin.parity(big), 64), setjoin.folded(setjoin.folded(setjoin.parity(big), 128), 64))
+    assert len(setjoin.parity(big)) == 512 and np.array_equal(setjoin.folded(setjoin.parity(big), 64), setjoin.folded(setjoin.folded(setjoin.parity(big), 128), 64))
 
 
 def test_hard_cases(spark):

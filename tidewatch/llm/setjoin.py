@@ -17,7 +17,7 @@ Sets are named by a 64-bit hash of their shingles, so copies meet once however m
 are. A set is first compared with the first set of most of its blocks, and what links is
 contracted. Sets of different classes are then compared one by class and block, ROUNDS times;
 only what still is in different classes is compared in full. Candidates pass a sketch of the
-whole sets, of two bits a shingle, and are verified on the sets, which are read again for those that have
+whole sets, of four bits a shingle, and are verified on the sets, which are read again for those that have
 candidates only. Classes do not depend on which of several equal copies is taken.
 
 Defined results: a null text, and one without words, has an empty set, links with nothing
@@ -46,10 +46,11 @@ SHINGLE, PERCENT = 4, 85
 #: Seeds of the block sketches, spare blocks for empty ones (a share of the others).
 SEEDS, SPARE = 4, 0.07
 #: Bits that a shingle can toggle in a block; least and most words of the sketch of a whole
-#: set, which has two bits a shingle (a set beyond the most still gets a valid bound).
+#: set, which has four bits a shingle (a set beyond the most still gets a valid bound).
 BLOCK_BITS, SKETCH_WORDS, MOST_WORDS = 1 << 20, 8, 4096
-#: Size of the bit field that picks the texts to read again, and rounds of contraction.
-FILTER_BITS, ROUNDS = 22, 1
+#: Size of the bit field that picks the texts to read again, rounds of contraction, and
+#: earlier blocks of a set that a pair is looked up in before it is told again.
+FILTER_BITS, ROUNDS, EARLIER = 22, 1, 8
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -99,7 +100,7 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 def parity(shingles: np.ndarray) -> np.ndarray:
     """The whole set's parity sketch, as words; their number is a power of two that follows the set."""
-    words = min(max(SKETCH_WORDS, 1 << max(len(shingles) // 32 - 1, 0).bit_length()), MOST_WORDS)
+    words = min(max(SKETCH_WORDS, 1 << max(len(shingles) // 16 - 1, 0).bit_length()), MOST_WORDS)
     at = (shingles >> np.uint64(20)) % np.uint64(64 * words)
     odd = (np.bincount(at.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
@@ -210,18 +211,24 @@ def _set_rows(df: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame:
     return placed.mapInArrow(run, "fp long, shingles binary")
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """The sizes fit, and the sketches are no further apart than linked sets can be.
+def _near(percent: int, a: str, b: str) -> Column:
+    """The sizes fit, and the short sketches are no further apart than linked sets can be.
 
-    ``a`` and ``b`` end the names of the two sides' columns n, short and sketch. Sizes that
-    fit differ by less than the factor two, so at most one side's sketch is folded once.
+    ``a`` and ``b`` end the names of the two sides' columns.
     """
     na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
-    bound = (na + nb) * (100 - percent)
-    near = sum(
+    apart = sum(
         (F.bit_count(F.get(F.col(f"short_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"short_{b}"), F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0)
     )
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+
 
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """``_near``, and so are the whole sketches.
+
+    Sizes that fit differ by less than the factor two, so at most one side's sketch is
+    folded once.
+    """
     def fold(x: Column) -> Column:
         half = F.shiftright(F.size(x), 1)
         return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
@@ -229,7 +236,7 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     x, y = F.col(f"sketch_{a}"), F.col(f"sketch_{b}")
     left, right = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
     apart = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (near * (100 + percent) <= bound) & (apart * (100 + percent) <= bound)
+    return _near(percent, a, b) & (apart * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -322,15 +329,20 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         known = open_blocks(links)
 
     # at last all members of a block that are not in one class
-    known = materialise(known.join(nodes.select("fp", "n", "short", "sketch"), "fp"), "open-sets")
-    columns = ("fp", "root", "n", "short", "sketch")
+    # (a pair is told by its first common block, which no earlier block of both precedes, and
+    # by few of the others: those whose EARLIER blocks before have none in common)
+    own = Window.partitionBy("fp").orderBy("k")
+    known = known.withColumn("earlier", F.array(*[F.coalesce(F.lag("k", i).over(own), F.col("fp")) for i in range(1, EARLIER + 1)]))
+    known = materialise(known.join(nodes.select("fp", "n", "short"), "fp"), "open-sets")
+    columns = ("fp", "root", "n", "short", "earlier")
     sides = [known.select("k", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
     apart = sides[0].join(
         sides[1],
-        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b"),
+        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _near(percent, "a", "b")
+        & ~F.arrays_overlap("earlier_a", "earlier_b"),
     )
     rest = apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    more = _verified(rest, docs, nodes, shingle, percent)
+    more = _verified(fits(rest), docs, nodes, shingle, percent)
     roots = components(links.union(more))
 
     classes = nodes.select("fp", "holder").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
