@@ -125,8 +125,11 @@ def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple]:
             yield ids[first + i], np.unique(shingle_hashes(words[upto[i]:upto[i + 1]], shingle))
 
 
-def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, fp, n, short, sketch, keys; a task gives a set's sketches and keys once."""
+def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, with_keys: bool = True) -> DataFrame:
+    """One row per document: doc_id, fp, n, short, sketch, keys; a task gives a set's sketches and keys once.
+
+    Keys are many; without them a pass costs less and its result is small enough to store.
+    """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("short", "sketch", "keys")],
     ])
@@ -155,7 +158,7 @@ def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
                     held.append((doc, fp, len(shingles), nothing, nothing, nothing))
                     continue
                 seen.add(fp)
-                keys = block_keys(shingles, percent).view(np.int64)
+                keys = block_keys(shingles, percent).view(np.int64) if with_keys else nothing
                 sketch = parity(shingles)
                 held.append((doc, fp, len(shingles), folded(sketch), sketch, keys))
                 size += len(keys) + len(sketch) + 16
@@ -287,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
 def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = pick(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    drawn = materialise(sketches(docs, shingle, percent), "sketches")
+    drawn = materialise(sketches(docs, shingle, percent, with_keys=False).drop("keys"), "sketches")
     # equal sets: one node each, with the sketch of whichever task gave one
     nodes = drawn.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("holder"), F.first("n").alias("n"),
@@ -296,7 +299,7 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     nodes = materialise(nodes, "nodes")
 
     block = Window.partitionBy("k")
-    met = drawn.select(F.explode("keys").alias("k"), "fp")
+    met = sketches(docs, shingle, percent).select(F.explode("keys").alias("k"), "fp")
     met = met.withColumns({"lead": F.min("fp").over(block), "last": F.max("fp").over(block)}).filter("lead < last")
     met = materialise(met.select("k", "fp", "lead").distinct(), "blocks")
 
