@@ -31,3 +31,21 @@ def test_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in secrets.op10_secret_scan(spark, "/root/testdata/sf0.01").collect():
         assert (r.n_secrets > 0) == ('token = "' in texts[r.doc_id])
+
+
+def test_values_of_any_length_and_class():
+    cases = {
+        'password = "Tr0ubad0r9"': "Tr0ubad0r9", "see postgres://u:S3cretPw@host now": "S3cretPw", "api_key=qhzkwvtrbnmxpl": "qhzkwvtrbnmxpl",
+        "api_key: 839201745523": "839201745523", '{"db_password": "hx9!kPq#"}': "hx9!kPq#", "the password is hunter2x": "hunter2x",
+        "url?lang=en&token=Ab3kd9Xq&x=1": "Ab3kd9Xq", 'passwd="n0t-/clos': "n0t-/clos",
+    }
+    for text, secret in cases.items():
+        spans = secrets.candidates(text)
+        assert secret in [text[a:b] for a, b in spans], text
+        scores = secrets.default_model().score(np.array([secrets.features(text, *s) for s in spans]))
+        assert [text[a:b] for (a, b), s in zip(spans, scores, strict=True) if s >= 0.5] == [secret], text
+    for text in ("note: the house", "port=8080", "the password must be changed", "password = None", "at 12:30 in https://www.example.com/a", "author: Anna"):
+        spans = secrets.candidates(text)
+        assert not spans or max(secrets.default_model().score(np.array([secrets.features(text, *s) for s in spans]))) < 0.5, text
+    for text in ("a=" * 30_000, "=-" * 30_000, ":\"" * 30_000, "://a:" * 20_000, "secret" * 10_000):  # no quadratic steps
+        secrets.candidates(text)

@@ -1,9 +1,14 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of at least SHORTEST characters of ``A-Za-z0-9_+/=.-`` with a digit and a
-letter. The forest looks at a candidate's length, character classes and transitions between
+Candidates, whatever their length and characters, are: values after an assignment (``=``, ``:``
+and the like; up to the closing quote, or to a blank or separator), words that begin within NEAR
+characters after a cue (password, token, ...), and the password of ``scheme://user:password@host``.
+Without any of these, a run of at least SHORTEST characters of ``A-Za-z0-9_+/=.-`` with a digit
+and a letter is one. Candidates can lie in each other (``a=b=c`` has two values).
+
+The forest looks at a candidate's length, character classes and transitions between
 them, entropy, dictionary coverage (letter pairs common in words), shape (hexadecimal, path,
-version, dated, dashed) and at the words before it. It is trained on a small table of labelled
+version, dated, dashed, a placeholder) and at what stands before it. It is trained on a small table of labelled
 findings (``labelled``: at most MOST_LABELLED rows, made from templates with a fixed seed; any
 rows of that form can be given instead): extremely randomised trees over bootstrap samples.
 
@@ -30,14 +35,25 @@ from tidewatch.llm.text import pick
 from tidewatch.plans.registry import query
 from tidewatch.session import table
 
-SHORTEST, MOST_LABELLED = 16, 5_000
+#: Least length of a run that nothing points at, reach of a cue, most labelled rows.
+SHORTEST, NEAR, MOST_LABELLED = 16, 40, 5_000
 TREES, DEPTH, LEAST_LEAF, TRIES = 48, 8, 3, 8
 
 _DIGIT = re.compile(r"[0-9]")
 _NOT_RUN = re.compile(r"[^A-Za-z0-9_+/=.\-]")
-_CUE = re.compile(r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private.?key|signature)")
+_CUE = re.compile(r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth(?!or(?!i[sz]))|bearer|credential|private.?key|signature)")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?$")
 _INNOCENT = re.compile(r"(?i)(commit|sha|md5|hash|digest|checksum|uuid|guid|revision|rev|build|version|etag|file|path|url|id)\W*$")
+_NAMED = re.compile(_CUE.pattern + r"[\w\-]*[\"'`\])\\]*(\s*[=:]+>?\s*|\s+((is|was|are|to|of|as|set|be)\s+)*)[\[({]*[\"'`\\]*$")
+_LOGIN = re.compile(r"://[^\s/:@\"'<>]*:(?:([^\s/\"'<>]+)@|((?:(?!://)[^\s\"'<>])+?)@)")
+_IN_LOGIN = re.compile(r"://[^\s/:@]*:$")
+_PLACEHOLDER = re.compile(r"(?i)(null|none|nil|true|false|undefined|required|optional|str|string|text|varchar.*|\*+|x+|\.+|[$%]?\{.*|<.*|\$\w+|(os|process|self|config|request|settings)\..*|\w+\(.*)")
+_OPERATOR = re.compile(r"[=:]+>?")
+_OPEN = re.compile(r"\s*[\[({]*\s*(?:[A-Za-z]{0,2}(?=[\"'`]))?")
+_QUOTE = re.compile(r"\\*[\"'`]")
+_VALUE_END = re.compile(r"[\s\"'`<>,;&]|$")
+_WORD = re.compile(r"[^\s\"'`<>,;&()\[\]{}=:]+=*")
+_SOUND = re.compile(r"[^\W_]")
 #: Letter pairs that are common inside words of European languages.
 _PAIRS = frozenset(
     "th he in er an re nd on en at ou ed ha to or it is hi es ng st ar te se me sa le no ea ti ve of nt al de la el os as ra co ci do "
@@ -45,8 +61,8 @@ _PAIRS = frozenset(
 )
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of possible secrets."""
+def runs(text: str) -> list[tuple[int, int]]:
+    """Spans of long runs with a digit and a letter."""
     if not _DIGIT.search(text):
         return []
     out = []
@@ -70,9 +86,76 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values after assignments and of passwords in addresses."""
+    login = {m.start(k): m.end(k) for m in _LOGIN.finditer(text) for k in (1, 2) if m[k]}
+    out = []
+    word_end = line_end = -1  # of the last value; one that begins before it ends there, too
+    for m in _OPERATOR.finditer(text):
+        if m[0][-1] == ":" and text.startswith("//", m.end()):  # the scheme of an address
+            continue
+        start = _OPEN.match(text, m.end()).end()
+        if start in login:
+            out.append((start, login[start]))
+            continue
+        if quote := _QUOTE.match(text, start):
+            start = quote.end()
+            if start > line_end:
+                line_end = text.find("\n", start)
+                line_end = len(text) if line_end < 0 else line_end
+            close = text.find(quote[0], start, line_end)
+            if close >= 0:
+                out.append((start, close))
+                continue
+        if start >= word_end:
+            word_end = _VALUE_END.search(text, start).start()
+        end = word_end
+        while end > start and text[end - 1] in ".,:!?)]}\\":
+            end -= 1
+        out.append((start, end))
+    return out
+
+
+def near_cues(text: str) -> list[tuple[int, int]]:
+    """Spans of the words that begin within NEAR characters after a cue."""
+    out = []
+    at = 0
+    for m in _CUE.finditer(text):
+        at = max(at, m.end())
+        while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_-") and at < len(text) and (text[at].isalnum() or text[at] in "_-"):
+            at += 1  # the rest of the cue's own name
+        while (word := _WORD.search(text, at)) and word.start() <= m.end() + NEAR:
+            start, at = word.span()
+            end = at
+            while start < end and text[start] in "./-+":
+                start += 1
+            while end > start and text[end - 1] in "./-!?:\\":
+                end -= 1
+            out.append((start, end))
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of possible secrets."""
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for spans in (values(text), near_cues(text), runs(text)):
+        first = -1
+        for start, end in sorted(spans):
+            if start > first:  # the first letter or digit from here on
+                sound = _SOUND.search(text, start)
+                first = sound.start() if sound else len(text)
+            last = end
+            while last > first and not text[last - 1].isalnum():
+                last -= 1
+            if first < last:  # spans that differ in signs around them are one
+                found.setdefault((first, last), (start, end))
+    return sorted(set(found.values()))
+
+
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "pairs", "longest_letters", "hex", "slashes", "dots",
     "dashes", "cue", "assigned", "innocent", "quoted", "distinct", "vowels", "uuid",
+    "named", "login", "placeholder",
 )
 
 
@@ -84,14 +167,15 @@ def features(text: str, start: int, end: int) -> list[float]:
     counts = Counter(word)
     letters = word.lower()
     pairs = sum(letters[i:i + 2] in _PAIRS for i in range(n - 1))
-    runs = [len(r) for r in re.findall(r"[A-Za-z]+", word)] or [0]
+    letter_runs = [len(r) for r in re.findall(r"[A-Za-z]+", word)] or [0]
     return [
         min(end - start, 512), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), pairs / n,
-        max(runs), float(all(c in "0123456789abcdefABCDEF" for c in word)), word.count("/"), word.count("."), word.count("-"),
+        max(letter_runs), float(all(c in "0123456789abcdefABCDEF" for c in word)), word.count("/"), word.count("."), word.count("-"),
         float(bool(_CUE.search(before + word))), float(bool(_ASSIGN.search(before))), float(bool(_INNOCENT.search(before.rstrip("\"'=: ")))),
         float(before[-1:] in ("'", '"')), len(counts) / n, sum(c in "aeiou" for c in letters) / n,
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", word))),
+        float(bool(_NAMED.search(before))), float(bool(_IN_LOGIN.search(before))), float(bool(_PLACEHOLDER.fullmatch(word))),
     ]
 
 
@@ -180,10 +264,41 @@ def labelled(seed: int = 5) -> list[tuple[str, int]]:
         lambda: f"{words(1)}-{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}-{words(1)}-{words(1)}.jar", lambda: f"20{chars(digit, 2)}-10-{chars(digit, 2)}T{chars(digit, 2)}:00", lambda: f"{chars(hexa, 40)}",
         lambda: f"{chars(digit, 2)}@mail{chars(digit, 1)}.example.com", lambda: f"{words(2, '.')}.{chars(digit, 2)}.{words(2, '.')}",
     ]
+    # short ones, and ones of letters or digits alone: known by the name or address they stand in
+    strong, sign = ["password", "passwd", "pwd", "db_password", "secret", "api_key", "access_token", "auth_token", "PASSWORD"], ["=", " = ", ": ", ":", " => "]
+    tame = ["name", "title", "lang", "port", "color", "year", "note", "author", "size", "host", "user", "level", "city", "time"]
+
+    def short() -> str:
+        return rng.choice([
+            lambda: chars(mixed, rng.randint(6, 15)), lambda: chars(mixed + "!#$%*?", rng.randint(8, 15)), lambda: chars(lower, rng.randint(6, 32)),
+            lambda: chars(digit, rng.randint(5, 24)), lambda: words(1) + chars(digit, rng.randint(1, 4)), lambda: words(rng.randint(1, 2), ""), lambda: chars(upper, rng.randint(8, 24)),
+        ])()
+
+    def quoted(body: str) -> str:
+        return rng.choice(["{}", '"{}"', "'{}'"]).format(body)
+
+    sure_short = [
+        *[lambda: f"{rng.choice(strong)}{rng.choice(sign)}{quoted(short())}"] * 4, lambda: f"\"{rng.choice(strong)}\": \"{short()}\"",
+        lambda: f"{rng.choice(strong)} = \"{words(rng.randint(3, 5))}\"",
+        *[lambda: f"{rng.choice(['postgres', 'https', 'redis', 'amqp'])}://{rng.choice(['u', 'app', 'root', ''])}:{short().strip('#?')}@host"] * 2,
+        lambda: f"password {rng.choice(['is', 'was', 'set to'])} {chars(mixed, rng.randint(8, 15))}{rng.choice(digit)}",
+        *[lambda: f"{rng.choice(['password', 'pwd', 'token', 'secret'])} {rng.choice(['is', 'was', 'set to'])} {words(1)}{chars(digit, rng.randint(1, 3))}{chars(lower, rng.randint(0, 3))}"] * 2,
+    ]
+    not_short = [
+        *[lambda: f"{rng.choice(tame)}{rng.choice(sign)}{quoted(words(1))}", lambda: f"{rng.choice(tame)}{rng.choice(sign)}{quoted(words(1).capitalize())}"] * 2, lambda: f"{rng.choice(tame)}{rng.choice(sign)}{quoted(chars(digit, rng.randint(1, 6)))}",
+        lambda: f"{rng.choice(tame)}: \"{words(rng.randint(2, 6))}\"", lambda: f"\"{rng.choice(tame)}\": \"{words(1)}{chars(digit, 2)}\"",
+        lambda: f"{chars(digit, 2)}:{chars(digit, 2)}", lambda: f"color: #{chars(hexa, 6)}", lambda: f"{rng.choice(tame)}=20{chars(digit, 2)}-10-{chars(digit, 2)}",
+        lambda: f"{rng.choice(strong)}{rng.choice(sign)}{rng.choice(['null', 'None', 'true', 'false', 'string', '${SECRET}', 'os.environ', '********', 'required', 'getpass()', '<secret>'])}",
+        *[lambda: f"the {rng.choice(['password', 'token', 'secret', 'signature', 'credentials'])} {words(rng.randint(2, 5))}"] * 3,
+        lambda: f"https://www.{words(1)}.com:80{chars(digit, 2)}/{words(1)}",
+    ]
     out = []
     for label, made in ((1, sure), (0, not_one)):
         for make in made:
             out += [(f"{words(rng.randint(0, 3))} {make()} {words(2)}", label) for _ in range(40)]
+    for label, made in ((1, sure_short), (0, not_short)):
+        for make in made:
+            out += [(f"{words(rng.randint(0, 3))} {make()}", label) for _ in range(80)]
     return out
 
 
