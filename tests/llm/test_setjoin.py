@@ -76,6 +76,15 @@ def test_linked_sets_share_a_block():
             assert len(np.intersect1d(setjoin.block_keys(a, percent), setjoin.block_keys(b, percent)))
 
 
+@pytest.mark.parametrize("percent", [70, 75, 80, 85, 95])
+def test_few_sets_need_another_seed(percent):
+    rng = np.random.default_rng(6)
+    for n in (64, 130, 257, 1025, 4100):  # the low end of their bands
+        blocks = sum(b for _, b, _ in setjoin.bands(n, percent))
+        keys = [len(setjoin.block_keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), percent)) for _ in range(20)]
+        assert np.mean(keys) < 1.8 * blocks
+
+
 def test_hamming_distance_is_a_lower_bound():
     rng = np.random.default_rng(4)
     for _ in range(200):

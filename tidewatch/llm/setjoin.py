@@ -12,6 +12,9 @@ Empty blocks say little. P is D + 1 + spare, and a set with no more than ``spare
 blocks leaves them out; a set with more is also sketched with the next seed, and with the
 last seed it keeps them. Two linked sets have over ``spare`` equal blocks: if one of
 those is not empty they meet there, else both go on to the next seed. No link is lost.
+``spare`` follows percent: it is above the number of empty blocks to be expected for the
+smallest set of the band, so that few sets need a second seed and hardly any keeps empty blocks.
+(At percents under about 65 no number is: sets there keep theirs, which costs time, not links.)
 
 Sets are named by a 64-bit hash of their shingles, so copies meet once however many there
 are. A set is first compared with the first set of most of its blocks, and what links is
@@ -43,7 +46,7 @@ from tidewatch.session import materialise, table
 
 #: Words of a shingle and least percentage of the union for the registered query.
 SHINGLE, PERCENT = 4, 85
-#: Seeds of the block sketches, spare blocks for empty ones (a share of the others).
+#: Seeds of the block sketches, least spare blocks for empty ones (a share of the others).
 SEEDS, SPARE = 4, 0.07
 #: Bits that a shingle can toggle in a block; least and most words of the sketch of a whole
 #: set, which has four bits a shingle (a set beyond the most still gets a valid bound).
@@ -58,20 +61,34 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
+@functools.cache
+def spare_blocks(apart: int, least: int) -> int:
+    """Spare blocks of a band whose sets, of ``least`` shingles or more, differ in ``apart``.
+
+    The fewest that are a standard deviation above the empty blocks of such a set.
+    """
+    fewest = max(1, int(SPARE * (apart + 1)))
+    spare = np.arange(fewest, 8 * apart + fewest + 1)
+    blocks = apart + 1 + spare
+    share = np.exp(-least / blocks)
+    enough = blocks * share + np.sqrt(blocks * share * (1 - (1 + least / blocks) * share)) <= spare
+    return int(spare[np.argmax(enough)])
+
+
 @functools.cache
 def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
     """Bands of a set: (number, blocks, spare blocks); none when only equal sets can link."""
     k = size.bit_length() - 1
-    out = [(2 * k, 2 * (1 << k + 1) - 2)]  # the set's own band: sizes from 2**k up to below 2**(k+1)
+    out = [(2 * k, 2 * (1 << k + 1) - 2, 1 << k)]  # the set's own band: sizes from 2**k up to below 2**(k+1)
     for border, number in ((1 << k, 2 * k - 1), (1 << k + 1, 2 * k + 1)):
         low = border - 1
         if 100 * size >= percent * border and percent * size <= 100 * low:
-            out.append((number, low + 100 * low // percent))
+            out.append((number, low + 100 * low // percent, -(-percent * border // 100)))
     found = []
-    for number, both in out:
+    for number, both, least in out:
         apart = most_apart(both, 0, percent)
         if apart:
-            spare = max(1, int(SPARE * (apart + 1)))
+            spare = spare_blocks(apart, least)
             found.append((number, apart + 1 + spare, spare))
     return found
 
