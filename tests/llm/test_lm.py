@@ -88,6 +88,20 @@ def test_hard_cases(spark, monkeypatch):
     same(unlearned.collect(), rows, brute(rows, [False] * len(rows))[1])
 
 
+def test_frequent_context_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 120)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 50)
+    rows = [(i, " ".join(f"hot w{(37 * i + j) % 400}" for j in range(40))) for i in range(60)] + [(60, "hot w3 w4 w5"), (61, "w9 hot new")]
+    df = spark.createDataFrame([(*r, r[0] % 5 != 1) for r in rows], "doc_id long, text string, train boolean").repartition(3)
+    scores, trie = lm.train_and_score(df)
+    total, expected = brute(rows, [i % 5 != 1 for i, _ in rows])
+    same(scores.collect(), rows, expected)
+    levels = [lm.Level(r.blobs) for r in trie.filter("level = 2").collect()]
+    follow = {(a, b) for (_, t), learns in zip(rows, [i % 5 != 1 for i, _ in rows], strict=True) if learns for a, b in zip(["", *tokens(t)], tokens(t), strict=False)}
+    assert sum(len(x.successors) for x in levels) == len(follow) > 400
+    assert max(len(x.successors) for x in levels) <= 2 * 50
+
+
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]

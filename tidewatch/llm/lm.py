@@ -13,8 +13,12 @@ p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); contexts never seen in training give
 Nothing of the size of the corpus meets in one place. Documents are packed into blocks of about
 BLOCK_TOKENS tokens. A block asks each shard for its distinct words (then pairs) in one
 message, which also brings the block's training counts; a shard adds up the messages of all
-blocks, writes its part of the level, and answers every block. Shards are ranges of word hashes
-(of contexts); their number follows the corpus, so that a shard hears of about SHARD_TOKENS.
+blocks, writes its part of the level, and answers every block. Shards of words are ranges of
+hashes, shards of pairs ranges of contexts that are cut by how often blocks use them. A context
+that may bring more than SHARD_TOKENS pairs is split into ranges of its words: each part counts
+its own pairs, and the parts' totals and numbers of successors are added up before probabilities
+are made from the counts. So no shard hears of more than 2 * SHARD_TOKENS pairs, however
+frequent a word is.
 
 Defined results: a null text counts as empty and scores its end alone; repeated rows train and
 score repeatedly; a null doc_id is in fold 0; extra columns are ignored; an empty table gives an
@@ -113,10 +117,16 @@ class Level:
         self.weights = np.frombuffer(blobs[4], dtype="<u2")
 
     @staticmethod
-    def pack(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """From the pairs in order of context and word, with their counts."""
+    def pack(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, whole: tuple[int, int] | None = None) -> list[bytes]:
+        """From the pairs in order of context and word, with their counts.
+
+        ``whole``: total and number of successors of the one context these are a part of.
+        """
         names, first, sizes = np.unique(contexts, return_index=True, return_counts=True)
         totals = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+        successors = sizes
+        if whole:
+            totals, successors = (np.full(len(first), x) for x in whole)
         own = np.repeat(totals, sizes)
         last = words[first + sizes - 1] + np.uint64(1) if len(first) else words
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last, dtype=np.uint64)])[:-1]
@@ -124,7 +134,7 @@ class Level:
         return [
             elias_fano(names), elias_fano(np.append(first, len(words)).astype(np.uint64)), elias_fano(monotone),
             quantise(np.log10((counts - DISCOUNT) / np.maximum(own, 1))).tobytes(),
-            quantise(np.log10(DISCOUNT * sizes / np.maximum(totals, 1))).tobytes(),
+            quantise(np.log10(DISCOUNT * successors / np.maximum(totals, 1))).tobytes(),
         ]
 
     def ranges(self, contexts: np.ndarray) -> np.ndarray:
@@ -198,14 +208,18 @@ def blocks(df: DataFrame) -> DataFrame:
     return materialise(df.mapInArrow(run, BLOCKS), "blocks")
 
 
-MESSAGES = "shard long, block long, keys binary, counts binary"
-_MESSAGES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-#: Answers and levels: answers have a block; a level has block null and its blobs.
-ANSWERS = "level int, shard long, block long, found binary, more binary, blobs array<binary>, total long, distinct long, size long"
+#: ``usage``: of words only, the most pairs that the block can ask for with the word as context.
+MESSAGES = "shard long, block long, keys binary, counts binary, usage binary"
+_MESSAGES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("keys", "counts", "usage")]])
+#: Answers and levels: answers have a block; a level has block null and its blobs, one of words
+#: also the contexts at which shards of pairs begin and into how many each of these is split.
+ANSWERS = "level int, shard long, block long, found binary, more binary, blobs array<binary>, total long, distinct long, size long, begin array<long>, parts array<long>"
 _ANSWERS = pa.schema([
     ("level", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("found", pa.binary()), ("more", pa.binary()), ("blobs", pa.list_(pa.binary())),
-    ("total", pa.int64()), ("distinct", pa.int64()), ("size", pa.int64()),
+    ("total", pa.int64()), ("distinct", pa.int64()), ("size", pa.int64()), ("begin", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())),
 ])
+#: What an answer leaves empty.
+_NO_LEVEL = (None,) * 6
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -221,9 +235,10 @@ def _ask_words(bits: int):
         for part in parts:
             for row in part.to_pylist():
                 terms, counts = np.frombuffer(row["terms"], "<u8"), expand(row["counts"])
+                usage = np.minimum(expand(row["usage"]), len(terms))
                 cuts = [0, *np.searchsorted(terms, edges).tolist(), len(terms)]
                 rows = [
-                    (shard, row["block"], terms[a:b].tobytes(), squeeze(counts[a:b]))
+                    (shard, row["block"], terms[a:b].tobytes(), squeeze(counts[a:b]), squeeze(usage[a:b]))
                     for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
                 ]
                 yield from _table(_MESSAGES, rows).to_batches()
@@ -231,21 +246,41 @@ def _ask_words(bits: int):
     return run
 
 
-def _answer_words(messages: pa.Table) -> pa.Table:
+def _cuts(weights: np.ndarray, limit: int) -> tuple[list[int], list[int]]:
+    """Contexts at which ranges of at most twice ``limit`` begin, and the parts each is split into.
+
+    A context above ``limit`` is a range of its own, in parts of at most ``limit``.
+    """
+    heavy = weights > limit
+    group = np.cumsum(np.where(heavy, 0, weights)) // limit
+    begin = heavy.copy()
+    begin[0] = True
+    begin[1:] |= heavy[:-1] | (group[1:] > group[:-1])
+    at = np.flatnonzero(begin)
+    return at.tolist(), np.where(heavy, -(-weights // limit), 1)[at].tolist()
+
+
+def _answer_words(limit: int):
     """A shard of the first level: numbers and counts of the words of every block."""
-    rows = messages.sort_by("block").to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-    words, numbers = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(numbers, np.concatenate([expand(r["counts"]) for r in rows]), minlength=len(words)).astype(np.int64)
-    shard, out, at = rows[0]["shard"], [], 0
-    for r, own in zip(rows, keys, strict=True):
-        mine = numbers[at:at + len(own)]
-        at += len(own)
-        out.append((1, shard, r["block"], mine.astype("<u4").tobytes(), squeeze(counts[mine]), None, None, None, None))
-    learned = np.flatnonzero(counts)
-    blobs = [elias_fano(words[learned]), squeeze(counts[learned])]
-    out.append((1, shard, None, None, None, blobs, int(counts.sum()), len(learned), len(words)))
-    return _table(_ANSWERS, out)
+
+    def run(messages: pa.Table) -> pa.Table:
+        rows = messages.sort_by("block").to_pylist()
+        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+        words, numbers = np.unique(np.concatenate(keys), return_inverse=True)
+        counts, usage = (
+            np.bincount(numbers, np.concatenate([expand(r[c]) for r in rows]), minlength=len(words)).astype(np.int64) for c in ("counts", "usage")
+        )
+        shard, out, at = rows[0]["shard"], [], 0
+        for r, own in zip(rows, keys, strict=True):
+            mine = numbers[at:at + len(own)]
+            at += len(own)
+            out.append((1, shard, r["block"], mine.astype("<u4").tobytes(), squeeze(counts[mine]), *_NO_LEVEL))
+        learned = np.flatnonzero(counts)
+        blobs = [elias_fano(words[learned]), squeeze(counts[learned])]
+        out.append((1, shard, None, None, None, blobs, int(counts.sum()), len(learned), len(words), *_cuts(usage, limit)))
+        return _table(_ANSWERS, out)
+
+    return run
 
 
 class Block:
@@ -270,22 +305,25 @@ class Block:
         return contexts * self.width + words
 
 
-def _shard_edges(offsets: np.ndarray) -> np.ndarray:
-    """First pair of each shard; the last shard also holds the start of texts."""
-    edges = offsets[:-1] * (offsets[-1] + np.uint64(1))
-    return edges
+def _shard_edges(cuts: list[tuple[int, int]], width: int) -> tuple[np.ndarray, dict[int, int]]:
+    """(first pair of each shard, contexts of the shards that are parts), from (context, parts) in order."""
+    edges, part_of = [], {}
+    for context, parts in cuts:
+        if parts > 1:
+            part_of |= {len(edges) + i: context for i in range(parts)}
+        edges += [context * width + width * i // parts for i in range(parts)]
+    return np.array(edges, dtype=np.uint64), part_of
 
 
-def _ask_pairs(offsets: np.ndarray):
+def _ask_pairs(offsets: np.ndarray, edges: np.ndarray):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         own = Block(row, answers.to_pylist(), offsets)
         pairs, uses = np.unique(own.pairs(), return_inverse=True)
         counts = np.bincount(uses[np.repeat(own.train, own.sizes)], minlength=len(pairs))
-        edges = _shard_edges(offsets)
         cuts = [*np.searchsorted(pairs, edges).tolist(), len(pairs)]
         rows = [
-            (shard, row["block"], elias_fano(pairs[a:b] - edges[shard]), squeeze(counts[a:b]))
+            (shard, row["block"], elias_fano(pairs[a:b] - edges[shard]), squeeze(counts[a:b]), None)
             for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
         ]
         return _table(_MESSAGES, rows)
@@ -293,42 +331,93 @@ def _ask_pairs(offsets: np.ndarray):
     return run
 
 
-def _answer_pairs(width: int):
+def _answer_pairs(width: int, edges: np.ndarray, part_of: dict[int, int]):
     def run(messages: pa.Table) -> pa.Table:
         rows = messages.sort_by("block").to_pylist()
-        keys = [elias_fano_values(r["keys"]) for r in rows]
+        shard, out, at = rows[0]["shard"], [], 0
+        keys = [elias_fano_values(r["keys"]) + edges[shard] for r in rows]
         pairs, numbers = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(numbers, np.concatenate([expand(r["counts"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
         learned = counts > 0
         wide = np.uint64(width)
         kept = pairs[learned]
-        blobs = Level.pack(kept // wide, kept % wide, counts[learned])
-        level, shard, out = Level(blobs), rows[0]["shard"], []
-        for r, own in zip(rows, keys, strict=True):
-            contexts = own // wide
-            found = level.find(contexts, own % wide)
-            at = level.ranges(np.unique(contexts))
-            weights = np.where(at >= 0, level.weights[np.maximum(at, 0)] if len(level.weights) else MISSING, MISSING)
-            out.append((2, shard, r["block"], squeeze(found), squeeze(weights), None, None, None, None))
-        out.append((2, shard, None, None, None, blobs, int(counts.sum()), int(learned.sum()), len(pairs)))
+        if shard in part_of:  # counts; other parts are needed for probabilities
+            for r, own in zip(rows, keys, strict=True):
+                mine = counts[numbers[at:at + len(own)]]
+                at += len(own)
+                out.append((2, shard, r["block"], *halves(mine), *_NO_LEVEL))
+            blobs = [elias_fano(kept % wide), *halves(counts[learned])]
+        else:
+            blobs = Level.pack(kept // wide, kept % wide, counts[learned])
+            level = Level(blobs)
+            for r, own in zip(rows, keys, strict=True):
+                contexts = own // wide
+                found = level.find(contexts, own % wide)
+                known = level.ranges(np.unique(contexts))
+                weights = np.where(known >= 0, level.weights[np.maximum(known, 0)] if len(level.weights) else MISSING, MISSING)
+                out.append((2, shard, r["block"], squeeze(found), squeeze(weights), *_NO_LEVEL))
+        out.append((2, shard, None, None, None, blobs, int(counts.sum()), int(learned.sum()), len(pairs), None, None))
         return _table(_ANSWERS, out)
 
     return run
 
 
+def halves(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts of up to 64 bits."""
+    return squeeze(counts & 0xFFFFFFFF), squeeze(counts >> 32)
+
+
+def whole_counts(low: bytes, high: bytes) -> np.ndarray:
+    return expand(low).astype(np.int64) | expand(high).astype(np.int64) << 32
+
+
+def _pack_parts(part_of: dict[int, int], wholes: dict[int, tuple[int, int]]):
+    """Levels of parts, from their words and counts; other levels stay as they are."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for row in part.to_pylist():
+                shard, blobs = row["shard"], row["blobs"]
+                if shard in part_of:
+                    words = elias_fano_values(blobs[0])
+                    contexts = np.full(len(words), part_of[shard], dtype=np.uint64)
+                    blobs = Level.pack(contexts, words, whole_counts(*blobs[1:]), wholes[part_of[shard]])
+                rows.append((row["level"], shard, blobs))
+            yield from _table(_TRIE, rows).to_batches()
+
+    return run
+
+
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(offsets: np.ndarray, total: int, distinct: int):
+TRIE = "level int, shard long, blobs array<binary>"
+_TRIE = pa.schema([("level", pa.int32()), ("shard", pa.int64()), ("blobs", pa.list_(pa.binary()))])
+
+
+def _told(answer: dict, part_of: dict[int, int], wholes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised probabilities of the pairs and weights of the contexts in a shard's answer."""
+    if answer["shard"] not in part_of:
+        return expand(answer["found"]), expand(answer["more"])
+    counts = whole_counts(answer["found"], answer["more"])
+    total, successors = wholes[part_of[answer["shard"]]]
+    found = np.full(len(counts), MISSING)
+    found[counts > 0] = quantise(np.log10((counts[counts > 0] - DISCOUNT) / max(total, 1)))
+    return found, quantise(np.log10(np.array([DISCOUNT * successors / total]))) if total else np.array([MISSING])
+
+
+def _score(offsets: np.ndarray, total: int, distinct: int, edges: np.ndarray, part_of: dict[int, int], wholes: dict[int, tuple[int, int]]):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row, told = block.to_pylist()[0], answers.to_pylist()
         own = Block(row, [a for a in told if a["level"] == 1], offsets)
         pair_answers = sorted((a for a in told if a["level"] == 2), key=lambda a: a["shard"])
         pairs, uses = np.unique(own.pairs(), return_inverse=True)
-        found = np.concatenate([expand(a["found"]) for a in pair_answers])
-        weights = np.concatenate([expand(a["more"]) for a in pair_answers])
-        context = np.unique(pairs // own.width, return_inverse=True)[1]
+        found, weights = (np.concatenate(x) for x in zip(*[_told(a, part_of, wholes) for a in pair_answers], strict=True))
+        # a weight was told for each context of a shard
+        contexts, shards = pairs // own.width, np.searchsorted(edges, pairs, side="right")
+        context = np.concatenate([[0], np.cumsum((contexts[1:] != contexts[:-1]) | (shards[1:] != shards[:-1]))])
         single = (own.counts + 0.5) / (total + 0.5 * (distinct + 1))
         weight = np.where(weights == MISSING, 1.0, 10.0 ** (weights / -float(STEPS)))
         direct = np.where(found == MISSING, 0.0, 10.0 ** (found / -float(STEPS)))
@@ -352,28 +441,38 @@ def train_and_score(df: DataFrame, train: str = "train", doc_id: str = "doc_id",
     rows = pick(df, doc_id=doc_id, text=text, train=train)
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce("train", F.lit(False)).alias("train"))
     packed = blocks(rows)
-    asked = packed.agg(F.sum("n_terms")).first()[0]
+    asked, starts = packed.agg(F.sum("n_terms"), F.sum(F.least(F.size("doc_ids"), F.col("n_terms")))).first()
     if not asked:
         nothing = spark.createDataFrame([], SCORES).withColumn("train_tokens", F.lit(0).cast("bigint"))
-        return nothing, spark.createDataFrame([], "level int, shard long, blobs array<binary>")
-    # words asked for are a part of the tokens; shards of the second level are these, too
+        return nothing, spark.createDataFrame([], TRIE)
+    # words asked for are a part of the tokens
     bits = max(3, int(-(-asked * 4 // SHARD_TOKENS)).bit_length())
-    messages = packed.select("block", "terms", "counts").mapInArrow(_ask_words(bits), MESSAGES)
-    first = materialise(messages.groupBy("shard").applyInArrow(_answer_words, ANSWERS), "words")
-    stats = first.filter("block is null").select("shard", "total", "distinct", "size").collect()  # a row per shard
+    messages = packed.select("block", "terms", "counts", "usage").mapInArrow(_ask_words(bits), MESSAGES)
+    first = materialise(messages.groupBy("shard").applyInArrow(_answer_words(SHARD_TOKENS), ANSWERS), "words")
+    stats = first.filter("block is null").select("shard", "total", "distinct", "size", "begin", "parts").collect()  # a row per shard
     sizes = np.zeros(1 << bits, dtype=np.uint64)
     for r in stats:
         sizes[r["shard"]] = r["size"]
     offsets = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sizes, dtype=np.uint64)])
     total, distinct = sum(r["total"] for r in stats), sum(r["distinct"] for r in stats)
+    width = int(offsets[-1]) + 1
+    cuts = sorted((int(offsets[r["shard"]]) + at, n) for r in stats for at, n in zip(r["begin"], r["parts"], strict=True))
+    edges, part_of = _shard_edges([*cuts, (width - 1, max(-(-starts // SHARD_TOKENS), 1))], width)
 
     answers = first.filter("block is not null").select("level", "shard", "block", "found", "more")
     by_block = packed.groupBy("block")
-    pairs = by_block.cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(offsets), MESSAGES)
-    second = materialise(pairs.groupBy("shard").applyInArrow(_answer_pairs(int(offsets[-1]) + 1), ANSWERS), "pairs")
+    pairs = by_block.cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(offsets, edges), MESSAGES)
+    second = materialise(pairs.groupBy("shard").applyInArrow(_answer_pairs(width, edges, part_of), ANSWERS), "pairs")
+    wholes = {context: (0, 0) for context in part_of.values()}
+    if part_of:
+        for r in second.filter("block is null").select("shard", "total", "distinct").collect():  # a row per shard
+            if r["shard"] in part_of:
+                before = wholes[part_of[r["shard"]]]
+                wholes[part_of[r["shard"]]] = before[0] + r["total"], before[1] + r["distinct"]
     answers = answers.unionByName(second.filter("block is not null").select("level", "shard", "block", "found", "more"))
-    scores = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(offsets, total, distinct), SCORES)
-    trie = first.unionByName(second).filter("block is null").select("level", "shard", "blobs")
+    scores = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(offsets, total, distinct, edges, part_of, wholes), SCORES)
+    levels = [x.filter("block is null").select("level", "shard", "blobs") for x in (first, second)]
+    trie = levels[0].unionByName(levels[1].mapInArrow(_pack_parts(part_of, wholes), TRIE))
     return scores.withColumn("train_tokens", F.lit(total).cast("bigint")), trie
 
 
