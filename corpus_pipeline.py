@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; its result is written
 as Parquet and read again as the next stage's ``docs``. All but the last return the columns of
-``documents``. A doc_id names one text; rows with the same id and text are copies.
+``documents``. Rows with the same id and text are copies; rows without an id are told apart by
+their text. Stages join on ``KEY``, a 64-bit hash of id and text that is never null.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from tidewatch.session import materialise, table
 REJECT_CHARS, REJECT_COSINE = 400, 0.1
 #: Near copies: words of a shingle and least percentage of the union.
 SHINGLE, PERCENT = 5, 80
+#: Name of a row in joins.
+KEY = "stage_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.col("text")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +35,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: the one with the smallest id, once."""
-    classes = setjoin.linked_classes(docs, shingle=SHINGLE, percent=PERCENT)
-    heads = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each class, once: the one with the smallest id, one without an id if none has one."""
+    rows = keyed(docs)
+    classes = setjoin.linked_classes(rows, doc_id=KEY, shingle=SHINGLE, percent=PERCENT)
+    classes = classes.select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    named = rows.select(KEY, "doc_id").distinct().join(classes, KEY)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
+    heads = named.groupBy("component_id").agg(F.min_by(KEY, order).alias("head")).select(F.col("head").alias(KEY))
+    kept = rows.join(heads, KEY, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents in which a window of a benchmark item stands."""
-    index = decontam.build_index(docs, decontam.term_filter(table(spark, sf_dir, "benchmark")))
-    hit = decontam.phrase_matches(index, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("hit"), "left_anti")
+    rows = keyed(docs)
+    index = decontam.build_index(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"), decontam.term_filter(table(spark, sf_dir, "benchmark")))
+    hit = decontam.phrase_matches(index, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(hit, KEY, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

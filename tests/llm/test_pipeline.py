@@ -79,6 +79,22 @@ def test_run_and_hard_cases(spark, stages):
     assert docs.count() == 0
 
 
+def test_rows_without_an_id(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(words(r.text)) >= 10)
+    near = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [
+        (None, near[0]), (None, near[0] + " more"), (None, near[0]),  # copies of each other
+        (7, near[1]), (None, near[1] + " more"), (-3, near[1] + " most"),  # copies of rows with ids
+        (None, near[2]), (9, "alone in the world"), (None, f"before {item} after"), (10, f"so {item}"), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in P.near_copies(spark, docs, SF).collect()]
+    first = [x for x in left if x in rows[:3]]
+    assert len(first) == 1 and sorted(map(str, left)) == sorted(map(str, first + rows[5:8] + rows[9:]))  # 10 holds the item of the one before it
+    clean = [(r.doc_id, r.text) for r in P.decontaminate(spark, docs, SF).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, rows[:8] + rows[10:]))
+
+
 def plain(value):
     return repr(value) if isinstance(value, float) else str(value)
 
