@@ -4,8 +4,9 @@ The first level holds the training words with their counts, the second the pairs
 neighbouring training words below their first word, the context. A level is stored in shards:
 monotone pointers from contexts to their successors and the successors themselves as
 Elias-Fano sequences (successors made monotone over contexts by adding what came before), and
-smoothed log10 probabilities quantised to steps of 1 / STEPS. Levels are opened on the bytes
-they are stored as, without a copy, and queried by successor search inside a context's range.
+smoothed log10 probabilities quantised to steps of 1 / STEPS. Opening a level expands its
+sequences to 64-bit arrays, on which successors are searched and tested against the context's
+range. The stored first level is not queried: words are scored by their exact counts.
 
 p(w | v) = (c(v, w) - D) / c(v) + D * successors(v) / c(v) * p(w), D = DISCOUNT, with
 p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); contexts never seen in training give p(w).
