@@ -8,7 +8,7 @@ and a letter is one. Candidates can lie in each other (``a=b=c`` has two values)
 
 The forest looks at a candidate's length, character classes and transitions between
 them, entropy, dictionary coverage (letter pairs common in words), shape (hexadecimal, path,
-version, dated, dashed, a placeholder) and at what stands before it. It is trained on a small table of labelled
+version, dated, dashed, a placeholder) and at the 40 characters before it, not after it. It is trained on a small table of labelled
 findings (``labelled``: at most MOST_LABELLED rows, made from templates with a fixed seed; any
 rows of that form can be given instead): extremely randomised trees over bootstrap samples.
 
