@@ -49,7 +49,7 @@ def standard_filters(text: str = "text", words_of: str = "words") -> dict[str, C
     """The failure conditions by filter letter, over a text that is not null and the column of its words."""
     body = F.col(text)
     n = F.size(words_of)
-    capitals = F.char_length(F.regexp_replace(body, "[^A-Z]+", ""))
+    capitals = F.regexp_count(body, F.lit("[A-Z]"))
     return {
         "A": n < 50,
         "B": 100 * F.size(F.array_distinct(words_of)) < 65 * n,
