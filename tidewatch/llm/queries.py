@@ -1,3 +1,3 @@
 """Importing this module registers every query of the subpackage."""
 
-from tidewatch.llm import ann, audit, bpe, chat, decontam, langid, lm, merkle, pii, secrets, setjoin, tokencount  # noqa: F401
+from tidewatch.llm import ann, audit, bpe, chat, covertree, decontam, langid, lm, merkle, pii, secrets, setjoin, tokencount  # noqa: F401
