@@ -17,7 +17,7 @@ def brute(rows, cosine):
             if i < j and l is not None and l == m and v is not None and w is not None and len(v) == len(w) and all(
                 x and all(c is not None and math.isfinite(c) for c in x) and any(x) for x in (v, w)
             ):
-                a, b = np.array(v, float), np.array(w, float)
+                a, b = (np.array(x, float) / max(map(abs, x)) for x in (v, w))
                 if a @ b / math.sqrt(a @ a) / math.sqrt(b @ b) >= cosine:
                     links[i].add(j)
                     links[j].add(i)
