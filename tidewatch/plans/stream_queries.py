@@ -18,12 +18,14 @@ from tidewatch.plans import topic
 from tidewatch.plans.derived import GENERATION, frame
 from tidewatch.plans.outbox_queries import BASE, DONE, MESSAGES, messages, states
 from tidewatch.plans.registry import query
-from tidewatch.plans.warehouse_queries import STEPS, _rounded_average
+from tidewatch.plans.warehouse_queries import SPOILT_SQL, STEPS, _rounded_average, current_sql, spoilt
 from tidewatch.session import scratch_dir, table
 from tidewatch.sources.changelog import parse_changes, raw_file_stream
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import warehouse as W
-from tidewatch.streaming.tables import BatchTable
+from tidewatch.streaming import windows as N
+from tidewatch.streaming.keyed import checked_changes, keyed_state, zero_filled_windows
+from tidewatch.streaming.tables import BatchTable, KeyedTable
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -58,10 +60,28 @@ def s8(spark, sf):
 
 @query("w3_store_metrics_streamed", _rounded_average("run_id, store_id"))
 def w3_stream(spark, sf):
+    """Repeats dropped by keyed state; every batch adds its totals."""
     root = run_folder(spark, "totals")
-    deltas = W.signed_deltas(W.drop_repeats(parse_changes(staged_topic(spark, sf, root)), "id"))
     out = BatchTable(spark, f"{root}/totals")
-    finish(J.start_totals(deltas, out, J.STORE_KEYS, f"{root}/checkpoint"))
+
+    def add(batch, batch_id):
+        out.write(W.delta_totals(W.signed_deltas(parse_changes(batch)), J.STORE_KEYS), batch_id)
+
+    with keyed_state(spark):
+        running = J.run_stream(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False), f"{root}/checkpoint", add)
+    finish(running)
+    metrics = W.live_metrics(W.merge_totals(out.read(), J.STORE_KEYS), J.STORE_KEYS)
+    return metrics.withColumns({c: F.col(c).cast("double") for c in ("revenue", "average_ticket")})
+
+
+@query("w3_running_totals_streamed", _rounded_average("run_id, store_id"))
+def w3_running(spark, sf):
+    """Totals kept in streaming state, over a log without repeats."""
+    root = run_folder(spark, "running")
+    W.drop_repeats(topic.changes(spark, sf), "id").write.parquet(f"{root}/changes")
+    stream = spark.readStream.schema(topic.changes(spark, sf).schema).parquet(f"{root}/changes")
+    out = BatchTable(spark, f"{root}/totals")
+    finish(J.start_totals(W.signed_deltas(stream), out, J.STORE_KEYS, f"{root}/checkpoint"))
     metrics = W.live_metrics(J.newest_totals(out, J.STORE_KEYS), J.STORE_KEYS)
     return metrics.withColumns({c: F.col(c).cast("double") for c in ("revenue", "average_ticket")})
 
@@ -98,13 +118,49 @@ def w6(spark, sf):
     f"WITH {STEPS} SELECT CASE step WHEN 0 THEN 'c' WHEN 3 THEN 'd' ELSE 'u' END AS op, count(*) AS n FROM steps WHERE step <> 2 GROUP BY 1",
 )
 def w7_stream(spark, sf):
+    """State holds the last position of each key."""
     root = run_folder(spark, "repeats")
-    changes = W.drop_repeats(parse_changes(staged_topic(spark, sf, root)), "id")
     out = BatchTable(spark, f"{root}/changes")
-    finish(J.run_stream(changes.select("op"), f"{root}/checkpoint", out.write))
+    with keyed_state(spark):
+        changes = parse_changes(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False))
+        running = J.run_stream(changes.select("op"), f"{root}/checkpoint", out.write)
+    finish(running)
     return out.read().groupBy("op").agg(F.count("*").alias("n"))
 
 
+@query("w9_before_image_check_streamed", SPOILT_SQL)
+def w9_stream(spark, sf):
+    """The check as a stream: an order's changes come in several runs, and wrong ones go to a quarantine table."""
+    root = run_folder(spark, "images")
+    out = BatchTable(spark, f"{root}/quarantine")
+    body = F.to_json(F.struct("op", "ts_ms", "before", "after", "source"), {"ignoreNullFields": "false"})
+    log = spoilt(spark, sf).select(body.alias("value"), "partition", "offset", "timestamp")
+    step = F.least(F.col("offset") % 4, F.lit(2))
+    for part in range(3):
+        log.filter(step == part).write.mode("append").parquet(f"{root}/topic")
+        with keyed_state(spark):
+            changes = checked_changes(raw_file_stream(spark, f"{root}/topic", fmt="parquet"), "id")
+            running = J.run_stream(changes.filter("problem is not null"), f"{root}/checkpoint", out.write)
+        finish(running)
+    wrong = parse_changes(out.read())
+    return wrong.select(F.coalesce("after.id", "before.id").alias("id"), "offset", "op")
+
+
+@query("w2_current_state_merged", current_sql())
+def w2_merged(spark, sf):
+    """Current orders from a table in key buckets, into which three parts of the log were merged one after the other."""
+    orders = KeyedTable(spark, f"{run_folder(spark, 'orders')}/dwd", ["key"], J.live_rows, buckets=8)
+    changes = topic.changes(spark, sf)
+    for batch_id in range(3):
+        part = changes.filter(F.least(F.col("offset") % 4, F.lit(2)) == batch_id)
+        orders.merge(W.current_rows(part, "id", ["partition", "offset"], with_marks=True), batch_id)
+    out = W.dwd_rows(orders.read().select("row.*"))
+    return out.select(
+        "order_id", "run_id", "store_id", "channel", F.col("amount").cast("double").alias("amount"), "status",
+        F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"),
+    )
+
+
 WINDOWS_SQL = """e AS (SELECT concat('S00', 1 + user_id % 4) AS shop_id, epoch_us(ts) // 1000 AS ms, CAST(value AS DECIMAL(12,2)) AS amount, event_type FROM events),
   p AS (SELECT *, unnest(range(ms // 5000 * 5000 - 295000, ms // 5000 * 5000 + 1, 5000)) + 300000 AS window_end_ms FROM e),
   m AS (SELECT max(ms) - 5000 AS w2, max(ms) FILTER (WHERE event_type <> 'error') - 5000 AS w1 FROM e)"""
@@ -157,6 +213,31 @@ def w13(spark, sf):
     return window_summary(out.read())
 
 
+@query(
+    "w14_latest_window_zero_filled_streamed",
+    f"""WITH {WINDOWS_SQL}, c AS (SELECT (max(ms) - 5000) // 5000 * 5000 AS window_end_ms FROM e),
+        hit AS (SELECT shop_id, count(*) AS c, sum(amount) AS a FROM e JOIN c ON ms >= window_end_ms - 300000 AND ms < window_end_ms GROUP BY shop_id)
+        SELECT s.store_id AS shop_id, CAST(window_end_ms - 300000 AS BIGINT) AS window_start_ms, CAST(window_end_ms AS BIGINT) AS window_end_ms,
+          coalesce(hit.c, 0) AS order_count, CAST(coalesce(hit.a, 0) AS DOUBLE) AS total_amount
+        FROM {topic.SHOPS_SQL} s JOIN c ON true LEFT JOIN hit ON hit.shop_id = s.store_id""",
+)
+def w14_stream(spark, sf):
+    """Every shop has a timer at each window's end; one of the shops never has an order."""
+    root = run_folder(spark, "zeros")
+    events = table(spark, sf, "events")
+    shops = topic.shops(spark, sf).withColumnRenamed("store_id", "shop_id")
+    newest = events.agg(F.max(F.floor(ntz_micros(F.col("ts")) / 1000))).first()[0]
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = BatchTable(spark, f"{root}/windows")
+    with keyed_state(spark):
+        # windows of the last day
+        windows = zero_filled_windows(sales(stream), shops, (newest or 0) - 86_400_000)
+        running = J.run_stream(windows, f"{root}/checkpoint", out.write)
+    finish(running)
+    latest = N.latest_per_shop(out.read())
+    return latest.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
 @query("w22_repeated_batches_count_once", 'SELECT user_id % 3 AS batch, count(*) AS "rows", count(DISTINCT event_id) AS ids FROM events GROUP BY 1')
 def w22(spark, sf):
     out = BatchTable(spark, f"{run_folder(spark, 'batches')}/events")

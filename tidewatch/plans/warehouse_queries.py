@@ -44,11 +44,13 @@ def deltas(spark, sf):
     return W.signed_deltas(W.drop_repeats(parsed(spark, sf), "id"))
 
 
-@query(
-    "w2_current_state",
-    f"""WITH {topic.FINAL_SQL} SELECT id AS order_id, run_id, store_id, coalesce(channel, '未知') AS channel, CAST(amount AS DOUBLE) AS amount, status,
-        strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS event_time FROM final""",
-)
+def current_sql() -> str:
+    """Comparison SQL of the current orders."""
+    return f"""WITH {topic.FINAL_SQL} SELECT id AS order_id, run_id, store_id, coalesce(channel, '未知') AS channel, CAST(amount AS DOUBLE) AS amount, status,
+        strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS event_time FROM final"""
+
+
+@query("w2_current_state", current_sql())
 def w2(spark, sf):
     out = W.dwd_rows(current(spark, sf))
     return out.select(
@@ -113,18 +115,23 @@ def w8(spark, sf):
     return deltas(spark, sf).groupBy("id").agg(F.sum("sign").alias("live"), F.count("*").alias("deltas"))
 
 
-@query(
-    "w9_before_image_check",
-    f"""WITH {STEPS} SELECT concat('o', event_id) AS id, event_id * 4 + step AS "offset", CASE step WHEN 0 THEN 'c' WHEN 3 THEN 'd' ELSE 'u' END AS op FROM steps
-        WHERE step <> 2 AND step > 0 AND event_type IN ('signup', 'purchase') AND user_id % 8 <> 7""",
-)
-def w9(spark, sf):
-    clean = W.drop_repeats(parsed(spark, sf), "id")
-    spoiled = F.col("before").withField("amount", F.lit("-1.00"))
+SPOILT_SQL = f"""WITH {STEPS} SELECT concat('o', event_id) AS id, event_id * 4 + step AS "offset", CASE step WHEN 0 THEN 'c' WHEN 3 THEN 'd' ELSE 'u' END AS op FROM steps
+        WHERE step <> 2 AND step > 0 AND event_type IN ('signup', 'purchase') AND user_id % 8 <> 7"""
+
+
+def spoilt(spark, sf, clean=None):
+    """The changes, repeats included unless ``clean`` is given, with wrong before images for some orders."""
+    changes = parsed(spark, sf) if clean is None else clean
+    spoilt_image = F.col("before").withField("amount", F.lit("-1.00"))
     wrong = (F.col("op") == "u") & (F.col("after.status").isin("PAID", "COMPLETED")) & F.col("before.amount").isNotNull()
     kind = table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("spoil_id"))
-    marked = clean.join(kind, F.coalesce(F.col("after.id"), F.col("before.id")) == F.col("spoil_id"), "left")
-    broken = marked.withColumn("before", F.when(wrong & F.col("spoil_id").isNotNull(), spoiled).otherwise(F.col("before"))).drop("spoil_id")
+    marked = changes.join(kind, F.coalesce(F.col("after.id"), F.col("before.id")) == F.col("spoil_id"), "left")
+    return marked.withColumn("before", F.when(wrong & F.col("spoil_id").isNotNull(), spoilt_image).otherwise(F.col("before"))).drop("spoil_id")
+
+
+@query("w9_before_image_check", SPOILT_SQL)
+def w9(spark, sf):
+    broken = spoilt(spark, sf, W.drop_repeats(parsed(spark, sf), "id"))
     checked = W.before_image_check(broken, "id", ["offset"])
     return checked.filter(F.col("problem").isNotNull()).select(F.coalesce("after.id", "before.id").alias("id"), "offset", "op")
 
@@ -181,12 +188,18 @@ def w12(spark, sf):
     return closed.groupBy("store_id").agg(F.count("*").alias("closed"), F.max("window_end_ms").alias("last_end")).withColumn("watermark_end", end)
 
 
+# The newest closed window: its rows, and its end for every shop.
+NEWEST_SQL = f"""closed AS (SELECT store_id, window_end_ms, order_count, total_amount FROM win JOIN wm ON win.window_end_ms <= wm.closed {{live}}),
+    newest AS (SELECT store_id, window_end_ms, order_count, total_amount FROM (SELECT *, rank() OVER (ORDER BY window_end_ms DESC) AS place FROM closed) WHERE place = 1),
+    grid AS (SELECT s.store_id, max(newest.window_end_ms) AS window_end_ms FROM {topic.SHOPS_SQL} s JOIN newest ON true GROUP BY s.store_id)"""
+
+
 @query(
     "w14_latest_window_zero_filled",
-    f"""WITH {SIGNED_SQL}, e AS (SELECT max(window_end_ms) AS window_end_ms FROM win, wm WHERE window_end_ms <= wm.closed)
-        SELECT s.store_id, CAST(e.window_end_ms - 300000 AS BIGINT) AS window_start_ms, CAST(e.window_end_ms AS BIGINT) AS window_end_ms, coalesce(w.order_count, 0) AS order_count,
-          CAST(coalesce(w.total_amount, 0) AS DOUBLE) AS total_amount
-        FROM e, {topic.SHOPS_SQL} s LEFT JOIN win w ON w.store_id = s.store_id AND w.window_end_ms = (SELECT window_end_ms FROM e)""",
+    f"""WITH {SIGNED_SQL}, {NEWEST_SQL.format(live="")}
+        SELECT s.store_id, CAST(g.window_end_ms - 300000 AS BIGINT) AS window_start_ms, CAST(g.window_end_ms AS BIGINT) AS window_end_ms, coalesce(n.order_count, 0) AS order_count,
+          CAST(coalesce(n.total_amount, 0) AS DOUBLE) AS total_amount
+        FROM {topic.SHOPS_SQL} s JOIN grid g ON g.store_id = s.store_id LEFT JOIN newest n ON n.store_id = g.store_id AND n.window_end_ms = g.window_end_ms""",
 )
 def w14(spark, sf):
     closed = N.closed_windows(windows(spark, sf), timed(spark, sf))
@@ -196,9 +209,9 @@ def w14(spark, sf):
 
 @query(
     "w14_latest_live_window_zero_filled",
-    f"""WITH {SIGNED_SQL}, e AS (SELECT max(window_end_ms) AS window_end_ms FROM win, wm WHERE window_end_ms <= wm.closed AND order_count > 0)
-        SELECT s.store_id, CAST(e.window_end_ms AS BIGINT) AS window_end_ms, coalesce(w.order_count, 0) AS order_count, CAST(coalesce(w.total_amount, 0) AS DOUBLE) AS total_amount
-        FROM e, {topic.SHOPS_SQL} s LEFT JOIN win w ON w.store_id = s.store_id AND w.order_count > 0 AND w.window_end_ms = (SELECT window_end_ms FROM e)""",
+    f"""WITH {SIGNED_SQL}, {NEWEST_SQL.format(live="AND order_count > 0")}
+        SELECT s.store_id, CAST(g.window_end_ms AS BIGINT) AS window_end_ms, coalesce(n.order_count, 0) AS order_count, CAST(coalesce(n.total_amount, 0) AS DOUBLE) AS total_amount
+        FROM {topic.SHOPS_SQL} s JOIN grid g ON g.store_id = s.store_id LEFT JOIN newest n ON n.store_id = g.store_id AND n.window_end_ms = g.window_end_ms""",
 )
 def w14_live(spark, sf):
     """The newest closed window in which some shop has live orders."""

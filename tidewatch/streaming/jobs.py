@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.sources.changelog import parse_changes
-from tidewatch.streaming.tables import BatchTable
+from tidewatch.streaming.keyed import RETENTION_MS, checked_changes, keyed_state
+from tidewatch.streaming.manifest import GRACE_MS
+from tidewatch.streaming.tables import BatchTable, KeyedTable
 from tidewatch.streaming.warehouse import (
     current_rows,
     delta_totals,
-    drop_repeats,
     dwd_rows,
     live_metrics,
     merge_totals,
@@ -38,12 +39,21 @@ def newest_changes(changes: DataFrame) -> DataFrame:
     return last.select("key", "last.deleted", "last.row", "order")
 
 
+def live_rows(changes: DataFrame) -> DataFrame:
+    """The newest change of each key that is not deleted."""
+    return newest_changes(changes).filter(~F.col("deleted"))
+
+
 @dataclass(frozen=True)
 class Warehouse:
-    """The five target tables below one folder, and how to read them."""
+    """The target tables below one folder, and how to read them.
+
+    Current orders are a keyed table, in ``buckets`` by order, and a log of the changes not merged into it yet.
+    """
 
     spark: SparkSession
     root: str
+    buckets: int = 64
 
     def table(self, name: str) -> BatchTable:
         return BatchTable(self.spark, f"{self.root}/{name}")
@@ -52,9 +62,20 @@ class Warehouse:
         """Event log; a batch is stored once however often it is replayed."""
         return self.table("ods").read().drop("batch_id")
 
+    def orders(self) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/dwd_orders", ["key"], live_rows, self.buckets)
+
     def current(self) -> DataFrame:
-        """Current orders: the newest change per key over all batches."""
-        return dwd_rows(newest_changes(self.table("dwd").read()).filter(~F.col("deleted")).select("row.*"))
+        """Current orders: what is merged, and the newer changes."""
+        parts = [t.read().drop("batch_id") for t in (self.orders(), self.table("dwd")) if t.holds_rows()]
+        if not parts:
+            raise LookupError(f"no committed batch in {self.root}")
+        changes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return dwd_rows(live_rows(changes).select("row.*"))
+
+    def quarantine(self) -> DataFrame:
+        """Changes whose before image was not the current row, as they came."""
+        return self.table("quarantine").read().drop("batch_id")
 
     def store_metrics(self) -> DataFrame:
         return live_metrics(merge_totals(self.table("dws_store").read(), STORE_KEYS), STORE_KEYS)
@@ -66,10 +87,25 @@ class Warehouse:
         return live_metrics(merge_totals(self.table("ads_run").read(), RUN_KEYS), RUN_KEYS)
 
     def fold(self) -> None:
-        """Merge the keyed tables' batches; run between streams or as a regular job."""
-        self.table("dwd").fold(newest_changes)
+        """Merge the keyed tables' batches and compact the logs; a regular job, which may run beside the streams.
+
+        Of the current orders only the buckets with changes are rewritten.
+        """
+        log = self.table("dwd")
+        ids = log.batch_ids()
+        if ids:
+            # the merged table is as old as its newest batch; the log lets go of it afterwards
+            self.orders().merge(log.read().drop("batch_id"), ids[-1])
+            log.forget(ids[-1])
         for name, keys in (("dws_store", STORE_KEYS), ("dws_minute", MINUTE_KEYS), ("ads_run", RUN_KEYS)):
             self.table(name).fold(lambda df, keys=keys: merge_totals(df, keys))
+        for name in ("ods", "quarantine"):
+            self.table(name).compact()
+
+    def vacuum(self, keep_versions: int = 1, grace_ms: int = GRACE_MS) -> None:
+        """Remove what folds and merges have replaced."""
+        for table in (self.orders(), *[self.table(n) for n in ("ods", "dwd", "dws_store", "dws_minute", "ads_run", "quarantine")]):
+            table.vacuum(keep_versions, grace_ms)
 
 
 def run_stream(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], interval: str | None = None, mode: str = "append") -> StreamingQuery:
@@ -79,14 +115,18 @@ def run_stream(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, in
     return writer.start()
 
 
-def start_warehouse(raw: DataFrame, warehouse: Warehouse, checkpoints: str, interval: str | None = None) -> list[StreamingQuery]:
-    """Feed all five tables from one raw change stream.
+def start_warehouse(
+    raw: DataFrame, warehouse: Warehouse, checkpoints: str, interval: str | None = None, retention_ms: int = RETENTION_MS
+) -> list[StreamingQuery]:
+    """Feed all tables from one raw change stream.
 
-    The log takes every raw record. The keyed tables read the parsed,
-    repeat-free changes; one cached batch serves all four of them, each storing
-    a small mergeable summary instead of rewriting its state.
+    The log takes every raw record. The keyed tables read the repeat-free changes, of which state holds one position and
+    row per key; one cached batch serves all of them, each storing a small mergeable summary instead
+    of rewriting its state. A change that does not fit the current row counts like any other, as the log has it,
+    and is put into the quarantine table for people to look at. On an interval, deleted keys are forgotten after
+    ``retention_ms``.
     """
-    ods = warehouse.table("ods")
+    ods, quarantine = warehouse.table("ods"), warehouse.table("quarantine")
     keyed = {name: warehouse.table(name) for name in ("dwd", "dws_store", "dws_minute", "ads_run")}
     for name, target in {"ods": ods, **keyed}.items():
         target.refuse_fresh_checkpoint(f"{checkpoints}/{'ods' if name == 'ods' else 'keyed'}")
@@ -97,19 +137,23 @@ def start_warehouse(raw: DataFrame, warehouse: Warehouse, checkpoints: str, inte
     def write_keyed(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            keyed["dwd"].write(current_rows(batch, "id", ["partition", "offset"], with_marks=True), batch_id)
-            deltas = signed_deltas(batch).withColumn("metric_minute", metric_minute(F.col("event_time")))
+            changes = parse_changes(batch)
+            keyed["dwd"].write(current_rows(changes, "id", ["partition", "offset"], with_marks=True), batch_id)
+            deltas = signed_deltas(changes).withColumn("metric_minute", metric_minute(F.col("event_time")))
             keyed["dws_store"].write(delta_totals(deltas, STORE_KEYS), batch_id)
             keyed["dws_minute"].write(delta_totals(deltas, MINUTE_KEYS), batch_id)
             keyed["ads_run"].write(delta_totals(deltas, RUN_KEYS), batch_id)
+            wrong = batch.filter("problem is not null")
+            if not wrong.isEmpty():
+                quarantine.write(wrong, batch_id)
         finally:
             batch.unpersist()
 
-    changes = drop_repeats(parse_changes(raw), "id")
-    return [
-        run_stream(raw, f"{checkpoints}/ods", write_log, interval),
-        run_stream(changes, f"{checkpoints}/keyed", write_keyed, interval),
-    ]
+    queries = [run_stream(raw, f"{checkpoints}/ods", write_log, interval)]
+    with keyed_state(raw.sparkSession):
+        changes = checked_changes(raw, "id", retention_ms=retention_ms if interval else None)
+        queries.append(run_stream(changes, f"{checkpoints}/keyed", write_keyed, interval))
+    return queries
 
 
 def start_totals(deltas: DataFrame, target: BatchTable, keys: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:

@@ -1,83 +1,234 @@
-"""Exactly-once batch folders: one per micro-batch, written at most once.
+"""Exactly-once tables of micro-batches, and a keyed table whose merges rewrite few files.
 
-A streaming sink hands every micro-batch over with its id. The batch goes to
-``<path>/batch_id=<id>``; a repeated id finds the committed folder and is
-skipped, an unfinished one is overwritten. Readers fold the batches, so a write
-never touches older data and costs only as much as the batch itself.
+Both publish versions in a log of manifests: a batch or merge is seen whole or not at all, a repeated
+batch id is skipped, and a read opens one manifest however many batches were written.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewatch.streaming.manifest import GRACE_MS, MAX_RETRIES, RETRY_INTERVAL_MS, CommitFailed, Conflict, Manifests
+
+
+def _schema(content: dict) -> StructType:
+    schema = StructType.fromJson(json.loads(content["schema"]))
+    for f in schema.fields:
+        f.nullable = True
+    return schema
+
+
+def _aligned(rows: DataFrame, content: dict) -> DataFrame:
+    """The rows in the types the table has had from its first version on."""
+    if "schema" not in content:
+        return rows
+    schema = _schema(content)
+    if set(schema.names) != set(rows.columns):
+        raise ValueError(f"the table has the columns {schema.names}, not {rows.columns}")
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 class BatchTable:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.path = path.rstrip("/")
+    """Batches by id, as a streaming sink hands them over.
 
-    def _file_system(self, path: str):
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+    A version lists folded parts and the batches after them. Writing a batch costs what the batch
+    costs; ``fold`` and ``compact`` keep the number of folders small, ``vacuum`` removes what they replaced.
+    """
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/batch_id={batch_id}"
+    def __init__(self, spark: SparkSession, path: str, retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.log = Manifests(spark, path, retries, interval_ms)
 
-    def _has_marker(self, folder: str) -> bool:
-        fs, marker = self._file_system(f"{folder}/_SUCCESS")
-        return fs.exists(marker)
+    @staticmethod
+    def _upto(content: dict) -> int:
+        return max([p["upto"] for p in content.get("parts", [])], default=content.get("forgotten", -1))
 
-    def _numbers(self, prefix: str) -> list[int]:
-        """Committed folders ``<prefix>=<n>``, in order."""
-        fs, root = self._file_system(self.path)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
-        found = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{prefix}="))
-        return [n for n in found if self._has_marker(f"{self.path}/{prefix}={n}")]
+    @staticmethod
+    def _folders(content: dict) -> set[str]:
+        return {p["folder"] for p in content.get("parts", [])} | set(content.get("batches", {}).values())
 
     def batch_ids(self) -> list[int]:
-        return self._numbers("batch_id")
+        """Committed batches that are in no folded part."""
+        return sorted(map(int, self.log.snapshot().content.get("batches", {})))
+
+    def _has(self, content: dict, batch_id: int) -> bool:
+        return batch_id <= self._upto(content) or str(batch_id) in content.get("batches", {})
 
     def write(self, batch: DataFrame, batch_id: int) -> bool:
         """Write a batch unless it is already there; True when written."""
-        if self._has_marker(self._folder(batch_id)):
+        before = self.log.snapshot().content
+        if self._has(before, batch_id):
             return False
-        batch.write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
-
-    def read(self) -> DataFrame:
-        """The newest folded part and all committed batches after it, with ``batch_id``."""
-        folded = self._numbers("folded")
-        upto = folded[-1] if folded else None
-        folders = [self._folder(i) for i in self.batch_ids() if upto is None or i > upto]
-        parts = []
-        if upto is not None:
-            parts.append(self.spark.read.parquet(f"{self.path}/folded={upto}").withColumn("batch_id", F.lit(upto)))
-        if folders:
-            parts.append(self.spark.read.option("basePath", self.path).parquet(*folders))
-        if not parts:
+        folder = self.log.new_folder()
+        stored = _aligned(batch.withColumn("batch_id", F.lit(batch_id)), before)
+        stored.write.parquet(f"{self.path}/{folder}")
+
+        def add(content: dict) -> dict | None:
+            if self._has(content, batch_id):
+                return None
+            batches = {**content.get("batches", {}), str(batch_id): folder}
+            return {"schema": stored.schema.json(), **content, "batches": batches}
+
+        return self.log.commit(add).content["batches"].get(str(batch_id)) == folder
+
+    def _rows(self, content: dict, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(_schema(content)).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All committed rows of a version, the newest by default, with ``batch_id``; folded ones have the last id of their part."""
+        content = self.log.snapshot(version).content
+        if not self._folders(content):
             raise LookupError(f"no committed batch in {self.path}")
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return self._rows(content, sorted(self._folders(content)))
 
     def fold(self, merge: Callable[[DataFrame], DataFrame]) -> int | None:
         """Merge everything committed so far into one part, so reads stay short.
 
-        ``merge`` must give the same result on folded data as on the batches (a
-        mergeable summary). A part counts only once complete, and the batches
-        below it are merely no longer read.
+        ``merge`` must give the same result on folded data as on the batches (a mergeable summary).
         """
-        ids = self.batch_ids()
-        if not ids:
+        return self._replace(lambda content: self._folders(content), merge, 0)
+
+    def compact(self) -> int | None:
+        """Put the batches since the last part together into one more part, for logs whose rows are never merged.
+
+        Earlier parts are not read; rows keep their batch ids.
+        """
+        return self._replace(lambda content: set(content["batches"].values()), None, None)
+
+    def _replace(self, sources: Callable[[dict], set[str]], merge: Callable[[DataFrame], DataFrame] | None, keep: int | None) -> int | None:
+        before = self.log.snapshot().content
+        if not before.get("batches"):
             return None
-        merge(self.read()).drop("batch_id").write.mode("overwrite").parquet(f"{self.path}/folded={ids[-1]}")
-        return ids[-1]
+        upto = max(map(int, before["batches"]))
+        rows = self._rows(before, sorted(sources(before)))
+        if merge is not None:
+            rows = _aligned(merge(rows).drop("batch_id").withColumn("batch_id", F.lit(upto)), before)
+        folder = self.log.new_folder()
+        rows.write.parquet(f"{self.path}/{folder}")
+
+        def put(content: dict) -> dict:
+            if content.get("parts", []) != before.get("parts", []):
+                raise CommitFailed(f"{self.path}: folded by someone else in the meantime")
+            parts = before.get("parts", [])[:keep] + [{"upto": upto, "folder": folder}]
+            batches = {i: f for i, f in content["batches"].items() if int(i) > upto}
+            return {**content, "parts": parts, "batches": batches}
+
+        self.log.commit(put)
+        return upto
+
+    def forget(self, upto: int) -> None:
+        """Let go of the batches up to an id, which another table has taken over; they still count as written."""
+
+        def put(content: dict) -> dict:
+            batches = {i: f for i, f in content.get("batches", {}).items() if int(i) > upto}
+            return {**content, "parts": [], "batches": batches, "forgotten": max(upto, self._upto(content))}
+
+        self.log.commit(put)
+
+    def holds_rows(self) -> bool:
+        return bool(self._folders(self.log.snapshot().content))
+
+    def vacuum(self, keep_versions: int = 1, grace_ms: int = GRACE_MS) -> list[str]:
+        """Remove old versions and the files only they refer to, and what dead writers have left."""
+        return self.log.vacuum(self._folders, keep_versions, grace_ms)
 
     def refuse_fresh_checkpoint(self, checkpoint: str) -> None:
         """A new checkpoint over a filled table would replay the source into it."""
-        fs, path = self._file_system(f"{checkpoint}/offsets")
-        if self.batch_ids() and not fs.exists(path):
+        if self.log.snapshot().content and not self.log.exists(f"{checkpoint}/offsets"):
             raise ValueError(f"{self.path} holds data but the checkpoint {checkpoint} is new")
+
+
+class KeyedTable:
+    """One row per key, in ``buckets`` by key hash; a merge rewrites the buckets its rows fall into.
+
+    A version maps each bucket to the folder that holds it. Buckets no row of a merge falls into keep their files,
+    and a look-up of some keys reads their buckets only. The number of buckets is fixed when the table is
+    made: one task writes a bucket, so choose it for buckets of some hundred MB.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 64,
+        retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS,
+    ) -> None:
+        self.spark, self.path, self.keys, self.merge_rows = spark, path.rstrip("/"), keys, merge
+        self.log = Manifests(spark, path, retries, interval_ms)
+        self.buckets = self.log.snapshot().content.get("count", buckets)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    @staticmethod
+    def _folders(content: dict) -> set[str]:
+        return {f.rsplit("/", 1)[0] for f in content.get("buckets", {}).values()}
+
+    def files(self) -> dict[int, str]:
+        """Folder of each bucket that holds rows."""
+        return {int(b): f for b, f in self.log.snapshot().content.get("buckets", {}).items()}
+
+    def _rows(self, content: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema, held = _schema(content), content["buckets"]
+        chosen = sorted(held) if buckets is None else [str(b) for b in buckets if str(b) in held]
+        paths = [f"{self.path}/{held[b]}" for b in chosen]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def merge(self, changes: DataFrame, batch_id: int) -> list[int] | None:
+        """Fold ``changes`` into the rows of their keys; the buckets rewritten, None for a batch merged before.
+
+        ``changes`` has the table's columns and is read twice, so a written table or a persisted batch.
+        Several rows of a key are folded by ``merge``, of which the result on folded rows must be the same.
+        """
+        marked = changes.withColumn("__bucket", self._bucket())
+        touched = sorted(r[0] for r in marked.select("__bucket").distinct().collect())  # at most as many as there are buckets
+        failures = 0
+        while True:
+            base = self.log.snapshot()
+            if batch_id <= base.content.get("upto", -1):
+                return None
+            rows = changes
+            if base.content.get("buckets"):
+                rows = self._rows(base.content, touched).unionByName(changes)
+            folded = _aligned(self.merge_rows(rows), base.content)
+            folder = self.log.new_folder()
+            placed = folded.withColumn("__bucket", self._bucket()).repartition(max(len(touched), 1), "__bucket")
+            placed.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+            written = [n for n in self.log.names(f"{self.path}/{folder}") if n.startswith("__bucket=")]
+            buckets = {b: f for b, f in base.content.get("buckets", {}).items() if int(b) not in touched}
+            buckets |= {n.split("=", 1)[1]: f"{folder}/{n}" for n in written}
+            content = {"count": self.buckets, "upto": batch_id, "buckets": buckets, "schema": folded.schema.json()}
+            try:
+                self.log.publish(base.version + 1, content)
+                return touched
+            except Conflict:
+                # rows of a touched bucket may have changed: merge with the newer ones
+                failures += 1
+                if failures > self.log.retries:
+                    raise CommitFailed(f"{self.path}: other writers were faster {failures} times") from None
+
+    def holds_rows(self) -> bool:
+        return bool(self.files())
+
+    def read(self, version: int | None = None) -> DataFrame:
+        content = self.log.snapshot(version).content
+        if not content:
+            raise LookupError(f"nothing merged into {self.path}")
+        return self._rows(content)
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of the given keys, from their buckets' files only."""
+        content = self.log.snapshot().content
+        if not content:
+            raise LookupError(f"nothing merged into {self.path}")
+        wanted = keys.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
+        buckets = [r[0] for r in wanted.select(self._bucket().alias("b")).distinct().collect()]
+        same = [F.col(f"t.`{k}`").eqNullSafe(F.col(f"w.`{k}`")) for k in self.keys]
+        rows = self._rows(content, buckets).alias("t")
+        return rows.join(wanted.alias("w"), same, "left_semi")
+
+    def vacuum(self, keep_versions: int = 1, grace_ms: int = GRACE_MS) -> list[str]:
+        return self.log.vacuum(self._folders, keep_versions, grace_ms)
