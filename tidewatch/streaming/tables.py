@@ -16,11 +16,16 @@ from pyspark.sql.types import StructType
 from tidewatch.streaming.manifest import GRACE_MS, MAX_RETRIES, RETRY_INTERVAL_MS, CommitFailed, Conflict, Manifests
 
 
+def _kept(df: DataFrame) -> str:
+    """The schema as text, with nulls allowed at every depth, as files are read back."""
+    text = df.schema.json()
+    for flag in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{flag}":false', f'"{flag}":true')
+    return text
+
+
 def _schema(content: dict) -> StructType:
-    schema = StructType.fromJson(json.loads(content["schema"]))
-    for f in schema.fields:
-        f.nullable = True
-    return schema
+    return StructType.fromJson(json.loads(content["schema"]))
 
 
 def _aligned(rows: DataFrame, content: dict) -> DataFrame:
@@ -73,7 +78,7 @@ class BatchTable:
             if self._has(content, batch_id):
                 return None
             batches = {**content.get("batches", {}), str(batch_id): folder}
-            return {"schema": stored.schema.json(), **content, "batches": batches}
+            return {"schema": _kept(stored), **content, "batches": batches}
 
         return self.log.commit(add).content["batches"].get(str(batch_id)) == folder
 
@@ -200,7 +205,7 @@ class KeyedTable:
             written = [n for n in self.log.names(f"{self.path}/{folder}") if n.startswith("__bucket=")]
             buckets = {b: f for b, f in base.content.get("buckets", {}).items() if int(b) not in touched}
             buckets |= {n.split("=", 1)[1]: f"{folder}/{n}" for n in written}
-            content = {"count": self.buckets, "upto": batch_id, "buckets": buckets, "schema": folded.schema.json()}
+            content = {"count": self.buckets, "upto": batch_id, "buckets": buckets, "schema": _kept(folded)}
             try:
                 self.log.publish(base.version + 1, content)
                 return touched
