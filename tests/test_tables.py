@@ -123,8 +123,8 @@ def test_a_merge_rewrites_only_the_buckets_it_touches(spark, folder):
     # a look-up reads the buckets of its keys
     found = table.lookup(spark.createDataFrame([(3,), (999,)], "id long"))
     assert [(r.id, r.n) for r in found.collect()] == [(3, 5)]
-    read = {f.split("/__bucket=")[1].split("/")[0] for f in found.inputFiles() if "__bucket=" in f}
-    assert len(read) <= 2 and str(spark.range(3, 4).select(table._bucket()).first()[0]) in read
+    read = {f.split("/__part=")[1].split("/")[0] for f in found.inputFiles() if "__part=" in f}
+    assert len(read) <= 2 and read <= set(before)
     gone = table.vacuum(grace_ms=0)
     assert table.read().count() == 200 and all(g not in {f.rsplit("/", 1)[0] for f in after.values()} for g in gone)
 
@@ -155,3 +155,17 @@ def test_rows_that_a_merge_drops(spark, folder):
     assert not table.holds_rows() and table.read().count() == 0
     with pytest.raises(LookupError):
         keyed(spark, f"{folder}/other").read()
+
+
+def test_parts_by_value(spark, folder):
+    """Rows are found by the values they are parted by, nulls and the empty text apart, and other parts stay."""
+    table = KeyedTable(spark, folder, ["id"], lambda df: df.groupBy("id").agg(F.max("day").alias("day"), F.max("n").alias("n")), 2, by=["day"])
+    rows = [(i, d, 1) for i, d in enumerate(["a", "b", None, "", "a/b=c", "a"])]
+    assert table.merge(spark.createDataFrame(rows, "id long, day string, n int"), mark=("job", "run-1"))
+    assert table.merge(spark.createDataFrame([(0, "a", 9)], "id long, day string, n int"), mark=("job", "run-1")) is None
+    before = table.files()
+    assert len(table.merge(spark.createDataFrame([(0, "a", 5)], "id long, day string, n int"), mark=("job", "run-2"))) == 1
+    assert sum(before[p] != f for p, f in table.files().items()) == 1
+    for value, expected in (("a", [0, 5]), (None, [2]), ("", [3]), ("a/b=c", [4]), ("none", [])):
+        assert ids(table.within(spark.createDataFrame([(value,)], "day string"))) == expected
+    assert {(r.id, r.n) for r in table.read().collect()} == {(0, 5), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)}

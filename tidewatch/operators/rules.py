@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.values import all_of, any_of, canonical_json, fingerprint, json_columns
 from tidewatch.operators.baselines import attach_baselines, baseline_name, split_entity_and_time
 from tidewatch.operators.conditions import RATIOS, Condition, MissingField, column_of, compile_condition
+from tidewatch.operators.day_partials import DayPartials
 
 # Key names the repeat mode adds itself.
 RESERVED_KEYS = ("__detected_at", "__occurrence_id")
@@ -66,9 +67,12 @@ class Rule:
             column_of(df.schema, name)
 
 
-def evaluate(df: DataFrame, rule: Rule, order_by: list[str]) -> DataFrame:
+def evaluate(df: DataFrame, rule: Rule, order_by: list[str], partials: DayPartials | None = None) -> DataFrame:
     """Rows that match a rule, with business key and evidence.
 
+    Baselines come from the rows themselves or, with ``partials``, from stored days, which the rows are part of;
+    ``df`` may then be the newest days only.
+
     Output: the dataset's columns plus ``business_key`` (canonical JSON),
     ``fingerprint``, ``row_details`` (JSON) and ``matched_conditions``.
     """
@@ -81,7 +85,12 @@ def evaluate(df: DataFrame, rule: Rule, order_by: list[str]) -> DataFrame:
     if ratio_conditions:
         entity, time_field = split_entity_and_time(df.schema, rule.key_fields)
         wanted = list(dict.fromkeys((c.field, c.baseline) for c in ratio_conditions))
-        source = attach_baselines(df, wanted, entity, time_field, order_by)
+        if partials is None:
+            source = attach_baselines(df, wanted, entity, time_field, order_by)
+        elif (partials.entity, partials.time_field) != (entity, time_field):
+            raise ValueError(f"the stored days are those of {partials.entity} by {partials.time_field}")
+        else:
+            source = partials.attach(df, wanted)
     compiled = [
         compile_condition(
             c,

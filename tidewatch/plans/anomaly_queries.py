@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import canonical_json, fingerprint, ntz_micros
@@ -10,10 +14,11 @@ from tidewatch.operators import groups as G
 from tidewatch.operators import lifecycle as L
 from tidewatch.operators.conditions import Condition
 from tidewatch.operators.recheck import recheck, result_events, store_results
+from tidewatch.operators.rule_state import RecordStore
 from tidewatch.operators.rules import Rule, Target, evaluate
 from tidewatch.plans.derived import NOW, ctes, frame, record_frame
 from tidewatch.plans.registry import query
-from tidewatch.session import materialise, table
+from tidewatch.session import materialise, scratch_dir, table
 
 ORDER = ["ts", "event_id"]
 KEYS = ["event_type", "user_id"]
@@ -63,14 +68,14 @@ def a2(spark, sf):
     )
 
 
-@query(
-    "a3_match_merge",
-    f"""WITH m AS (SELECT *, {KEY_SQL} AS k, ts < TIMESTAMP '2024-01-15' AS early FROM events WHERE value > 20),
+A3_SQL = f"""WITH m AS (SELECT *, {KEY_SQL} AS k, ts < TIMESTAMP '2024-01-15' AS early FROM events WHERE value > 20),
         g AS (SELECT k, sum(CASE WHEN early THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN early THEN 0 ELSE 1 END) AS n2 FROM m GROUP BY k)
         SELECT k AS business_key, n1 + n2 AS hit_count, n1 = 0 AS is_new, n2 > 0 AS is_hit,
           CASE WHEN n1 > 0 THEN '{RUN_1}' ELSE '{RUN_2}' END AS first_seen, CASE WHEN n2 > 0 THEN '{RUN_2}' ELSE '{RUN_1}' END AS last_seen
-        FROM g""",
-)
+        FROM g"""
+
+
+@query("a3_match_merge", A3_SQL)
 def a3(spark, sf):
     early, late = halves(spark, sf)
     first, _ = run(spark, A.empty_records(spark), early, "run-1", RUN_1)
@@ -81,6 +86,21 @@ def a3(spark, sf):
     )
 
 
+@query("a3_match_merge_stored", A3_SQL)
+def a3_stored(spark, sf):
+    """Two runs of the rule on stored records; a run of another rule in between leaves them alone."""
+    store = RecordStore(spark, f"{scratch_dir(spark)}/records-{uuid.uuid4().hex}", buckets=4)
+    early, late = halves(spark, sf)
+    store.run(early, RULE, ORDER, "run-1", datetime.fromisoformat(RUN_1))
+    store.run(late, replace(RULE, rule_id="another rule"), ORDER, "run-2", datetime.fromisoformat(RUN_1))
+    touched = store.run(late, RULE, ORDER, "run-2", datetime.fromisoformat(RUN_2))
+    records = store.of_rule(RULE.rule_id).join(touched.select("id", "is_new", "is_hit"), "id", "left")
+    return records.select(
+        "business_key", F.col("hit_count").alias("hit_count"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_new", "is_hit")],
+        F.col("first_seen_at").cast("string").alias("first_seen"), F.col("last_seen_at").cast("string").alias("last_seen"),
+    )
+
+
 @query(
     "a4_realert_after_resolve",
     f"""WITH m AS (SELECT *, {KEY_SQL} AS k, ts < TIMESTAMP '2024-01-15' AS early FROM events WHERE value > 20),

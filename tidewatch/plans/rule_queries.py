@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import anomalies as A
-from tidewatch.operators.baselines import attach_baselines, baseline_name, day_of
+from tidewatch.operators.baselines import attach_baselines, baseline_name, day_of, split_entity_and_time
 from tidewatch.operators.conditions import Condition
+from tidewatch.operators.day_partials import DayPartials
 from tidewatch.operators.rules import Rule, evaluate, run_summary
 from tidewatch.plans.registry import query
-from tidewatch.session import materialise, table
+from tidewatch.session import materialise, scratch_dir, table
 
 C = Condition
 
@@ -354,6 +357,39 @@ def thirty_day(spark, sf):
     return out.select("o_orderkey", "o_totalprice", F.round(F.col("matched_conditions")[0]["baseline_value"], 4).alias("baseline"))
 
 
+def _stored(spark, df, rule, fields, late, order, days):
+    """The rule over the newest rows, with days stored in three batches, rows for old days in the last."""
+    entity, time = split_entity_and_time(df.schema, rule.key_fields)
+    partials = DayPartials(spark, f"{scratch_dir(spark)}/days-{uuid.uuid4().hex}", entity, time, fields, order, buckets=1, days=days)
+    cut = df.agg(F.min(time) + (F.max(time) - F.min(time)) / 2).scalar()
+    early = F.col(time) < cut
+    for batch_id, part in enumerate((df.filter(early & ~late), df.filter(~early & ~late), df.filter(late))):
+        partials.add(part, batch_id)
+    return evaluate(df, rule, order, partials)
+
+
+@query(
+    "b4_seven_day_average_stored",
+    _trailing(7, "event_type", "ts", "value", GAPPY_EVENTS)
+    + " SELECT event_id, value, round(baseline, 6) AS baseline FROM b WHERE baseline IS NOT NULL AND value > baseline * 3",
+)
+def seven_day_stored(spark, sf):
+    rule = Rule("ratio", [C("value", "gt_threshold_ratio", 3, baseline="7d_avg")], ["event_type", "ts"])
+    out = _stored(spark, with_gaps(spark, sf), rule, ["value"], F.col("event_id") % 7 == 0, ["ts", "event_id"], 1)
+    return out.select("event_id", "value", F.round(F.col("matched_conditions")[0]["baseline_value"], 6).alias("baseline"))
+
+
+@query(
+    "b5_thirty_day_average_stored",
+    _trailing(30, "", "o_orderdate", "o_totalprice", "orders")
+    + " SELECT o_orderkey, o_totalprice, round(baseline, 4) AS baseline FROM b WHERE baseline IS NOT NULL AND o_totalprice > baseline * 1.9",
+)
+def thirty_day_stored(spark, sf):
+    rule = Rule("ratio", [C("o_totalprice", "gt_threshold_ratio", 1.9, baseline="30d_avg")], ["o_orderdate"])
+    out = _stored(spark, orders(spark, sf), rule, ["o_totalprice"], F.col("o_orderkey") % 7 == 0, ["o_orderdate", "o_orderkey"], 30)
+    return out.select("o_orderkey", "o_totalprice", F.round(F.col("matched_conditions")[0]["baseline_value"], 4).alias("baseline"))
+
+
 @query(
     "b6_gt_threshold_ratio_daily",
     """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS metric_date, round(sum(value), 2) AS total FROM events GROUP BY 1, 2),

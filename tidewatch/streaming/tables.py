@@ -150,90 +150,109 @@ class BatchTable:
 
 
 class KeyedTable:
-    """One row per key, in ``buckets`` by key hash; a merge rewrites the buckets its rows fall into.
+    """One row per key, in parts by the values of ``by`` and, within each, ``buckets`` by key hash.
 
-    A version maps each bucket to the folder that holds it. Buckets no row of a merge falls into keep their files,
-    and a look-up of some keys reads their buckets only. The number of buckets is fixed when the table is
-    made: one task writes a bucket, so choose it for buckets of some hundred MB.
+    A version maps each part to the folder that holds it. A merge rewrites the parts its rows fall into, all
+    others keep their files, and a look-up reads only the parts asked for. The number of buckets is fixed when
+    the table is made: one task writes a part, so choose it for parts of some hundred MB.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 64,
-        retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS,
+        by: list[str] | None = None, retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS,
     ) -> None:
-        self.spark, self.path, self.keys, self.merge_rows = spark, path.rstrip("/"), keys, merge
+        self.spark, self.path, self.keys, self.merge_rows, self.by = spark, path.rstrip("/"), keys, merge, by or []
         self.log = Manifests(spark, path, retries, interval_ms)
         self.buckets = self.log.snapshot().content.get("count", buckets)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+    def _part(self) -> Column:
+        """Name of a row's part: a digest of the ``by`` values, if any, and the bucket."""
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("string")
+        if not self.by:
+            return bucket
+        return F.concat(self._digest(), F.lit("-"), bucket)
+
+    def _digest(self) -> Column:
+        return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in self.by]).cast("binary"))
 
     @staticmethod
     def _folders(content: dict) -> set[str]:
-        return {f.rsplit("/", 1)[0] for f in content.get("buckets", {}).values()}
+        return {f.rsplit("/", 1)[0] for f in content.get("parts", {}).values()}
+
+    def files(self) -> dict[str, str]:
+        """Folder of each part that holds rows."""
+        return dict(self.log.snapshot().content.get("parts", {}))
 
-    def files(self) -> dict[int, str]:
-        """Folder of each bucket that holds rows."""
-        return {int(b): f for b, f in self.log.snapshot().content.get("buckets", {}).items()}
+    def holds_rows(self) -> bool:
+        return bool(self.files())
 
-    def _rows(self, content: dict, buckets: list[int] | None = None) -> DataFrame:
-        schema, held = _schema(content), content["buckets"]
-        chosen = sorted(held) if buckets is None else [str(b) for b in buckets if str(b) in held]
-        paths = [f"{self.path}/{held[b]}" for b in chosen]
+    def _rows(self, content: dict, chosen: list[str]) -> DataFrame:
+        schema, held = _schema(content), content["parts"]
+        paths = [f"{self.path}/{held[p]}" for p in sorted(chosen) if p in held]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def merge(self, changes: DataFrame, batch_id: int) -> list[int] | None:
-        """Fold ``changes`` into the rows of their keys; the buckets rewritten, None for a batch merged before.
+    def merge(self, changes: DataFrame, batch_id: int | None = None, mark: tuple[str, str] | None = None) -> list[str] | None:
+        """Fold ``changes`` into the rows of their keys; the parts rewritten, None for what was merged before.
 
         ``changes`` has the table's columns and is read twice, so a written table or a persisted batch.
         Several rows of a key are folded by ``merge``, of which the result on folded rows must be the same.
+        What was merged before is told by ``batch_id``, a growing number, or by ``mark``: a name and what it merged last.
         """
-        marked = changes.withColumn("__bucket", self._bucket())
-        touched = sorted(r[0] for r in marked.select("__bucket").distinct().collect())  # at most as many as there are buckets
+        marked = changes.withColumn("__part", self._part())
+        touched = sorted(r[0] for r in marked.select("__part").distinct().collect())  # at most as many as there are parts
         failures = 0
         while True:
             base = self.log.snapshot()
-            if batch_id <= base.content.get("upto", -1):
+            marks = base.content.get("marks", {})
+            if (batch_id is not None and batch_id <= base.content.get("upto", -1)) or (mark is not None and marks.get(mark[0]) == mark[1]):
                 return None
             rows = changes
-            if base.content.get("buckets"):
+            if base.content:
                 rows = self._rows(base.content, touched).unionByName(changes)
             folded = _aligned(self.merge_rows(rows), base.content)
             folder = self.log.new_folder()
-            placed = folded.withColumn("__bucket", self._bucket()).repartition(max(len(touched), 1), "__bucket")
-            placed.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
-            written = [n for n in self.log.names(f"{self.path}/{folder}") if n.startswith("__bucket=")]
-            buckets = {b: f for b, f in base.content.get("buckets", {}).items() if int(b) not in touched}
-            buckets |= {n.split("=", 1)[1]: f"{folder}/{n}" for n in written}
-            content = {"count": self.buckets, "upto": batch_id, "buckets": buckets, "schema": _kept(folded)}
+            placed = folded.withColumn("__part", self._part()).repartition(max(len(touched), 1), "__part")
+            placed.write.partitionBy("__part").parquet(f"{self.path}/{folder}")
+            written = [n for n in self.log.names(f"{self.path}/{folder}") if n.startswith("__part=")]
+            parts = {p: f for p, f in base.content.get("parts", {}).items() if p not in touched}
+            parts |= {n.split("=", 1)[1]: f"{folder}/{n}" for n in written}
+            content = {"schema": _kept(folded), **base.content, "count": self.buckets, "parts": parts}
+            if batch_id is not None:
+                content["upto"] = batch_id
+            if mark is not None:
+                content["marks"] = {**marks, mark[0]: mark[1]}
             try:
                 self.log.publish(base.version + 1, content)
                 return touched
             except Conflict:
-                # rows of a touched bucket may have changed: merge with the newer ones
+                # rows of a touched part may have changed: merge with the newer ones
                 failures += 1
                 if failures > self.log.retries:
                     raise CommitFailed(f"{self.path}: other writers were faster {failures} times") from None
 
-    def holds_rows(self) -> bool:
-        return bool(self.files())
-
-    def read(self, version: int | None = None) -> DataFrame:
+    def _content(self, version: int | None = None) -> dict:
         content = self.log.snapshot(version).content
         if not content:
             raise LookupError(f"nothing merged into {self.path}")
-        return self._rows(content)
+        return content
+
+    def read(self, version: int | None = None) -> DataFrame:
+        content = self._content(version)
+        return self._rows(content, list(content["parts"]))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """The rows of the given keys, from their buckets' files only."""
-        content = self.log.snapshot().content
-        if not content:
-            raise LookupError(f"nothing merged into {self.path}")
-        wanted = keys.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
-        buckets = [r[0] for r in wanted.select(self._bucket().alias("b")).distinct().collect()]
+        """The rows of the given keys (with their ``by`` columns), from their parts' files only."""
+        content = self._content()
+        wanted = keys.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*self.by, *self.keys])]).distinct()
+        parts = [r[0] for r in wanted.select(self._part().alias("p")).distinct().collect()]
         same = [F.col(f"t.`{k}`").eqNullSafe(F.col(f"w.`{k}`")) for k in self.keys]
-        rows = self._rows(content, buckets).alias("t")
-        return rows.join(wanted.alias("w"), same, "left_semi")
+        return self._rows(content, parts).alias("t").join(wanted.alias("w"), same, "left_semi")
+
+    def within(self, values: DataFrame) -> DataFrame:
+        """The rows of the given ``by`` values, from their parts' files only; ``values`` are few, as parts are."""
+        content = self._content()
+        digests = {r[0] for r in values.select(self._digest().alias("d")).distinct().collect()}
+        return self._rows(content, [p for p in content["parts"] if p.rsplit("-", 1)[0] in digests])
 
     def vacuum(self, keep_versions: int = 1, grace_ms: int = GRACE_MS) -> list[str]:
         return self.log.vacuum(self._folders, keep_versions, grace_ms)
