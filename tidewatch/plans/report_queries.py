@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from tidewatch.functions.values import formula_safe
 from tidewatch.operators import outbox as O
 from tidewatch.operators import reports as R
+from tidewatch.operators.listing import PagedList, SearchList
 from tidewatch.plans.derived import GENERATION, ctes, frame, record_frame
 from tidewatch.plans.outbox_queries import BASE, IN_TRANSIT, states
 from tidewatch.plans.registry import query
-from tidewatch.session import table
+from tidewatch.session import scratch_dir, table
 
 TODAY = date(2024, 1, 30)
 FIELD_SQL = "CASE WHEN event_type = 'error' THEN 'value' WHEN event_type = 'view' THEN 'user_id' ELSE event_type END"
@@ -30,11 +32,32 @@ def r1_in_transit(spark, sf):
     return R.filter_records(record_frame(spark, sf), severity="high", push_status="in_transit", transit=transit).select("id", "status", "severity")
 
 
-@query("r2_literal_search", ctes("records") + " SELECT id, dataset_name FROM records WHERE contains(dataset_name, 't_3') OR contains(rule_name, 't_3')")
+R2_SQL = ctes("records") + " SELECT id, dataset_name FROM records WHERE contains(dataset_name, 't_3') OR contains(rule_name, 't_3')"
+
+
+@query("r2_literal_search", R2_SQL)
 def r2(spark, sf):
     return R.filter_records(record_frame(spark, sf), search="t_3").select("id", "dataset_name")
 
 
+def search_list(spark, sf):
+    """The records in ranges of their names, with postings of these and of the condition fields."""
+    fields = F.transform("matched_conditions", lambda c: c["field"])
+    out = SearchList(spark, f"{scratch_dir(spark)}/names-{uuid.uuid4().hex}", ["rule_name", "dataset_name"], fields, rows_per_range=2_000)
+    out.build(record_frame(spark, sf))
+    return out
+
+
+@query("r2_literal_search_indexed", R2_SQL)
+def r2_indexed(spark, sf):
+    return search_list(spark, sf).search("t_3").select("id", "dataset_name")
+
+
+@query("r3_condition_field_search_indexed", ctes("records") + f" SELECT id FROM records WHERE {FIELD_SQL} = 'user_id'")
+def r3_indexed(spark, sf):
+    return search_list(spark, sf).search("user_id").select("id")
+
+
 @query("r3_condition_field_search", ctes("records") + f" SELECT id FROM records WHERE {FIELD_SQL} = 'user_id'")
 def r3(spark, sf):
     return R.filter_records(record_frame(spark, sf), search="user_id").select("id")
@@ -54,6 +77,21 @@ def r5(spark, sf):
     return rows.select("id", total.alias("total"))
 
 
+@query(
+    "r5_page_from_ranges",
+    ctes("records")
+    + """, placed AS (SELECT id, row_number() OVER (ORDER BY first_seen_at DESC, id) - 1 AS place, count(*) OVER () AS total FROM records)
+        SELECT id, total FROM placed WHERE place // 20 = total // 40""",
+)
+def r5_ranges(spark, sf):
+    """The page in the middle of the list, from the stored ranges it falls into."""
+    pages = PagedList(spark, f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex}", R.record_order(), rows_per_range=2_000)
+    pages.build(record_frame(spark, sf))
+    _, total = pages.page()
+    rows, total = pages.page(total // 40 + 1, 20)
+    return rows.select("id", F.lit(total).cast("bigint").alias("total"))
+
+
 @query(
     "r6_delivery_rollup",
     ctes("records", "notifications")

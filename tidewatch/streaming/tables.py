@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from tidewatch.streaming.manifest import GRACE_MS, MAX_RETRIES, RETRY_INTERVAL_MS, CommitFailed, Conflict, Manifests
 
 
-def _kept(df: DataFrame) -> str:
+def kept_schema(df: DataFrame) -> str:
     """The schema as text, with nulls allowed at every depth, as files are read back."""
     text = df.schema.json()
     for flag in ("nullable", "containsNull", "valueContainsNull"):
@@ -78,7 +78,7 @@ class BatchTable:
             if self._has(content, batch_id):
                 return None
             batches = {**content.get("batches", {}), str(batch_id): folder}
-            return {"schema": _kept(stored), **content, "batches": batches}
+            return {"schema": kept_schema(stored), **content, "batches": batches}
 
         return self.log.commit(add).content["batches"].get(str(batch_id)) == folder
 
@@ -216,7 +216,7 @@ class KeyedTable:
             written = [n for n in self.log.names(f"{self.path}/{folder}") if n.startswith("__part=")]
             parts = {p: f for p, f in base.content.get("parts", {}).items() if p not in touched}
             parts |= {n.split("=", 1)[1]: f"{folder}/{n}" for n in written}
-            content = {"schema": _kept(folded), **base.content, "count": self.buckets, "parts": parts}
+            content = {"schema": kept_schema(folded), **base.content, "count": self.buckets, "parts": parts}
             if batch_id is not None:
                 content["upto"] = batch_id
             if mark is not None:
