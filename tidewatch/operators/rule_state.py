@@ -17,10 +17,10 @@ from tidewatch.operators.rules import Rule, evaluate
 from tidewatch.session import materialise
 from tidewatch.streaming.tables import KeyedTable
 
-VERSION = "state_version"
+VERSION = "version"
 
 
-def _newest(rows: DataFrame) -> DataFrame:
+def newest_version(rows: DataFrame) -> DataFrame:
     """The row of each id with the highest version."""
     body = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     return rows.groupBy("id").agg(F.max_by(body, VERSION).alias("__row")).select("__row.*")
@@ -29,7 +29,7 @@ def _newest(rows: DataFrame) -> DataFrame:
 class RecordStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
         self.spark = spark
-        self.table = KeyedTable(spark, path, ["id"], _newest, buckets, by=["rule_id"])
+        self.table = KeyedTable(spark, path, ["id"], newest_version, buckets, by=["rule_id"])
 
     def all(self) -> DataFrame:
         return self.table.read().drop(VERSION) if self.table.holds_rows() else A.empty_records(self.spark)

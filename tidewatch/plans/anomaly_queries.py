@@ -13,12 +13,14 @@ from tidewatch.operators import anomalies as A
 from tidewatch.operators import groups as G
 from tidewatch.operators import lifecycle as L
 from tidewatch.operators.conditions import Condition
+from tidewatch.operators.due import DueIndex, deadlines
 from tidewatch.operators.recheck import recheck, result_events, store_results
-from tidewatch.operators.rule_state import RecordStore
+from tidewatch.operators.rule_state import RecordStore, newest_version
 from tidewatch.operators.rules import Rule, Target, evaluate
 from tidewatch.plans.derived import NOW, ctes, frame, record_frame
 from tidewatch.plans.registry import query
 from tidewatch.session import materialise, scratch_dir, table
+from tidewatch.streaming.tables import KeyedTable
 
 ORDER = ["ts", "event_id"]
 KEYS = ["event_type", "user_id"]
@@ -347,12 +349,14 @@ def a17(spark, sf):
     )
 
 
-@query(
-    "a18_expire_due",
+A18_SQL = (
     ctes("records")
     + f""" SELECT id, 'timed_out' AS status, '{NOW}' AS timed_out_at, 'validation_timed_out' AS event_type FROM records
-        WHERE status IN ('pending', 'processing') AND validation_deadline <= TIMESTAMP '{NOW}'""",
+        WHERE status IN ('pending', 'processing') AND validation_deadline <= TIMESTAMP '{NOW}'"""
 )
+
+
+@query("a18_expire_due", A18_SQL)
 def a18(spark, sf):
     after, log = L.expire(record_frame(spark, sf).drop("event_type"), NOW)
     return log.join(after, F.col("anomaly_id") == F.col("id")).select(
@@ -360,6 +364,26 @@ def a18(spark, sf):
     )
 
 
+@query("a18_expire_due_indexed", A18_SQL)
+def a18_indexed(spark, sf):
+    """Deadlines from an index by day, the records looked up in their buckets and put back timed out."""
+    folder = f"{scratch_dir(spark)}/due-{uuid.uuid4().hex}"
+    records = record_frame(spark, sf).drop("event_type")
+    stored = KeyedTable(spark, f"{folder}/records", ["id"], newest_version, buckets=8)
+    stored.merge(materialise(records.withColumn("version", F.lit(0)), "records"))
+    index = DueIndex(spark, f"{folder}/deadlines", 86_400)
+    index.change(None, deadlines(records))
+    due = index.due(NOW)
+    after, log = L.expire(stored.lookup(due.select("id")).drop("version"), NOW)
+    after = materialise(after, "expired")
+    stored.merge(after.withColumn("version", F.lit(1)))
+    index.change(due, deadlines(after))
+    now_out = stored.read().filter("version = 1")
+    return log.join(now_out, F.col("anomaly_id") == F.col("id")).select(
+        "id", "status", F.col("timed_out_at").cast("string").alias("timed_out_at"), "event_type"
+    )
+
+
 @query(
     "a18_expire_due_batch",
     ctes("records")

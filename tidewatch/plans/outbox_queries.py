@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import backoff_seconds, request_backoff_seconds
 from tidewatch.operators import groups as G
 from tidewatch.operators import outbox as O
+from tidewatch.operators.due import DueIndex, claims
+from tidewatch.operators.rule_state import newest_version
 from tidewatch.plans.derived import GENERATION, NOW, ctes, frame, record_frame
 from tidewatch.plans import registry
 from tidewatch.plans.registry import query
-from tidewatch.session import table
+from tidewatch.session import materialise, scratch_dir, table
+from tidewatch.streaming.tables import KeyedTable
 
 
 def states(spark, sf):
@@ -166,21 +171,34 @@ def d8(spark, sf):
 OFF = "CASE WHEN ds IN ('pending', 'failed') THEN 'aborted' WHEN ds = 'sending' THEN 'uncertain' END"
 
 
-@query(
-    "d9_stale_leases",
-    f"""{BASE}, s AS (SELECT j.*, {DONE} AS done, {OFF} AS off FROM j, t WHERE (status IN ('executing', 'sending') AND updated_at <= now - INTERVAL 32 SECOND)
+D9_SQL = f"""{BASE}, s AS (SELECT j.*, {DONE} AS done, {OFF} AS off FROM j, t WHERE (status IN ('executing', 'sending') AND updated_at <= now - INTERVAL 32 SECOND)
           OR (status IN ('publishing', 'dispatching') AND updated_at <= now - INTERVAL 30 SECOND) OR (status = 'ds_scheduled' AND updated_at <= now - INTERVAL 10 MINUTE))
         SELECT id, status, CASE WHEN cancel_requested THEN CASE WHEN off IS NOT NULL THEN off ELSE coalesce(done, 'aborted') END WHEN generation <> 2 THEN 'aborted'
             WHEN status = 'publishing' THEN 'pending_publish' WHEN status = 'dispatching' THEN 'kafka_queued' WHEN status = 'ds_scheduled' THEN 'pending_publish'
             WHEN done IS NOT NULL THEN done WHEN ds = 'sending' THEN CASE WHEN kind = 'validation' THEN 'failed' ELSE 'uncertain' END ELSE 'pending_publish' END AS set_status,
           CASE WHEN cancel_requested OR generation <> 2 THEN off WHEN status IN ('executing', 'sending') AND ds = 'sending' AND kind <> 'validation' THEN 'uncertain' END AS set_delivery_status
-        FROM s""",
-)
+        FROM s"""
+
+
+@query("d9_stale_leases", D9_SQL)
 def d9(spark, sf):
     out = O.stale_jobs(frame(spark, sf, "jobs"), states(spark, sf), GENERATION, NOW, 10, None)
     return out.select("id", "status", "set_status", "set_delivery_status")
 
 
+@query("d9_stale_leases_indexed", D9_SQL)
+def d9_indexed(spark, sf):
+    """Ends of claims from an index by hour; only the jobs found there are looked up."""
+    folder = f"{scratch_dir(spark)}/claims-{uuid.uuid4().hex}"
+    jobs = frame(spark, sf, "jobs")
+    stored = KeyedTable(spark, f"{folder}/jobs", ["id"], newest_version, buckets=8)
+    stored.merge(materialise(jobs.withColumn("version", F.lit(0)), "jobs"))
+    index = DueIndex(spark, f"{folder}/claims")
+    index.change(None, claims(jobs, 10))
+    out = O.stale_jobs(stored.lookup(index.due(NOW).select("id")).drop("version"), states(spark, sf), GENERATION, NOW, 10, None)
+    return out.select("id", "status", "set_status", "set_delivery_status")
+
+
 ABORT = f"""touched AS (SELECT j.*, status IN ('pending_publish', 'kafka_queued', 'ds_scheduled', 'executing', 'failed') AS hit, {OFF} AS off FROM j
   WHERE generation < 3 AND status NOT IN ('sent', 'uncertain', 'aborted'))"""
 

@@ -159,9 +159,10 @@ class KeyedTable:
 
     def __init__(
         self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 64,
-        by: list[str] | None = None, retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS,
+        by: list[str] | None = None, ordered: bool = False, retries: int = MAX_RETRIES, interval_ms: int = RETRY_INTERVAL_MS,
     ) -> None:
-        self.spark, self.path, self.keys, self.merge_rows, self.by = spark, path.rstrip("/"), keys, merge, by or []
+        """``ordered``: parts are named by the one ``by`` column, a whole number, so that ranges of it can be read."""
+        self.spark, self.path, self.keys, self.merge_rows, self.by, self.ordered = spark, path.rstrip("/"), keys, merge, by or [], ordered
         self.log = Manifests(spark, path, retries, interval_ms)
         self.buckets = self.log.snapshot().content.get("count", buckets)
 
@@ -173,6 +174,8 @@ class KeyedTable:
         return F.concat(self._digest(), F.lit("-"), bucket)
 
     def _digest(self) -> Column:
+        if self.ordered:
+            return F.col(f"`{self.by[0]}`").cast("bigint").cast("string")
         return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in self.by]).cast("binary"))
 
     @staticmethod
@@ -254,5 +257,10 @@ class KeyedTable:
         digests = {r[0] for r in values.select(self._digest().alias("d")).distinct().collect()}
         return self._rows(content, [p for p in content["parts"] if p.rsplit("-", 1)[0] in digests])
 
+    def upto(self, value: int) -> DataFrame:
+        """The rows whose ``by`` number is at most ``value``, from their parts' files only."""
+        content = self._content()
+        return self._rows(content, [p for p in content["parts"] if int(p.rsplit("-", 1)[0]) <= value])
+
     def vacuum(self, keep_versions: int = 1, grace_ms: int = GRACE_MS) -> list[str]:
         return self.log.vacuum(self._folders, keep_versions, grace_ms)
