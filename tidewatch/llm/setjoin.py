@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import SPACED, hashed_words, mix, pick, shingle_hashes, utf8
+from tidewatch.llm.text import SPACED, hashed_words, mix, pick, release, shingle_hashes, utf8
 from tidewatch.plans.registry import query
 from tidewatch.session import materialise, table
 
@@ -49,8 +49,11 @@ SHINGLE, PERCENT = 4, 85
 #: Seeds of the block sketches, least spare blocks for empty ones (a share of the others).
 SEEDS, SPARE = 4, 0.07
 #: Bits that a shingle can toggle in a block; least and most words of the sketch of a whole
-#: set, which has four bits a shingle (a set beyond the most still gets a valid bound).
-BLOCK_BITS, SKETCH_WORDS, MOST_WORDS = 1 << 20, 8, 4096
+#: set, which has four bits a shingle (a set beyond the most still gets a valid bound), and most words
+#: of the one that goes with each block of a set.
+BLOCK_BITS, SKETCH_WORDS, MOST_WORDS, CARRIED_WORDS = 1 << 20, 8, 4096, 32
+#: Rows of a batch looked at in one step.
+ROWS = 512
 #: Size of the bit field that picks the texts to read again, rounds of contraction, and
 #: earlier blocks of a set that a pair is looked up in before it is told again.
 FILTER_BITS, ROUNDS, EARLIER = 22, 1, 8
@@ -136,20 +139,21 @@ def name(shingles: np.ndarray) -> int:
 
 def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple]:
     """(doc_id, sorted distinct shingles) of a batch of (doc_id, text)."""
-    ids = part.column(0).to_pylist()
-    for first, end, upto, words in hashed_words(*utf8(part.column(1)), SPACED):
-        for i in range(end - first):
-            yield ids[first + i], np.unique(shingle_hashes(words[upto[i]:upto[i + 1]], shingle))
+    for low in range(0, part.num_rows, ROWS):
+        some = part.slice(low, ROWS)
+        ids = some.column(0).to_pylist()
+        for first, end, upto, words in hashed_words(*utf8(some.column(1)), SPACED):
+            for i in range(end - first):
+                yield ids[first + i], np.unique(shingle_hashes(words[upto[i]:upto[i + 1]], shingle))
 
 
 def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, with_keys: bool = True) -> DataFrame:
-    """One row per document: doc_id, fp, n, short, sketch, keys; a task gives a set's sketches and keys once.
+    """One row per document: doc_id, fp, n, short, carried, sketch, keys; a task gives a set's sketches and keys once.
 
     Keys are many; without them a pass costs less and its result is small enough to store.
     """
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("short", "sketch", "keys")],
-    ])
+    lists = ("short", "carried", "sketch", "keys")
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), *[(c, pa.list_(pa.int64())) for c in lists]])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         ids, fps, sizes, *arrays = zip(*rows, strict=True)
@@ -168,24 +172,25 @@ def sketches(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, with
             held, size = [], 0
             for doc, shingles in _sets(part, shingle):
                 if not len(shingles):
-                    held.append((doc, None, 0, nothing, nothing, nothing))
+                    held.append((doc, None, 0, *[nothing] * len(lists)))
                     continue
                 fp = name(shingles)
                 if fp in seen:
-                    held.append((doc, fp, len(shingles), nothing, nothing, nothing))
+                    held.append((doc, fp, len(shingles), *[nothing] * len(lists)))
                     continue
                 seen.add(fp)
                 keys = block_keys(shingles, percent).view(np.int64) if with_keys else nothing
                 sketch = parity(shingles)
-                held.append((doc, fp, len(shingles), folded(sketch), sketch, keys))
+                held.append((doc, fp, len(shingles), folded(sketch), folded(sketch, min(len(sketch), CARRIED_WORDS)), sketch, keys))
                 size += len(keys) + len(sketch) + 16
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield batch(held)
                     held, size = [], 0
             if held:
                 yield batch(held)
+        release()
 
-    return df.mapInArrow(run, "doc_id long, fp long, n long, short array<long>, sketch array<long>, keys array<long>")
+    return df.mapInArrow(run, f"doc_id long, fp long, n long, {', '.join(f'{c} array<long>' for c in lists)}")
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -221,11 +226,12 @@ def _set_rows(df: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame:
                     continue
                 held.append((name(shingles), shingles.tobytes()))
                 size += len(shingles)
-                if size > 1 << 19:
+                if size > 1 << 18:
                     yield packed(held)
                     held, size = [], 0
             if held:
                 yield packed(held)
+        release()
 
     placed = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
     return placed.mapInArrow(run, "fp long, shingles binary")
@@ -243,8 +249,8 @@ def _near(percent: int, a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """``_near``, and so are the whole sketches.
+def _may_link(percent: int, a: str, b: str, sketch: str = "sketch") -> Column:
+    """``_near``, and so are the wider sketches of that name.
 
     Sizes that fit differ by less than the factor two, so at most one side's sketch is
     folded once.
@@ -253,7 +259,7 @@ def _may_link(percent: int, a: str, b: str) -> Column:
         half = F.shiftright(F.size(x), 1)
         return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
-    x, y = F.col(f"sketch_{a}"), F.col(f"sketch_{b}")
+    x, y = F.col(f"{sketch}_{a}"), F.col(f"{sketch}_{b}")
     left, right = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
     apart = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
     return _near(percent, a, b) & (apart * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent))
@@ -272,8 +278,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep = []
-            for x, y in zip(part.column("of_a").to_pylist(), part.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(part.column("of_a"), part.column("of_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             kept = pa.array(keep, pa.bool_())
@@ -311,7 +317,7 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     # equal sets: one node each, with the sketch of whichever task gave one
     nodes = drawn.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("holder"), F.first("n").alias("n"),
-        *[F.max(F.when(F.size(c) > 0, F.col(c))).alias(c) for c in ("short", "sketch")],
+        *[F.max(F.when(F.size(c) > 0, F.col(c))).alias(c) for c in ("short", "carried", "sketch")],
     )
     nodes = materialise(nodes, "nodes")
 
@@ -353,12 +359,13 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     # by few of the others: those whose EARLIER blocks before have none in common)
     own = Window.partitionBy("fp").orderBy("k")
     known = known.withColumn("earlier", F.array(*[F.coalesce(F.lag("k", i).over(own), F.col("fp")) for i in range(1, EARLIER + 1)]))
-    known = materialise(known.join(nodes.select("fp", "n", "short"), "fp"), "open-sets")
-    columns = ("fp", "root", "n", "short", "earlier")
+    # the wider sketch goes along, so that of a large group of near copies only those close to the threshold leave the join
+    known = materialise(known.join(nodes.select("fp", "n", "short", "carried"), "fp"), "open-sets")
+    columns = ("fp", "root", "n", "short", "carried", "earlier")
     sides = [known.select("k", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
     apart = sides[0].join(
         sides[1],
-        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _near(percent, "a", "b")
+        (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b", "carried")
         & ~F.arrays_overlap("earlier_a", "earlier_b"),
     )
     rest = apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()

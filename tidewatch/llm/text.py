@@ -44,6 +44,12 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def release() -> None:
+    """Give back what a worker need not keep between tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
