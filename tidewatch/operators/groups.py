@@ -232,11 +232,12 @@ def group_messages(
     )
     base_rows = (
         groups.join(sizes, GROUP_KEY, "left")
-        .join(people, GROUP_KEY, "left")
         .withColumn("record_count", F.coalesce("record_count", F.lit(0)))
         .withColumn("total_parts", F.greatest(F.ceil(F.col("record_count") / CHUNK), F.lit(1)).cast("int"))
         .withColumn("part_index", F.explode(F.sequence(F.lit(1), F.col("total_parts"))))
         .join(chunks, [*GROUP_KEY, "part_index"], "left")
+        # only the first part names people, so only that carries them
+        .join(people.withColumn("part_index", F.lit(1)), [*GROUP_KEY, "part_index"], "left")
     )
     url = F.concat(F.lit(f"{base}/#anomaly-groups/"), F.col("run_id"))
     group = {c: F.col(c) for c in ("rule_name", "detected_at", "scanned_rows", "matched_rows", "new_anomalies")}
@@ -252,7 +253,7 @@ def group_messages(
         F.concat(F.array(text_node(F.lit("请关注："))), F.transform("people", lambda u: mention_node(u)))
     )
     lines = F.when(
-        (F.col("part_index") == 1) & F.col("people").isNotNull(), F.concat(lines, attention)
+        F.col("people").isNotNull(), F.concat(lines, attention)
     ).otherwise(lines)
     suffix = F.when(
         F.col("total_parts") > 1,

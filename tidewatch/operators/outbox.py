@@ -205,21 +205,23 @@ def completed_status(kind: Column, delivery_status: Column) -> Column:
     )
 
 
-def classify_messages(messages: DataFrame, jobs: DataFrame, states: DataFrame, generation: int, aborting: bool = False) -> DataFrame:
+def classify_messages(messages: DataFrame, jobs: DataFrame, states: DataFrame, generation: int, aborting: bool = False, bounded: bool = False) -> DataFrame:
     """What to do with each consumed message (``value`` JSON); a stream calls it per micro-batch.
 
     The tests apply in order: invalid, duplicate, paused, in progress,
-    duplicate, reconciled, dispatch. Jobs are looked up skew-safely, as one job's
-    message may be delivered any number of times.
+    duplicate, reconciled, dispatch. Only the jobs that are spoken of are looked into. They are looked up
+    skew-safely, as one job's message may be delivered any number of times; a ``bounded`` batch, whose jobs are
+    few, is joined with them as it is.
     """
     event = F.from_json("value", "version int, job_id string, generation int, kind string")
     parsed = messages.withColumn("event", F.explode(F.array(event))).withColumn("job_id", F.col("event.job_id"))
-    known = with_delivery(jobs, states).select(
+    told = parsed.select(F.col("job_id").alias("id")).distinct()
+    known = with_delivery(jobs.join(told, "id", "left_semi"), states).select(
         F.col("id").alias("job_id"), F.col("generation").alias("job_generation"), F.col("kind").alias("job_kind"),
         F.col("status").alias("job_status"), "cancel_requested", "delivery_status",
     )
     found = ["job_generation", "job_kind", "job_status", "cancel_requested", "delivery_status"]
-    joined = lookup(parsed, known, ["job_id"], found, messages.columns)
+    joined = parsed.join(known, "job_id", "left") if bounded else lookup(parsed, known, ["job_id"], found, messages.columns)
     done = completed_status(F.col("job_kind"), F.col("delivery_status"))
     differs = (
         ~F.col("event.generation").eqNullSafe(F.col("job_generation"))

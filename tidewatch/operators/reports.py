@@ -272,11 +272,11 @@ def group_member_records(members: DataFrame, records: DataFrame, rule_id: str, d
 
 def record_details(
     anomaly_id: str, events: DataFrame, notifications: DataFrame, requests: DataFrame, jobs: DataFrame,
-    members: DataFrame, broadcasts: DataFrame, submissions: DataFrame,
+    members: DataFrame, broadcasts: DataFrame, submissions: DataFrame, records: DataFrame,
 ) -> DataFrame:
-    """Everything attached to one record: its own children and its groups' jobs.
+    """One record with everything attached to it: its own children and its groups' jobs.
 
-    One row per child: ``section``, ``sort_at``, ``sort_id`` and a JSON ``body``.
+    One row for the record, with all its columns, and one per child: ``section``, ``sort_at``, ``sort_id`` and a JSON ``body``.
     Children stay rows rather than nested lists, so a record with very many of
     them is still spread over tasks.
     """
@@ -284,6 +284,7 @@ def record_details(
 
     def section(name: str, rows: DataFrame, at: str | None, sort_id: str, columns: list[str]) -> DataFrame:
         when = F.col(at) if at else F.lit(None)
+        columns = [c for c in columns if c in rows.columns]
         return rows.select(
             F.lit(name).alias("section"), when.cast("timestamp_ntz").alias("sort_at"),
             F.col(sort_id).cast("string").alias("sort_id"), F.to_json(F.struct(*columns)).alias("body"),
@@ -292,22 +293,24 @@ def record_details(
     groups = members.filter(mine).select(*GROUP_KEY).distinct()
     shared = broadcasts.join(groups, GROUP_KEY, "left_semi").select(F.col("id").alias("delivery_id"))
     group_jobs = jobs.filter(F.col("kind") == "group_broadcast").join(shared, "delivery_id", "left_semi")
-    job_columns = ["id", "kind", "status", "publish_attempts", "dispatch_attempts"]
+    job_columns = ["id", "kind", "status", "publish_attempts", "dispatch_attempts", "next_attempt_at", "last_error", "updated_at"]
+    job_columns = [c for c in job_columns if c in jobs.columns]
     kept = ["created_at", *job_columns]
     all_jobs = jobs.filter(mine).select(*kept).unionByName(group_jobs.select(*kept)).distinct()
     return (
-        section("timeline", events.filter(mine), "created_at", "event_type", ["event_type", "description"])
+        section("record", records.filter(F.col("id") == anomaly_id), "first_seen_at", "id", records.columns)
+        .unionByName(section("timeline", events.filter(mine), "created_at", "event_type", ["event_type", "description"]))
         .unionByName(
-            section("delivery", notifications.filter(mine), None, "id", ["receive_id_type", "recipient", "status", "attempts"])
+            section("delivery", notifications.filter(mine), None, "id", ["receive_id_type", "recipient", "status", "attempts", "message_id", "last_error"])
         )
         .unionByName(
-            section("request", requests.filter(mine), None, "id", ["recipient_user_id", "delivery_status", "delivery_attempts"])
+            section("request", requests.filter(mine), None, "id", ["recipient_user_id", "delivery_status", "delivery_attempts", "message_id", "last_error", "delivered_at"])
         )
         .unionByName(section("job", all_jobs, "created_at", "id", job_columns))
         .unionByName(
             section(
                 "submission", submissions.filter(mine), "submitted_at", "submitted_by_user_id",
-                ["submitted_by_user_id", "submitted_text", "result"],
+                ["submitted_by_user_id", "submitted_text", "validator_type", "result", "result_detail"],
             )
         )
     )

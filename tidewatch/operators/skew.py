@@ -31,7 +31,7 @@ def _share(df: DataFrame) -> int:
 def _join_peeled(
     fact: DataFrame, heavy: DataFrame, light: DataFrame, keys: list[str], values: list[str], spread: list[str]
 ) -> DataFrame:
-    """Left lookup: ``heavy`` keys (few, written) by broadcast, the rest in a shuffled join AQE plans.
+    """Left lookup: ``heavy`` keys (few) by broadcast, the rest in a shuffled join AQE plans.
 
     Rows of heavy keys get a spread-out key (a hash of the ``spread`` columns) that
     matches nothing there, so no task receives a heavy key's rows.
@@ -59,13 +59,13 @@ def attach(
     """Left lookup of per-key values.
 
     Keys are compared as structs, in which nulls equal nulls. ``facts_by_key`` has
-    one row per key with the number of fact rows in ``weight``. Only the heavy keys'
-    rows are written out; the table itself, which may be as large as the fact, is
-    one side of an ordinary join.
+    one row per key with the number of fact rows in ``weight``. It is written once: the
+    number of facts, the heavy keys and the join all come from it, so neither it
+    nor the fact is computed again.
     """
-    known = facts_by_key.select(*[F.col(f"`{k}`") for k in keys], weight, *values)
-    total = fact.agg(F.count(F.lit(1))).scalar()
-    heavy = materialise(known.filter(F.col(weight) * _share(fact) > total), "heavy")
+    known = materialise(facts_by_key.select(*[F.col(f"`{k}`") for k in keys], weight, *values), "by-key")
+    total = known.agg(F.sum(weight)).scalar()
+    heavy = known.filter(F.col(weight) * _share(fact) > total)
     return _join_peeled(fact, heavy, known, keys, values, spread)
 
 

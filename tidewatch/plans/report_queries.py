@@ -283,7 +283,8 @@ def r17(spark, sf):
     "r18_record_detail",
     ctes("records", "jobs", "members", "notifications", "requests", "broadcasts")
     + """, grp AS (SELECT DISTINCT rule_id, detected_at FROM members WHERE anomaly_id = 'a2'), shared AS (SELECT id FROM broadcasts JOIN grp USING (rule_id, detected_at))
-        SELECT 'timeline' AS section, 'detected' AS sort_id, CAST(first_seen_at AS VARCHAR) AS sort_at FROM records WHERE id = 'a2'
+        SELECT 'record' AS section, id AS sort_id, CAST(first_seen_at AS VARCHAR) AS sort_at FROM records WHERE id = 'a2'
+        UNION ALL SELECT 'timeline', 'detected', CAST(first_seen_at AS VARCHAR) FROM records WHERE id = 'a2'
         UNION ALL SELECT 'delivery', id, NULL FROM notifications WHERE anomaly_id = 'a2' UNION ALL SELECT 'request', id, NULL FROM requests WHERE anomaly_id = 'a2'
         UNION ALL SELECT 'job', id, CAST(created_at AS VARCHAR) FROM jobs WHERE anomaly_id = 'a2' OR (kind = 'group_broadcast' AND delivery_id IN (SELECT id FROM shared))
         UNION ALL SELECT 'submission', 'u1', CAST(last_seen_at AS VARCHAR) FROM records WHERE id = 'a2'""",
@@ -299,7 +300,7 @@ def r18(spark, sf):
     )
     out = R.record_details(
         "a2", log, frame(spark, sf, "notifications"), frame(spark, sf, "requests"), frame(spark, sf, "jobs"), frame(spark, sf, "members"),
-        frame(spark, sf, "broadcasts"), texts,
+        frame(spark, sf, "broadcasts"), texts, records,
     )
     return out.select("section", "sort_id", F.col("sort_at").cast("string").alias("sort_at"))
 

@@ -262,7 +262,7 @@ def d7_stream(spark, sf):
     jobs, known = frame(spark, sf, "jobs"), states(spark, sf)
 
     def judge(batch, batch_id):
-        out.write(O.classify_messages(batch, jobs, known, GENERATION).select("message", "verdict"), batch_id)
+        out.write(O.classify_messages(batch, jobs, known, GENERATION, bounded=True).select("message", "verdict"), batch_id)
 
     finish(J.run_stream(stream, f"{root}/checkpoint", judge))
     return out.read().groupBy("verdict").agg(F.count("*").alias("n"))
