@@ -19,7 +19,7 @@ def orders(spark):
     "sql", ["SELECT * FROM t_orders", "select 1;", "WITH x AS (SELECT 1 a) SELECT a FROM x", "SELECT 1 UNION ALL SELECT 2", "SELECT * FROM t_orders ORDER BY 1 LIMIT 2",
             "SELECT status, count(*) OVER (PARTITION BY status) FROM t_orders WHERE amount IN (SELECT max(amount) FROM t_orders) GROUP BY status HAVING count(*) > 0",
             "SELECT /*+ BROADCAST(t_links) */ * FROM t_orders LEFT JOIN t_links USING (order_id)", "SELECT * FROM t_orders TABLESAMPLE (50 PERCENT)",
-            "SELECT o.x FROM (VALUES (1), (2)) AS o(x) EXCEPT SELECT 2", "SELECT explode(array(1, 2)) FROM t_orders", "SELECT * FROM t_orders LATERAL VIEW explode(array(1, 2)) e AS x"],
+            "SELECT * FROM t_orders o, t_links l WHERE o.order_id = l.order_id", "SELECT o.x FROM (VALUES (1), (2)) AS o(x) EXCEPT SELECT 2", "SELECT explode(array(1, 2)) FROM t_orders", "SELECT * FROM t_orders LATERAL VIEW explode(array(1, 2)) e AS x"],
 )
 def test_queries_are_accepted(spark, orders, sql):
     D.scan(spark, sql).collect()
@@ -31,6 +31,7 @@ def test_queries_are_accepted(spark, orders, sql):
      "UPDATE t_orders SET status = 'x'", "SET a = 1", "SHOW TABLES", "ALTER TABLE t_orders ADD COLUMN x int", "TRUNCATE TABLE t_orders", "nonsense", None,
      "FROM t_orders INSERT INTO a SELECT *", "EXPLAIN SELECT 1", "VALUES (1)", "EXECUTE IMMEDIATE 'DROP VIEW t_orders'", "TABLE t_orders", "CACHE TABLE t_orders",
      "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT a FROM (SELECT java_method('java.lang.System', 'lineSeparator') a)",
+     "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/etc/hosts`)", "SELECT * FROM org.apache.spark.sql.json.`/tmp/x`",
      "WITH x AS (SELECT reflect('java.lang.System', 'lineSeparator') a) SELECT a FROM x", "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.System', 'lineSeparator'))"],
 )
 def test_everything_else_is_refused(spark, orders, sql):
@@ -38,6 +39,11 @@ def test_everything_else_is_refused(spark, orders, sql):
         D.check_read_only(spark, sql)
 
 
+def test_tables_of_databases_are_accepted(spark):
+    for name in ("default.t", "spark_catalog.default.t"):
+        D.check_read_only(spark, f"SELECT * FROM {name}")
+
+
 def test_preview(spark, orders):
     seen = D.preview(orders, 2)
     assert (seen.row_count, seen.truncated, seen.rows.count()) == (2, True, 2)

@@ -365,9 +365,9 @@ def d10_paused(spark, sf):
         out["d9"] = O.stale_jobs(jobs, known, GENERATION, NOW, 10, None, aborting)
         out["d12"] = O.recover_failed(jobs, known, records, GENERATION, NOW, aborting).filter("requeue")
         scan = G.timeout_scan(tables["groups"], tables["members"], records, tables["requests"], tables["broadcasts"], NOW, aborting=aborting)
-        out["d14"] = scan.due.limit(1)
+        out["d14"] = scan.due.select(F.lit(1).alias("acts")).distinct()
         try:
-            out["d17"] = O.clear_in_transit(jobs, known, tables["members"], tables["broadcasts"], records, GENERATION, "admin", aborting)[0].limit(1)
+            out["d17"] = O.clear_in_transit(jobs, known, tables["members"], tables["broadcasts"], records, GENERATION, "admin", aborting)[0].select(F.lit(1).alias("acts")).distinct()
         except O.PipelinePaused:
             out["d17"] = jobs.filter(F.lit(False))
         return out

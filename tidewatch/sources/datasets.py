@@ -67,6 +67,8 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
             node = plans.pop()
             if node.getClass().getSimpleName() not in READ_NODES:
                 raise NotReadOnly(f"the statement does more than read: {node.getClass().getSimpleName()}")
+            if node.getClass().getSimpleName() == "UnresolvedRelation":
+                _check_table(spark, each(node.multipartIdentifier()))
             plans += each(node.children())
             plans += [p for p in each(node.innerChildren()) if hasattr(p, "innerChildren")]
             expressions += each(node.expressions())
@@ -80,6 +82,12 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
     return text
 
 
+def _check_table(spark: SparkSession, parts: list[str]) -> None:
+    """A table of a database or catalogue there is; ``format.`path` `` would read any file the job can."""
+    if len(parts) > 1 and not spark.catalog.databaseExists(parts[0]) and not spark.catalog.listCatalogs(parts[0]):
+        raise NotReadOnly(f"{'.'.join(parts)} is no table of a known database")
+
+
 def register_tables(spark: SparkSession, directory: str, names: list[str]) -> None:
     """Make a directory of parquet tables available to dataset queries."""
     for name in names:
