@@ -55,21 +55,23 @@ def mark(state, scan, at):
 
 
 def test_timeout_rounds(spark):
-    recs = records(spark, [("a", "pending", T + timedelta(seconds=1), "o"), ("b", "processing", T + timedelta(seconds=10), "o"), ("c", "pending", None, "o")])
-    state = (recs, members(spark, ["a", "b", "c"]), spark.createDataFrame([], BROADCASTS))
-    rounds, expired = [], []
-    for seconds in (1, 2, 10):
-        at = T + timedelta(seconds=seconds)
-        scan = G.timeout_scan(group(spark, 3), state[1], state[0], no_requests(spark), state[2], at)
-        found = scan.rounds.collect()
-        rounds.append([r.round_index for r in found])
-        expired += [r.id for r in scan.expired.collect()]
+    """A round for every scan that finds newly overdue members; solved ones and those without a deadline are never due."""
+    minutes = {"late-1": 4, "late-2": 4, "solved": 6, "later": 50, "open": None}
+    rows = [(n, "resolved" if n == "solved" else "processing", None if m is None else T + timedelta(minutes=m), "o") for n, m in minutes.items()]
+    state = (records(spark, rows), members(spark, list(minutes)), spark.createDataFrame([], BROADCASTS))
+    seen = []
+    for minute in (3, 4, 7, 49, 50, 90):
+        at = T + timedelta(minutes=minute)
+        scan = G.timeout_scan(group(spark, 5), state[1], state[0], no_requests(spark), state[2], at)
+        found = sorted(r.round_index for r in scan.rounds.collect())
+        seen.append((minute, found, sorted(r.id for r in scan.expired.collect())))
         assert scan.closed.count() == 0
         if found:
             state = mark(state, scan, at)
-    assert rounds == [[1], [], [2]]
-    assert expired == ["a", "b"]
-    assert {r.id: r.status for r in state[0].collect()}["c"] == "pending"
+    assert seen == [(3, [], []), (4, [1], ["late-1", "late-2"]), (7, [], []), (49, [], []), (50, [2], ["later"]), (90, [], [])]
+    assert {r.id: r.status for r in state[0].collect()} == {
+        "late-1": "timed_out", "late-2": "timed_out", "solved": "resolved", "later": "timed_out", "open": "processing"
+    }
 
 
 def test_twenty_two_members_in_two_parts_with_mentions(spark):

@@ -37,6 +37,10 @@ RECORD_SCHEMA = (
 def record_columns(spark) -> list[str]:
     return empty_records(spark).columns
 
+# Texts of events, the last around a number.
+DETECTED_TEXT, EXPIRED_TEXT = "规则首次检出异常", "异常已超过截止时间，仍可继续处理"
+REQUESTED_TEXT = ("已创建 ", " 位验证人的实时验证请求，待发送")
+
 
 def empty_records(spark) -> DataFrame:
     return spark.createDataFrame([], RECORD_SCHEMA)
@@ -177,7 +181,7 @@ def events(records: DataFrame, event_type: str, description: str | Column, now)
 
 
 def detected_events(merged: DataFrame, now) -> DataFrame:
-    return events(merged.filter("is_new"), "detected", "规则首次检出异常", now)
+    return events(merged.filter("is_new"), "detected", DETECTED_TEXT, now)
 
 
 def _target_values(targets: list[Target], source: str, fields: list[str]) -> Column:
@@ -229,7 +233,7 @@ def new_requests(wanted: DataFrame, existing: DataFrame, now) -> DataFrame:
 def requested_events(requests: DataFrame, now) -> DataFrame:
     """One timeline row per record that got new requests."""
     per_record = requests.groupBy(F.col("anomaly_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    text = F.concat(F.lit("已创建 "), F.col("n").cast("string"), F.lit(" 位验证人的实时验证请求，待发送"))
+    text = F.concat(F.lit(REQUESTED_TEXT[0]), F.col("n").cast("string"), F.lit(REQUESTED_TEXT[1]))
     return events(per_record, "validation_requested", text, now)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import clean_text, derived_id, ntz_from_micros, ntz_micros
-from tidewatch.operators.anomalies import OPEN, events, moment
+from tidewatch.operators.anomalies import EXPIRED_TEXT, OPEN, events, moment
 from tidewatch.operators.messages import (
     link_node,
     mention_node,
@@ -26,6 +26,14 @@ GROUP_KEY = ["rule_id", "detected_at"]
 CHUNK = 20  # Fixed value: records per message.
 _TIME_WINDOW = 1000
 
+# Texts of group messages.
+HEADINGS = {"situation": "【情况播报】", "timeout": "【超时播报】"}
+SUMMARY_TEXT = ("规则：", "\n检测时间：", "\n扫描 ", " 条，命中 ", " 条，新增 ", " 条")
+OVERDUE_TEXT = ("已超时未解决：", " 条，请相关处理人尽快处理。")
+GROUP_LINK_TEXT, RECORD_LINK_TEXT = "查看异常记录组", "查看明细"
+NOTHING_TEXT, ATTENTION_TEXT = "本次未检测到异常", "请关注："
+PART_TEXT = ("（", "/", "）")
+
 
 def unique_time(groups: DataFrame, rule_id: str, detected_at: datetime) -> datetime:
     """First free microsecond at or after the run's time among the rule's groups.
@@ -187,14 +195,14 @@ def chunked(rows: DataFrame) -> DataFrame:
 
 def _lines_of(group: dict[str, Column], kind: str, total: Column) -> Column:
     summary = F.concat(
-        F.lit("规则："), group["rule_name"], F.lit("\n检测时间："), seconds_text(group["detected_at"]),
-        F.lit("\n扫描 "), group["scanned_rows"].cast("string"),
-        F.lit(" 条，命中 "), group["matched_rows"].cast("string"),
-        F.lit(" 条，新增 "), group["new_anomalies"].cast("string"), F.lit(" 条"),
+        F.lit(SUMMARY_TEXT[0]), group["rule_name"], F.lit(SUMMARY_TEXT[1]), seconds_text(group["detected_at"]),
+        F.lit(SUMMARY_TEXT[2]), group["scanned_rows"].cast("string"),
+        F.lit(SUMMARY_TEXT[3]), group["matched_rows"].cast("string"),
+        F.lit(SUMMARY_TEXT[4]), group["new_anomalies"].cast("string"), F.lit(SUMMARY_TEXT[5]),
     )
-    head = [F.array(text_node(summary)), F.array(link_node(F.lit("查看异常记录组"), group["url"]))]
+    head = [F.array(text_node(summary)), F.array(link_node(F.lit(GROUP_LINK_TEXT), group["url"]))]
     if kind == "timeout":
-        overdue = F.concat(F.lit("已超时未解决："), total.cast("string"), F.lit(" 条，请相关处理人尽快处理。"))
+        overdue = F.concat(F.lit(OVERDUE_TEXT[0]), total.cast("string"), F.lit(OVERDUE_TEXT[1]))
         head.insert(0, F.array(text_node(overdue)))
     return F.array(*head)
 
@@ -217,7 +225,7 @@ def group_messages(
     parts = chunked(rows)
     record_line = F.array(
         text_node(F.concat(F.lit("["), status_label(F.col("status")), F.lit("] "), F.col("business_key"), F.lit(" "))),
-        link_node(F.lit("查看明细"), F.concat(F.lit(f"{base}/#records/"), F.col("anomaly_id"))),
+        link_node(F.lit(RECORD_LINK_TEXT), F.concat(F.lit(f"{base}/#records/"), F.col("anomaly_id"))),
     )
     names = field_names or []
     carried = [record_line.alias("line")] if not template else [
@@ -246,20 +254,20 @@ def group_messages(
         lists = {n: F.coalesce(v, F.array().cast("array<string>")) for n, v in lists.items()}
         lines = render_group_lines(template, lists, url)
     else:
-        nothing = F.array(F.array(text_node(F.lit("本次未检测到异常"))))
+        nothing = F.array(F.array(text_node(F.lit(NOTHING_TEXT))))
         details = F.coalesce(F.transform("items", lambda item: item["line"]), nothing)
         lines = F.concat(_lines_of({**group, "url": url}, kind, F.col("record_count")), details)
     attention = F.array(
-        F.concat(F.array(text_node(F.lit("请关注："))), F.transform("people", lambda u: mention_node(u)))
+        F.concat(F.array(text_node(F.lit(ATTENTION_TEXT))), F.transform("people", lambda u: mention_node(u)))
     )
     lines = F.when(
         F.col("people").isNotNull(), F.concat(lines, attention)
     ).otherwise(lines)
     suffix = F.when(
         F.col("total_parts") > 1,
-        F.concat(F.lit("（"), F.col("part_index").cast("string"), F.lit("/"), F.col("total_parts").cast("string"), F.lit("）")),
+        F.concat(F.lit(PART_TEXT[0]), F.col("part_index").cast("string"), F.lit(PART_TEXT[1]), F.col("total_parts").cast("string"), F.lit(PART_TEXT[2])),
     ).otherwise("")
-    heading = "【超时播报】" if kind == "timeout" else "【情况播报】"
+    heading = HEADINGS["timeout" if kind == "timeout" else "situation"]
     title = F.concat(F.lit(heading), F.col("rule_name"), suffix)
     post = F.struct(F.struct(title.alias("title"), lines.alias("content")).alias("zh-CN"))
     payload = F.to_json(F.struct(F.lit("post").alias("msg_type"), F.struct(post.alias("post")).alias("content")))
@@ -388,7 +396,7 @@ def timeout_scan(
     return TimeoutScan(
         due=due,
         expired=expired,
-        expired_events=events(expired, "validation_timed_out", "异常已超过截止时间，仍可继续处理", now),
+        expired_events=events(expired, "validation_timed_out", EXPIRED_TEXT, now),
         rounds=rounds,
         rows=rows,
         mentions=people,

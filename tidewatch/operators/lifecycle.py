@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import clean_text, plus_seconds
-from tidewatch.operators.anomalies import OPEN, events, moment
+from tidewatch.operators.anomalies import EXPIRED_TEXT, OPEN, events, moment
 from tidewatch.operators.skew import attach, lookup
 
 # Statuses each target may be reached from.
@@ -19,6 +19,11 @@ ALLOWED_SOURCES = {
     "resolved": ["pending", "processing", "timed_out"],
 }
 
+# Texts of events, the last two around a user id.
+CHANGED_TEXT = "状态更新为 "
+BY_SQL_TEXT = ("处理人 ", " 通过 SQL 校验并解决异常")
+BY_WORD_TEXT = ("验证人 ", " 提交说明并解决异常")
+
 
 def apply_updates(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """The table with the updates' columns written over matching rows.
@@ -92,7 +97,7 @@ def apply_transitions(records: DataFrame, decisions: DataFrame, now) -> DataFram
 
 def status_events(decisions: DataFrame, now) -> DataFrame:
     changed = decisions.filter(F.col("outcome") == "changed")
-    return events(changed, "status_changed", F.concat(F.lit("状态更新为 "), F.col("target_status")), now)
+    return events(changed, "status_changed", F.concat(F.lit(CHANGED_TEXT), F.col("target_status")), now)
 
 
 class MissingRecords(LookupError):
@@ -176,7 +181,7 @@ def expire(records: DataFrame, now, limit: int | None = None) -> tuple[DataFrame
     updates = due.select("id", F.lit("timed_out").alias("set_status"), moment(now).alias("set_timed_out_at"))
     return (
         apply_updates(records, updates),
-        events(due, "validation_timed_out", "异常已超过截止时间，仍可继续处理", now),
+        events(due, "validation_timed_out", EXPIRED_TEXT, now),
     )
 
 
@@ -256,8 +261,8 @@ def resolve_submitted(records: DataFrame, accepted: DataFrame) -> DataFrame:
 def resolution_events(accepted: DataFrame) -> DataFrame:
     by_text = F.when(
         F.col("validator_type") == "sql",
-        F.concat(F.lit("处理人 "), F.col("submitted_by_user_id"), F.lit(" 通过 SQL 校验并解决异常")),
-    ).otherwise(F.concat(F.lit("验证人 "), F.col("submitted_by_user_id"), F.lit(" 提交说明并解决异常")))
+        F.concat(F.lit(BY_SQL_TEXT[0]), F.col("submitted_by_user_id"), F.lit(BY_SQL_TEXT[1])),
+    ).otherwise(F.concat(F.lit(BY_WORD_TEXT[0]), F.col("submitted_by_user_id"), F.lit(BY_WORD_TEXT[1])))
     return accepted.select(
         "anomaly_id",
         F.lit("validation_resolved").alias("event_type"),
