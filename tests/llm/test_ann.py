@@ -56,3 +56,29 @@ def test_recall(spark):
     queries = [i for i in vectors if i % 100 == 0]
     hits = sum(len(got[q] & {i for i, _ in exact(vectors, q, 10)}) for q in queries)
     assert hits / (10 * len(queries)) >= 0.9
+
+
+def test_recall_beyond_the_first_round(spark, monkeypatch):
+    """More vectors than a first round reads: plain ones and clustered ones, against brute force, and how many cells are visited."""
+    rng = np.random.default_rng(4)
+    n, dims = 5000, 24
+    monkeypatch.setattr(ann, "FIRST", 300)
+    centres = rng.normal(size=(80, dims))
+    for name, x in (("plain", rng.normal(size=(n, dims))), ("clustered", centres[rng.integers(0, 80, n)] + 0.1 * rng.normal(size=(n, dims)))):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4)
+        rows = ann.usable(df)
+        got = {}
+        for r in ann.search(rows, rows.filter("vec_id % 100 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            near = np.argsort(np.square(x.astype(float) - x[q]).sum(axis=1), kind="stable")
+            hits += len(found & set(near[near != q][:10].tolist()))
+        assert len(got) == 50 and hits / 500 >= 0.9, name
+        books = ann.codebooks(rows)
+        a, b = (np.square(x[:, None, part] - book[None]).sum(axis=2) for part, book in ((slice(0, dims // 2), books[0]), (slice(dims // 2, dims), books[1])))
+        cells = a.argmin(axis=1) * len(books[1]) + b.argmin(axis=1)
+        sizes = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
+        visited = [sizes[ann.visits(sizes, np.zeros(len(sizes)), a[q], b[q], dims, None)].sum() for q in range(0, n, 100)]
+        assert max(visited) < n / 4  # the first round is a part of the table

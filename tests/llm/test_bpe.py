@@ -84,3 +84,17 @@ def test_shares_and_fields(spark):
     rows = {r.doc_id: r for r in tokencount.fields(df, "id", ["a", "b", "c"]).collect()}
     assert all(sum(r.tokens) == r.n_tokens and len(r.tokens) == 3 for r in rows.values())
     assert rows[1].tokens[0] == 3 and rows[1].tokens[2] >= 1
+
+
+def test_the_count_query_on_whole_documents(spark):
+    """op6 against the library's own offsets: a token counts for the line its first character is in."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lines = {r.doc_id: [(s.start, s.end, s.tokens) for s in r.sections] for r in tokencount.by_line(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for row in tokencount.op6_token_counts(spark, sf).collect():
+        text, own = texts[row.doc_id], lines[row.doc_id]
+        ids = library(text)
+        assert row.n_tokens == len(ids) and sum(t for *_, t in own) == len(ids)
+        assert row.section_tokens == ",".join(str(t) for *_, t in own) and row.n_sections == len(own)
+        assert row.most_tokens == max([t for *_, t in own], default=0)
+        assert "".join(text[a:b] for a, b, _ in own) == text

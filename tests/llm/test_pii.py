@@ -77,3 +77,35 @@ def test_training_table_is_bounded(spark):
     rows = spark.createDataFrame([("call 555", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     assert pii.all_spans(["call 555"], pii.model_of(rows)) == [[]]
     assert pii.all_spans(["call 555"], pii.fit([])) == [[]]
+
+
+def test_the_query_tells_what_the_rules_and_the_field_find(spark):
+    """Counts, digest and spans of op8 on whole documents, against the patterns and the spans found one by one."""
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    spans = dict(zip([i for i, _ in texts], pii.all_spans([t for _, t in texts], pii.default_model()), strict=True))
+
+    def told(found):
+        return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(found))
+
+    rows = {r.doc_id: r for r in pii.op8_pii(spark, sf).collect()}
+    assert set(rows) == set(spans) and any(brute(t) for _, t in texts)
+    for i, text in texts:
+        base, row = brute(text), rows[i]
+        assert [row[f"n_{kind}"] for kind in pii.KINDS] == [sum(k == n for k, _, _ in base) for n in range(len(pii.KINDS))]
+        assert row.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest()
+        assert row.spans == told([s[:3] for s in spans[i]])
+        assert {s[:3] for s in spans[i]} >= set(base)
+
+
+def test_words_are_looked_at_whole():
+    """What tells two long words apart behind character 200 changes their features; so do long neighbours."""
+    def told(text):
+        return pii.features(text, next(pii.stretches(text)))
+
+    long = "a1" * 200
+    assert told(long + "x") != told(long + "9") and told(long + "(415)") != told(long + "[415]")
+    assert told("b" * 300 + "X 555") != told("b" * 300 + "y 555") and told("555 " + "b" * 300) != told("555 " + "c" * 300 + "D")
+    assert told("call 555 now") == told("call   555\nnow")

@@ -49,3 +49,24 @@ def test_values_of_any_length_and_class():
         assert not spans or max(secrets.default_model().score(np.array([secrets.features(text, *s) for s in spans]))) < 0.5, text
     for text in ("a=" * 30_000, "=-" * 30_000, ":\"" * 30_000, "://a:" * 20_000, "secret" * 10_000):  # no quadratic steps
         secrets.candidates(text)
+
+
+def test_features_and_scores_one_by_one():
+    """Counts over whole candidates, the end of long ones included, and the trees walked node by node."""
+    long = "aB3" * 300
+    for word in ("0123456789abcdef", long, long + "/x", long + "-" * 3 + "1"):
+        text = f"key = '{word}'"
+        start = text.index(word)
+        got = dict(zip(secrets.FEATURES, secrets.features(text, start, start + len(word)), strict=True))
+        assert got["length"] == len(word) and got["slashes"] == word.count("/") and got["dashes"] == word.count("-")
+        assert abs(got["digits"] * len(word) - sum(c.isdigit() for c in word)) < 1e-9 and got["quoted"] == 1
+        assert got["hex"] == all(c in "0123456789abcdefABCDEF" for c in word)
+    forest = secrets.default_model()
+    x = np.array([secrets.features(t, *s) for t, _ in secrets.labelled(13)[:150] for s in secrets.candidates(t)])
+
+    def walk(tree, row, at=0):
+        feature, cut, left, right, share = tree[at]
+        return share if feature < 0 else walk(tree, row, int(left if row[int(feature)] <= cut else right))
+
+    plain = [np.mean([walk(tree, row) for tree in forest.trees]) for row in x]
+    assert len(x) > 100 and np.allclose(forest.score(x), plain)

@@ -114,19 +114,43 @@ def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
 _RUNS = ((re.compile(r"[a-z]+"), "x"), (re.compile(r"[A-Z]+"), "X"), (re.compile(r"[^\x00-\x7f]+"), "u"))
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def shapes(word: str) -> tuple[str, str]:
-    """Shape with the length of each run of digits, and without it."""
+def _shapes(word: str) -> tuple[str, str]:
     for pattern, sign in _RUNS:
         word = pattern.sub(sign, word)
     return re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", word), re.sub(r"[0-9]+", "d", word)
 
 
+_known_shapes = functools.lru_cache(maxsize=1 << 14)(_shapes)
+
+
+def shapes(word: str) -> tuple[str, str]:
+    """Shape with the length of each run of digits, and without it; long words are not remembered."""
+    return _known_shapes(word) if len(word) <= 64 else _shapes(word)
+
+
+def _neighbour(text: str, at: int, step: int) -> str:
+    """The whole word that ends before ``at`` (step -1) or begins at or after it (step 1); empty if none."""
+    if step < 0:
+        end = at
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        return text[start:end]
+    start = at
+    while start < len(text) and text[start].isspace():
+        start += 1
+    end = start
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return text[start:end]
+
+
 def features(text: str, run: list[tuple[int, int]]) -> list[list[int]]:
-    """Hashed features of each word of a stretch: its shape and that of its neighbours."""
-    before = text[max(run[0][0] - 40, 0):run[0][0]].split()
-    after = text[run[-1][1]:run[-1][1] + 40].split()
-    words = [before[-1] if before else "^", *[text[a:min(b, a + 200)] for a, b in run], after[0] if after else "$"]
+    """Hashed features of each whole word of a stretch: its shape and that of its neighbours."""
+    before, after = _neighbour(text, run[0][0], -1), _neighbour(text, run[-1][1], 1)
+    words = [before or "^", *[text[a:b] for a, b in run], after or "$"]
     out = []
     for i in range(1, len(words) - 1):
         word = words[i]
@@ -134,9 +158,9 @@ def features(text: str, run: list[tuple[int, int]]) -> list[list[int]]:
         number = _DIGITS.sub("", word)
         digits = len(number)
         names = (
-            "bias", f"f{full[:60]}", f"s{short[:60]}", f"a{word[0]}", f"z{word[-1]}", f"n{min(len(word), 24)}", f"d{min(digits, 20)}",
-            f"@{word.count('@')}", f".{min(word.count('.'), 4)}", f"p{shapes(words[i - 1])[0][-40:]}", f"q{shapes(words[i + 1])[0][:40]}",
-            f"l{_luhn(number) if 13 <= digits <= 19 else None}", f"c{words[i - 1].lower().strip('.,:;=')[:20]}",
+            "bias", f"f{full}", f"s{short}", f"a{word[0]}", f"z{word[-1]}", f"n{min(len(word), 24)}", f"d{min(digits, 20)}",
+            f"@{word.count('@')}", f".{min(word.count('.'), 4)}", f"p{shapes(words[i - 1])[0]}", f"q{shapes(words[i + 1])[0]}",
+            f"l{_luhn(number) if 13 <= digits <= 19 else None}", f"c{words[i - 1].lower().strip('.,:;=')}",
         )
         out.append([zlib.crc32(x.encode()) % FEATURES for x in names])
     return out

@@ -160,8 +160,8 @@ FEATURES = (
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Numbers the forest decides on."""
-    word, before = text[start:min(end, start + 512)], text[max(0, start - 40):start]
+    """Numbers the forest decides on, from the whole candidate and what stands before it."""
+    word, before = text[start:end], text[max(0, start - 40):start]
     n = len(word)
     kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in word)
     counts = Counter(word)
@@ -169,7 +169,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     pairs = sum(letters[i:i + 2] in _PAIRS for i in range(n - 1))
     letter_runs = [len(r) for r in re.findall(r"[A-Za-z]+", word)] or [0]
     return [
-        min(end - start, 512), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
+        end - start, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), pairs / n,
         max(letter_runs), float(all(c in "0123456789abcdefABCDEF" for c in word)), word.count("/"), word.count("."), word.count("-"),
         float(bool(_CUE.search(before + word))), float(bool(_ASSIGN.search(before))), float(bool(_INNOCENT.search(before.rstrip("\"'=: ")))),
