@@ -17,9 +17,9 @@ smallest set of the band, so that few sets need a second seed and hardly any kee
 (At percents under about 65 no number is: sets there keep theirs, which costs time, not links.)
 
 Sets are named by a 64-bit hash of their shingles, so copies meet once however many there
-are. A set is first compared with the first set of most of its blocks, and what links is
-contracted. Sets of different classes are then compared one by class and block, ROUNDS times;
-only what still is in different classes is compared in full. Candidates pass a sketch of the
+are. A set is first compared with the first sets of most of its blocks, and what links is
+contracted. Then, ROUNDS times, one set of each class in a block is compared with one of the largest class there.
+What still is in different classes is joined in full, and of two classes a few pairs are tried before the others. Candidates pass a sketch of the
 whole sets, of four bits a shingle, and are verified on the sets, which are read again for those that have
 candidates only. Classes do not depend on which of several equal copies is taken.
 
@@ -54,9 +54,9 @@ SEEDS, SPARE = 4, 0.07
 BLOCK_BITS, SKETCH_WORDS, MOST_WORDS, CARRIED_WORDS = 1 << 20, 8, 4096, 32
 #: Rows of a batch looked at in one step.
 ROWS = 512
-#: Size of the bit field that picks the texts to read again, rounds of contraction, and
-#: earlier blocks of a set that a pair is looked up in before it is told again.
-FILTER_BITS, ROUNDS, EARLIER = 22, 1, 8
+#: Size of the bit field that picks the texts to read again, rounds of contraction, pairs that a
+#: set (or two classes) is tried with at a time, and earlier blocks of a set that a pair is looked up in before it is told again.
+FILTER_BITS, ROUNDS, LEADS, EARLIER = 22, 2, 4, 8
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -333,24 +333,31 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, "a", "b")).select("a", "b")
 
     def closest(pairs: DataFrame) -> DataFrame:
-        """One pair per set: with the lead of most of its blocks."""
+        """A few pairs per set: with the leads of most of its blocks."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        return counted.groupBy("b").agg(F.max_by("a", F.struct("n", F.col("a"))).alias("a")).select("a", "b")
+        place = Window.partitionBy("b").orderBy(F.desc("n"), F.desc("a"))
+        return counted.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= LEADS).select("a", "b")
+
+    def with_roots(rows: DataFrame, roots: DataFrame, name: str = "fp", to: str = "root") -> DataFrame:
+        told = rows.join(roots.select(F.col("v").alias(name), F.col("root").alias(to)), name, "left")
+        return told.withColumn(to, F.coalesce(to, name))
 
     def open_blocks(links: DataFrame) -> DataFrame:
-        """(k, fp, root) of the blocks whose members are in several classes."""
+        """(k, fp, root, size) of the blocks whose members are in several classes; size is that of the class."""
         roots = components(links)
-        known = met.select("k", "fp").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
-        known = known.withColumn("root", F.coalesce("root", "fp"))
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        known = with_roots(met.select("k", "fp"), roots)
         known = known.withColumns({"low": F.min("root").over(block), "high": F.max("root").over(block)}).filter("low < high")
-        return materialise(known.select("k", "fp", "root"), "open-blocks")
+        known = known.select("k", "fp", "root").join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        return materialise(known.select("k", "fp", "root", "size"), "open-blocks")
 
-    # first each set with one lead, then, round by round, one set of each class in a block
+    # first each set with a few leads, then, round by round, a set of each class in a block with one of the largest class
     links = _verified(fits(closest(met.filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")))), docs, nodes, shingle, percent)
     known = open_blocks(links)
     for _ in range(ROUNDS):
-        heads = known.groupBy("k", "root").agg(F.min("fp").alias("b"))
-        pairs = heads.withColumn("a", F.min("b").over(block)).filter("a < b").select("a", "b")
+        heads = known.groupBy("k", "root", "size").agg(F.min("fp").alias("b"))
+        lead = F.min(F.struct(-F.col("size"), F.col("b"))).over(block)
+        pairs = heads.withColumn("a", lead["b"]).filter("a <> b").select("a", "b")
         links = links.union(_verified(fits(closest(pairs)), docs, nodes, shingle, percent))
         known = open_blocks(links)
 
@@ -368,9 +375,15 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b", "carried")
         & ~F.arrays_overlap("earlier_a", "earlier_b"),
     )
-    rest = apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    more = _verified(fits(rest), docs, nodes, shingle, percent)
-    roots = components(links.union(more))
+    rest = materialise(apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "root_a", "root_b").distinct(), "rest")
+    # of two classes a few pairs first: if one links, the others of these classes need not be looked at
+    place = Window.partitionBy("root_a", "root_b").orderBy(F.xxhash64("a", "b"))
+    few = rest.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= LEADS).select("a", "b")
+    links = links.union(_verified(few, docs, nodes, shingle, percent))
+    roots = components(links)
+    left = with_roots(with_roots(rest.select("a", "b"), roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b")
+    links = links.union(_verified(left.select("a", "b"), docs, nodes, shingle, percent))
+    roots = components(links)
 
     classes = nodes.select("fp", "holder").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
     classes = materialise(classes.select("fp", "holder", F.coalesce("root", "fp").alias("root")), "classes")
