@@ -84,3 +84,9 @@ def test_label_repair(spark):
     assert got["SEED-000001"] == ("堂食", '[{"name":"经典牛肉堡","quantity":2,"price":19}]')
     assert got["SEED-000006"] == ("小程序", '[{"name":"香辣鸡腿堡","quantity":1,"price":24}]')
     assert got["L-1"] == ("web", "[]")
+
+
+def test_label_repair_of_numbers_ending_in_zeros(spark):
+    df = spark.createDataFrame([("run-seed-00010000", "SEED-10000", "??", "[]")], "id string, order_no string, channel string, items string")
+    row = D.repair_labels(df).first()
+    assert (row.channel, row["items"]) == ("小程序", '[{"name":"鸡块","quantity":1,"price":18}]')

@@ -145,9 +145,10 @@ def s10(spark, sf):
 )
 def s15(spark, sf):
     n = F.col("p_partkey") + 1
+    number = n.cast("string")  # padded to eight digits; a longer one keeps its last four
     orders = table(spark, sf, "part").select(
-        "p_partkey", F.concat(F.lit("run-seed-"), F.lpad(n.cast("string"), 8, "0")).alias("id"),
-        F.concat(F.when(F.col("p_size") % 2 == 0, "SEED-").otherwise("LIVE-"), n.cast("string")).alias("order_no"),
+        "p_partkey", F.concat(F.lit("run-seed-"), F.lpad(number, F.greatest(F.lit(8), F.length(number)), "0")).alias("id"),
+        F.concat(F.when(F.col("p_size") % 2 == 0, "SEED-").otherwise("LIVE-"), number).alias("order_no"),
         F.lit("old").alias("channel"), F.lit("[]").alias("items"),
     )
     return D.repair_labels(orders).select("p_partkey", "channel", "items")

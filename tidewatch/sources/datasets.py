@@ -170,7 +170,7 @@ def repair_labels(orders: DataFrame, key: str = "id", number: str = "order_no")
     price = 18 + n % 17
 
     def pick(labels: list[str]):
-        return F.element_at(F.array(*[F.lit(x) for x in labels]), (n - 1) % len(labels) + 1)
+        return F.element_at(F.array(*[F.lit(x) for x in labels]), F.pmod(n - 1, F.lit(len(labels))) + 1)
 
     item = F.struct(pick(ITEMS).alias("name"), (n % 2 + 1).alias("quantity"), price.alias("price"))
     seeded = F.col(number).like("SEED-%")
