@@ -4,13 +4,14 @@ import json
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.plans import topic
 from tidewatch.sources.changelog import parse_changes, raw_file_stream
 from tidewatch.streaming import jobs as J
-from tidewatch.streaming.keyed import MISMATCH, checked_changes, keyed_state, zero_filled_windows
+from tidewatch.streaming.keyed import MISMATCH, _PackedChanges, checked_changes, keyed_state, zero_filled_windows
 from tidewatch.streaming.tables import BatchTable
 
 BASE = datetime(2026, 3, 14, 8, tzinfo=timezone.utc)
@@ -83,6 +84,84 @@ def test_before_images_over_micro_batches(spark, folder):
     assert t.seen() == [(0, None), (1, None), (2, None), (3, MISMATCH), (4, None), (5, None), (6, MISMATCH), (7, None), (8, MISMATCH)]
 
 
+@pytest.mark.parametrize("packs", [1, 64])
+def test_packed_state_tells_the_same(spark, folder, packs):
+    """Repeats, wrong images, another server, a deleted key and keys without a name, over several runs."""
+    a, b, c = (1, "1.00"), (1, "2.00"), (1, "9.00")
+    runs = [
+        [("c", None, a, 1), ("c", None, a, 1), ("c", None, (2, None), 2), ("c", None, (None, "5"), 3)],
+        [("c", None, a, 1), ("u", a, b, 4), ("u", c, a, 5), ("u", (2, None), (2, "1"), 6), ("u", (None, "5"), (None, "6"), 7)],
+        [("d", a, None, 12), ("d", a, None, 12), ("u", a, b, 13), ("c", None, a, 1, 2), ("c", None, a, 1, 2)],
+    ]
+    told = []
+    for name, options in (("plain", {}), ("packed", {"packs": packs})):
+        t = Topic(spark, f"{folder}/{name}", **options)
+        for events in runs:
+            t.send(*events)
+        told.append(t.seen())
+    assert told[0] == told[1]
+    assert told[1] == [(0, None), (2, None), (3, None), (5, None), (6, MISMATCH), (7, None), (8, None), (9, None), (11, MISMATCH), (12, None)]
+    held = {key: gone for row in t.state("packs").collect() for key, _, _, _, gone in json.loads(row.user_map_value.entries)}
+    assert held == {"1": None, "2": None, None: None}
+
+
+def test_packs_forget_deleted_keys_after_their_retention():
+    """Without Spark: what is left of a pack at a time, and the timer for the rest."""
+    class Held:
+        def __init__(self):
+            self.at, self.timers = {}, []
+
+        def getMapState(self, *schema):
+            return self
+
+        def containsKey(self, key):
+            return key in self.at
+
+        def getValue(self, key):
+            return self.at[key]
+
+        def updateValue(self, key, value):
+            self.at[key] = value
+
+        def removeKey(self, key):
+            self.at.pop(key, None)
+
+        def iterator(self):
+            return iter(list(self.at.items()))
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+        getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+    def send(now, *events):
+        rows = [(pack, key, op, "1", at, None, "x", "v", 0, int(at), 0) for pack, key, op, at in events]
+        names = ["pack", "key", "op", "server", "position", "before", "after", "value", "partition", "offset", "micros"]
+        return len(next(iter(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=names)]), At(now)))))
+
+    held, processor = Held(), _PackedChanges(100, True)
+    processor.init(held)
+    assert send(0, (1, "a", "c", "01"), (1, "b", "c", "02"), (2, "c", "c", "03")) == 3 and held.timers == []
+    assert send(10, (1, "a", "d", "04"), (2, "c", "d", "05")) == 2 and held.timers == [110]
+    assert send(50, (1, "a", "d", "04"), (1, "b", "d", "06")) == 1 and held.timers == [110]  # a repeat is still known
+    assert len(list(processor.handleExpiredTimer((0,), At(110), At(110)))[0]) == 0
+    assert held.timers == [150] and {k[0]: [e[0] for e in json.loads(v[0])] for k, v in held.at.items()} == {1: ["b"]}
+    assert send(120, (2, "c", "d", "05")) == 1  # forgotten
+
+
 def test_a_shuffled_batch_is_put_in_order(spark, folder):
     rows = [("c", None, (1, "0"), 1)] + [("u", (1, str(i)), (1, str(i + 1)), i + 2) for i in range(30)]
     t = Topic(spark, folder)

@@ -20,11 +20,11 @@ from tidewatch.plans.outbox_queries import BASE, DONE, MESSAGES, messages, state
 from tidewatch.plans.registry import query
 from tidewatch.plans.warehouse_queries import SPOILT_SQL, STEPS, _rounded_average, current_sql, spoilt
 from tidewatch.session import scratch_dir, table
-from tidewatch.sources.changelog import parse_changes, raw_file_stream
+from tidewatch.sources.changelog import RAW_SCHEMA, parse_changes, raw_file_stream
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import warehouse as W
 from tidewatch.streaming import windows as N
-from tidewatch.streaming.keyed import checked_changes, keyed_state, zero_filled_windows
+from tidewatch.streaming.keyed import PACKS, checked_changes, keyed_state, zero_filled_windows
 from tidewatch.streaming.tables import BatchTable, KeyedTable
 
 
@@ -35,7 +35,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 def staged_topic(spark: SparkSession, sf: str, root: str) -> DataFrame:
     """The derived topic as files, opened as a stream."""
-    topic.raw(spark, sf).write.parquet(f"{root}/topic")
+    topic.raw(spark, sf, spread=True).write.parquet(f"{root}/topic")
     return raw_file_stream(spark, f"{root}/topic", fmt="parquet")
 
 
@@ -68,7 +68,7 @@ def w3_stream(spark, sf):
         out.write(W.delta_totals(W.signed_deltas(parse_changes(batch)), J.STORE_KEYS), batch_id)
 
     with keyed_state(spark):
-        running = J.run_stream(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False), f"{root}/checkpoint", add)
+        running = J.run_stream(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False, packs=PACKS), f"{root}/checkpoint", add)
     finish(running)
     metrics = W.live_metrics(W.merge_totals(out.read(), J.STORE_KEYS), J.STORE_KEYS)
     return metrics.withColumns({c: F.col(c).cast("double") for c in ("revenue", "average_ticket")})
@@ -122,7 +122,7 @@ def w7_stream(spark, sf):
     root = run_folder(spark, "repeats")
     out = BatchTable(spark, f"{root}/changes")
     with keyed_state(spark):
-        changes = parse_changes(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False))
+        changes = parse_changes(checked_changes(staged_topic(spark, sf, root), "id", with_rows=False, packs=PACKS))
         running = J.run_stream(changes.select("op"), f"{root}/checkpoint", out.write)
     finish(running)
     return out.read().groupBy("op").agg(F.count("*").alias("n"))
@@ -134,12 +134,12 @@ def w9_stream(spark, sf):
     root = run_folder(spark, "images")
     out = BatchTable(spark, f"{root}/quarantine")
     body = F.to_json(F.struct("op", "ts_ms", "before", "after", "source"), {"ignoreNullFields": "false"})
-    log = spoilt(spark, sf).select(body.alias("value"), "partition", "offset", "timestamp")
-    step = F.least(F.col("offset") % 4, F.lit(2))
+    step = F.least(F.col("offset") % 4, F.lit(2)).alias("part")
+    spoilt(spark, sf, spread=True).select(body.alias("value"), "partition", "offset", "timestamp", step).write.partitionBy("part").parquet(f"{root}/log")
     for part in range(3):
-        log.filter(step == part).write.mode("append").parquet(f"{root}/topic")
+        spark.read.schema(RAW_SCHEMA).parquet(f"{root}/log/part={part}").write.mode("append").parquet(f"{root}/topic")
         with keyed_state(spark):
-            changes = checked_changes(raw_file_stream(spark, f"{root}/topic", fmt="parquet"), "id")
+            changes = checked_changes(raw_file_stream(spark, f"{root}/topic", fmt="parquet"), "id", packs=PACKS)
             running = J.run_stream(changes.filter("problem is not null"), f"{root}/checkpoint", out.write)
         finish(running)
     wrong = parse_changes(out.read())

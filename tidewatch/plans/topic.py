@@ -40,13 +40,20 @@ def order_row(status, bump: int):
     )
 
 
-def changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed change events in topic order."""
+def changes(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    """Parsed change events in topic order.
+
+    Events are small as files and large as messages: ``spread`` deals them out to as many tasks as the cores can
+    run several times over, whatever number of files they come in.
+    """
     repeats, deletes = F.col("event_type") == "click", (F.col("event_type") == "view") & (F.col("user_id") % 2 == 0)
     numbers = F.when(repeats, F.array(*map(F.lit, (0, 1, 2)))).when(deletes, F.array(*map(F.lit, (0, 1, 3)))).otherwise(
         F.array(*map(F.lit, (0, 1)))
     )
-    df = table(spark, sf, "events").withColumn("step", F.explode(numbers))
+    events = table(spark, sf, "events")
+    if spread:
+        events = events.repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    df = events.withColumn("step", F.explode(numbers))
     step = F.col("step")
     created = order_row(F.lit("CREATED"), 0)
     status = F.when(F.col("event_type") == "error", "CANCELLED").when(F.col("event_type") == "purchase", "COMPLETED").otherwise("PAID")
@@ -65,10 +72,10 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def raw(spark: SparkSession, sf: str) -> DataFrame:
+def raw(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
     """The same as raw topic records with a text payload."""
     body = F.to_json(F.struct("op", "ts_ms", "before", "after", "source"), {"ignoreNullFields": "false"})
-    return changes(spark, sf).select(body.alias("value"), "partition", "offset", "timestamp")
+    return changes(spark, sf, spread).select(body.alias("value"), "partition", "offset", "timestamp")
 
 
 def shops(spark: SparkSession, sf: str) -> DataFrame:

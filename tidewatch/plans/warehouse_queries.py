@@ -31,9 +31,9 @@ def w1(spark, sf):
     )
 
 
-def parsed(spark, sf):
+def parsed(spark, sf, spread=False):
     """Change events; the raw payload path is compared in s9 and by the streams."""
-    return topic.changes(spark, sf)
+    return topic.changes(spark, sf, spread)
 
 
 def current(spark, sf):
@@ -119,9 +119,9 @@ SPOILT_SQL = f"""WITH {STEPS} SELECT concat('o', event_id) AS id, event_id * 4 +
         WHERE step <> 2 AND step > 0 AND event_type IN ('signup', 'purchase') AND user_id % 8 <> 7"""
 
 
-def spoilt(spark, sf, clean=None):
+def spoilt(spark, sf, clean=None, spread=False):
     """The changes, repeats included unless ``clean`` is given, with wrong before images for some orders."""
-    changes = parsed(spark, sf) if clean is None else clean
+    changes = parsed(spark, sf, spread) if clean is None else clean
     spoilt_image = F.col("before").withField("amount", F.lit("-1.00"))
     wrong = (F.col("op") == "u") & (F.col("after.status").isin("PAID", "COMPLETED")) & F.col("before.amount").isNotNull()
     kind = table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("spoil_id"))

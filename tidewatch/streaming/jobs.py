@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.sources.changelog import parse_changes
-from tidewatch.streaming.keyed import RETENTION_MS, checked_changes, keyed_state
+from tidewatch.streaming.keyed import PACKS, RETENTION_MS, checked_changes, keyed_state
 from tidewatch.streaming.manifest import GRACE_MS
 from tidewatch.streaming.tables import BatchTable, KeyedTable
 from tidewatch.streaming.warehouse import (
@@ -151,7 +151,7 @@ def start_warehouse(
 
     queries = [run_stream(raw, f"{checkpoints}/ods", write_log, interval)]
     with keyed_state(raw.sparkSession):
-        changes = checked_changes(raw, "id", retention_ms=retention_ms if interval else None)
+        changes = checked_changes(raw, "id", retention_ms=retention_ms if interval else None, packs=PACKS)
         queries.append(run_stream(changes, f"{checkpoints}/keyed", write_keyed, interval))
     return queries
 

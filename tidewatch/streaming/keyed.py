@@ -14,6 +14,7 @@ A key's rows of one micro-batch are ordered in one task, so bound the batches (f
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -31,6 +32,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long a long-running stream remembers a deleted key's position, in milliseconds.
 RETENTION_MS = 7 * 86_400_000
+#: Packs of state for streams of many keys, and packs that one call in Python serves; fixed for the life of a checkpoint.
+PACKS, LANE_PACKS = 16_384, 16
 #: Fixed value: what is said of a change that does not fit the current row.
 MISMATCH = "before image does not match the current row"
 
@@ -95,8 +98,78 @@ class _Changes(StatefulProcessor):
         pass
 
 
+def _texts(column: pd.Series) -> list[str | None]:
+    return [x if isinstance(x, str) else None for x in column.tolist()]
+
+
+class _PackedChanges(StatefulProcessor):
+    """State of a lane, by pack: JSON lists of key, server, position, digest of the row, and when a deleted key went (else null)."""
+
+    def __init__(self, retention_ms: int | None, with_rows: bool) -> None:
+        self.retention_ms, self.with_rows = retention_ms, with_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.packs = handle.getMapState("packs", "pack int", "entries string")
+
+    def _entries(self, text: str, now: int) -> dict:
+        """Entries by key, without deleted ones whose retention has passed."""
+        held = {k: (server, position, row, gone) for k, server, position, row, gone in json.loads(text)}
+        if self.retention_ms is None:
+            return held
+        return {k: e for k, e in held.items() if e[3] is None or e[3] + self.retention_ms > now}
+
+    def _load(self, pack: int, now: int) -> dict:
+        return self._entries(self.packs.getValue((pack,))[0], now) if self.packs.containsKey((pack,)) else {}
+
+    def _store(self, packs: dict[int, dict]) -> None:
+        for pack, entries in packs.items():
+            if entries:
+                text = json.dumps([(k, *e) for k, e in entries.items()], ensure_ascii=False, separators=(",", ":"))
+                self.packs.updateValue((pack,), (text,))
+            else:
+                self.packs.removeKey((pack,))
+        if self.retention_ms is not None:
+            ends = [e[3] + self.retention_ms for entries in packs.values() for e in entries.values() if e[3] is not None]
+            if ends and not any(t <= min(ends) for t in self.handle.listTimers()):
+                self.handle.registerTimer(min(ends))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = 0 if self.retention_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        seen = pd.concat(list(rows), ignore_index=True)
+        seen = seen.iloc[np.lexsort((seen["offset"].to_numpy(), seen["partition"].to_numpy()))]
+        images = (_texts(seen["before"]), _texts(seen["after"])) if self.with_rows else ([None] * len(seen),) * 2
+        changes = zip(seen["pack"].tolist(), _texts(seen["key"]), _texts(seen["op"]), _texts(seen["server"]), _texts(seen["position"]), *images, strict=True)
+        packs, kept, problems = {}, [], []
+        for i, (pack, k, op, on, at, before, after) in enumerate(changes):
+            found = packs.get(pack)
+            if found is None:
+                found = packs[pack] = self._load(pack, now)
+            server, position, current, _ = found.get(k, (None, None, None, None))
+            if at is not None and position is not None and on == server and at <= position:
+                continue
+            kept.append(i)
+            problems.append(MISMATCH if self.with_rows and op in ("u", "d") and before != current else None)
+            if at is not None:
+                server, position = on, at
+            found[k] = (server, position, None, now) if op == "d" else (server, position, after, None)
+        self._store(packs)
+        out = seen.iloc[kept][["value", "partition", "offset", "micros"]]
+        yield out.assign(problem=pd.Series(problems, index=out.index, dtype=object))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = [(k[0], v[0]) for k, v in self.packs.iterator()]
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        self._store({pack: self._entries(text, now) for pack, text in held})
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 def checked_changes(
-    raw: DataFrame, key: str, row_type: str = ORDER_ROW, retention_ms: int | None = None, with_rows: bool = True
+    raw: DataFrame, key: str, row_type: str = ORDER_ROW, retention_ms: int | None = None, with_rows: bool = True, packs: int | None = None
 ) -> DataFrame:
     """Raw records (value, partition, offset, timestamp) without repeats, each with ``problem`` or null.
 
@@ -105,22 +178,38 @@ def checked_changes(
     Records of a key must come in one partition, as a log keyed by it has them. A change without a
     position is never a repeat. With ``retention_ms`` a deleted key is forgotten that long after its last change, by the
     clock; such a stream looks at the clock in batches without data too, so it runs on an interval and
-    does not end by itself.
+    does not end by itself. With ``packs`` state is kept in so many packs by a hash of the key, for streams of
+    many keys: a pack of a few thousand keys is read and stored once a batch, in place of several calls per key.
     """
     event = F.from_json("value", f"op string, before {row_type}, after {row_type}, source {SOURCE_ROW}", {"mode": "FAILFAST"})
     parsed = raw.filter(F.col("value").isNotNull()).withColumn("event", F.explode(F.array(event)))
     # both images as text of the same type, so that equal rows are equal text
-    image = [F.to_json(F.col(f"event.{side}")).alias(side) if with_rows else F.lit(None).cast("string").alias(side) for side in ("before", "after")]
+    images = [F.to_json(F.col(f"event.{side}")) for side in ("before", "after")]
     marked = parsed.select(
         F.coalesce(F.col(f"event.after.{key}"), F.col(f"event.before.{key}")).cast("string").alias("key"), F.col("event.op").alias("op"),
-        F.col("event.source.server_id").cast("string").alias("server"), _position(F.col("event.source")).alias("position"), *image,
+        F.col("event.source.server_id").cast("string").alias("server"), _position(F.col("event.source")).alias("position"),
+        *[(image if with_rows else F.lit(None).cast("string")).alias(side) for image, side in zip(images, ("before", "after"), strict=True)],
         "value", "partition", "offset", "timestamp",
     )
-    return marked.groupBy("key").transformWithState(
-        statefulProcessor=_Changes(retention_ms, with_rows),
-        outputStructType="value string, partition int, offset bigint, timestamp timestamp, problem string",
-        outputMode="Append", timeMode="None" if retention_ms is None else "ProcessingTime",
+    time = "None" if retention_ms is None else "ProcessingTime"
+    if packs is None:
+        return marked.groupBy("key").transformWithState(
+            statefulProcessor=_Changes(retention_ms, with_rows),
+            outputStructType="value string, partition int, offset bigint, timestamp timestamp, problem string",
+            outputMode="Append", timeMode=time,
+        )
+    digests = [F.sha2(F.col(side), 256).alias(side) for side in ("before", "after")] if with_rows else []
+    pack = F.pmod(F.xxhash64("key"), F.lit(packs)).cast("int")
+    packed = marked.select(
+        F.floor(pack / LANE_PACKS).cast("int").alias("lane"), pack.alias("pack"), "key", "op", "server", "position", *digests,
+        "value", "partition", "offset", F.unix_micros("timestamp").alias("micros"),
+    )
+    done = packed.groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=_PackedChanges(retention_ms, with_rows),
+        outputStructType="value string, partition int, offset bigint, micros bigint, problem string",
+        outputMode="Append", timeMode=time,
     )
+    return done.select("value", "partition", "offset", F.timestamp_micros("micros").alias("timestamp"), "problem")
 
 
 class _Windows(StatefulProcessor):
