@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.plans import topic
 from tidewatch.sources.changelog import parse_changes, raw_file_stream
 from tidewatch.streaming import jobs as J
-from tidewatch.streaming.keyed import MISMATCH, _PackedChanges, checked_changes, keyed_state, zero_filled_windows
+from tidewatch.streaming.keyed import MISMATCH, _PackedChanges, _pane_sums, checked_changes, keyed_state, zero_filled_windows
 from tidewatch.streaming.tables import BatchTable
 
 BASE = datetime(2026, 3, 14, 8, tzinfo=timezone.utc)
@@ -237,3 +237,15 @@ def test_every_shop_has_every_window(spark, folder):
         ("C", 40): (1, "7.25"),
     }
     assert {k: second[k] for k in first} == first
+
+
+def test_a_shop_gets_a_row_per_pane(monkeypatch):
+    """Whatever the number of rows, and however often a task sums what it holds; no shop is a shop."""
+    monkeypatch.setattr("tidewatch.streaming.keyed.FOLD_ROWS", 5)
+    frames = [
+        pd.DataFrame({"shop_id": ["A", "A", None, "B"], "millis": [10_001 + i, 14_999, 10_000, 20_000], "until_us": [i, 7, 3, 4], "sign": [1, -1, 1, 1], "cents": [100, -30, 5, 1]})
+        for i in range(10)
+    ]
+    out = pd.concat(_pane_sums("shop_id", 5_000)(iter(frames)))
+    told = {(r.shop_id if isinstance(r.shop_id, str) else None, r.pane): (r.until_us, r.sign, r.cents) for r in out.itertuples()}
+    assert len(out) == 3 and told == {("A", 10_000): (9, 0, 700), (None, 10_000): (3, 10, 50), ("B", 20_000): (4, 10, 10)}

@@ -34,6 +34,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 RETENTION_MS = 7 * 86_400_000
 #: Packs of state for streams of many keys, and packs that one call in Python serves; fixed for the life of a checkpoint.
 PACKS, LANE_PACKS = 16_384, 16
+#: Panes of a block of stored windows, and rows a task holds before it sums them by pane.
+PANES, FOLD_ROWS = 720, 500_000
 #: Fixed value: what is said of a change that does not fit the current row.
 MISMATCH = "before image does not match the current row"
 
@@ -212,15 +214,34 @@ def checked_changes(
     return done.select("value", "partition", "offset", F.timestamp_micros("micros").alias("timestamp"), "problem")
 
 
+def _pane_sums(shop: str, slide_ms: int):
+    """Sums of a task's rows by shop and pane; ``until`` is that of the newest row."""
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fold(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            return pd.concat(parts).groupby([shop, "pane"], dropna=False, as_index=False).agg({"until_us": "max", "sign": "sum", "cents": "sum"})
+
+        held, rows = [], 0
+        for frame in frames:
+            held.append(frame.assign(pane=frame["millis"] // slide_ms * slide_ms)[[shop, "pane", "until_us", "sign", "cents"]])
+            rows += len(frame)
+            if rows > FOLD_ROWS:
+                held = [fold(held)]
+                rows = 0
+        if held:
+            yield fold(held)
+
+    return sums
+
+
 class _Windows(StatefulProcessor):
-    """State of a shop: count and cents by pane, and the end of the last window emitted."""
+    """State of a shop: count and cents by pane, kept by block of time, and the end of the last window emitted."""
 
     def __init__(self, shop: str, length_ms: int, slide_ms: int) -> None:
         self.shop, self.length_ms, self.slide_ms = shop, length_ms, slide_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.panes = handle.getMapState("panes", "pane bigint", "n bigint, cents bigint")
+        self.blocks = handle.getMapState("blocks", "block bigint", "panes string")
         self.emitted = handle.getValueState("emitted", "upto bigint")
         self.timer = handle.getValueState("timer", "at bigint")
 
@@ -243,25 +264,37 @@ class _Windows(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
         seen = pd.concat(list(rows))
-        sums = seen.assign(pane=seen["millis"] // self.slide_ms * self.slide_ms).groupby("pane")[["sign", "cents"]].sum()
-        first = None
-        for at, n, cents in zip(sums.index.tolist(), sums["sign"].tolist(), sums["cents"].tolist(), strict=True):
-            if at + self.length_ms <= closed:
-                continue  # its last window is out
-            old = self.panes.getValue((at,)) if self.panes.containsKey((at,)) else (0, 0)
-            self.panes.updateValue((at,), (old[0] + n, old[1] + cents))
-            first = at if first is None else min(first, at)
+        sums = seen.groupby("pane")[["sign", "cents"]].sum()
+        sums = sums[sums.index + self.length_ms > closed]  # else its last window is out
+        first = int(sums.index[0]) if len(sums) else None
+        for block, part in sums.groupby(sums.index // (PANES * self.slide_ms)):
+            held = self._panes(self.blocks.getValue((int(block),))[0]) if self.blocks.containsKey((int(block),)) else {}
+            for at, n, cents in zip(part.index.tolist(), part["sign"].tolist(), part["cents"].tolist(), strict=True):
+                old = held.get(at, (0, 0))
+                held[at] = (old[0] + n, old[1] + cents)
+            self._keep(int(block), held)
         if first is not None and not self.emitted.exists():
             self.emitted.update((max(first, closed // self.slide_ms * self.slide_ms),))
         if self.emitted.exists():
             self._wake(self.emitted.get()[0] + self.slide_ms)
         yield pd.DataFrame()
 
+    @staticmethod
+    def _panes(text: str) -> dict[int, tuple[int, int]]:
+        return {at: (n, cents) for at, n, cents in json.loads(text)}
+
+    def _keep(self, block: int, panes: dict[int, tuple[int, int]]) -> None:
+        if panes:
+            self.blocks.updateValue((block,), (json.dumps([(at, *sums) for at, sums in panes.items()], separators=(",", ":")),))
+        else:
+            self.blocks.removeKey((block,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         closed = timerValues.getCurrentWatermarkInMs() // self.slide_ms * self.slide_ms
         upto = self.emitted.get()[0]
-        held = sorted((k[0], v[0], v[1]) for k, v in self.panes.iterator())
+        blocks = {k[0]: self._panes(v[0]) for k, v in self.blocks.iterator()}
+        held = sorted((at, *sums) for panes in blocks.values() for at, sums in panes.items())
         at, n, cents = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
         n, cents = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(cents)])
         # a long pause is emitted in steps
@@ -272,8 +305,10 @@ class _Windows(StatefulProcessor):
                 self.shop: key[0], "window_start_ms": ends - self.length_ms, "window_end_ms": ends,
                 "order_count": n[last] - n[first], "cents": cents[last] - cents[first],
             })
-        for pane in at[at + self.length_ms <= closed].tolist():
-            self.panes.removeKey((pane,))
+        for block, panes in blocks.items():
+            left = {p: sums for p, sums in panes.items() if p + self.length_ms > closed}
+            if len(left) < len(panes):
+                self._keep(block, left)
         self.emitted.update((max(closed, upto),))
         self._wake(max(closed, upto) + self.slide_ms)
 
@@ -294,15 +329,22 @@ def zero_filled_windows(
     # the newest row itself by the lateness
     length = F.make_dt_interval(secs=F.lit(length_ms / 1000).cast("decimal(18,6)"))
     signed = deltas.select(
-        F.col(shop).alias(shop), F.unix_millis(F.col(time)).alias("millis"), (F.col(time) + length).alias("until"), F.col("sign").cast("bigint").alias("sign"),
+        F.col(shop).alias(shop), F.unix_millis(F.col(time)).alias("millis"), F.unix_micros(F.col(time) + length).alias("until_us"), F.col("sign").cast("bigint").alias("sign"),
         F.coalesce((F.col("sign") * F.col(amount).cast("decimal(18,2)") * 100).cast("bigint"), F.lit(0)).alias("cents"),
-    ).withWatermark("until", f"{length_ms + lateness_ms} milliseconds")
+    ).filter(F.col("millis").isNotNull())
+    # a batch's rows are summed by pane in many tasks, so that a shop's own task gets a row per pane
+    kind = StructType([deltas.schema[shop]])
+    column = f"{kind.fields[0].name} {kind.fields[0].dataType.simpleString()}"
+    panes = signed.repartition(shop, F.floor(F.col("millis") / (PANES * slide_ms))).mapInPandas(
+        _pane_sums(shop, slide_ms), f"{column}, pane bigint, until_us bigint, sign bigint, cents bigint"
+    )
+    # a pane's newest row stands for it: one that is late has only closed windows, and so have the pane's others
+    panes = panes.select(shop, "pane", F.timestamp_micros("until_us").alias("until"), "sign", "cents").withWatermark("until", f"{length_ms + lateness_ms} milliseconds")
     start = from_ms // slide_ms * slide_ms
     known = shops.select(shop).distinct().withColumn("from_ms", F.lit(start)).groupBy(shop)
-    kind = StructType([deltas.schema[shop]])
-    done = signed.groupBy(shop).transformWithStateInPandas(
+    done = panes.groupBy(shop).transformWithStateInPandas(
         statefulProcessor=_Windows(shop, length_ms, slide_ms),
-        outputStructType=f"{kind.fields[0].name} {kind.fields[0].dataType.simpleString()}, window_start_ms bigint, window_end_ms bigint, order_count bigint, cents bigint",
+        outputStructType=f"{column}, window_start_ms bigint, window_end_ms bigint, order_count bigint, cents bigint",
         outputMode="Append", timeMode="EventTime", initialState=known,
     )
     return done.select(
