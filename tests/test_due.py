@@ -67,3 +67,20 @@ def test_ends_of_claims(spark):
     jobs = spark.createDataFrame([(s, s, NOW) for s in ("executing", "publishing", "ds_scheduled", "sent")], "id string, status string, updated_at timestamp_ntz")
     got = {r.id: r.due and (r.due - NOW).total_seconds() for r in claims(jobs, 10).collect()}
     assert got == {"executing": 32, "publishing": 30, "ds_scheduled": 600, "sent": None}
+
+
+def test_stored_parts_follow_the_number_of_records(spark, monkeypatch):
+    from tidewatch.plans import anomaly_queries as Q
+
+    made = []
+
+    class Seen(Q.KeyedTable):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            made.append(self.buckets)
+
+    monkeypatch.setattr(Q, "KeyedTable", Seen)
+    monkeypatch.setattr(Q, "PART_ROWS", 50)
+    rows = Q.a18_indexed(spark, "/root/testdata/sf0.001").count()
+    records = Q.record_frame(spark, "/root/testdata/sf0.001").count()
+    assert made == [records // 50] and made[0] > 8 and rows > 0

@@ -356,6 +356,10 @@ A18_SQL = (
 )
 
 
+# Rows of a stored part, which one task writes.
+PART_ROWS = 100_000
+
+
 @query("a18_expire_due", A18_SQL)
 def a18(spark, sf):
     after, log = L.expire(record_frame(spark, sf).drop("event_type"), NOW)
@@ -369,8 +373,9 @@ def a18_indexed(spark, sf):
     """Deadlines from an index by day, the records looked up in their buckets and put back timed out."""
     folder = f"{scratch_dir(spark)}/due-{uuid.uuid4().hex}"
     records = record_frame(spark, sf).drop("event_type")
-    stored = KeyedTable(spark, f"{folder}/records", ["id"], newest_version, buckets=8)
-    stored.merge(materialise(records.withColumn("version", F.lit(0)), "records"))
+    first = materialise(records.withColumn("version", F.lit(0)), "records")
+    stored = KeyedTable(spark, f"{folder}/records", ["id"], newest_version, buckets=max(8, first.count() // PART_ROWS))
+    stored.merge(first)
     index = DueIndex(spark, f"{folder}/deadlines", 86_400)
     index.change(None, deadlines(records))
     due = index.due(NOW)
