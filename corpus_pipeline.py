@@ -51,6 +51,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = keyed(docs)
     index = decontam.build_index(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"), decontam.term_filter(table(spark, sf_dir, "benchmark")))
     hit = decontam.phrase_matches(index, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
+    # few against the rows: its measured size lets the join leave the texts where they are
+    hit = materialise(hit, "contaminated")
     return rows.join(hit, KEY, "left_anti").select(docs.columns)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import pick
+from tidewatch.llm.text import few, pick
 from tidewatch.plans.registry import query
 from tidewatch.session import table
 
@@ -213,7 +213,7 @@ def _encoded(name: str):
         encode = codec(name).encode
         rows = (
             (doc, encode(text or ""))
-            for part in parts
+            for part in few(parts)
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
         )
         yield from batches(schema, rows, lambda r: len(r[1]) // 4)
@@ -231,7 +231,7 @@ def _cut(name: str):
         cut = codec(name).leaves
         rows = (
             (row["doc_id"], row["digest"], row["copies"], i, kind, leaf)
-            for part in parts
+            for part in few(parts)
             for row in part.to_pylist()
             for i, (kind, leaf) in enumerate(cut(row["text"]))
         )
@@ -256,7 +256,7 @@ def _encode_leaves(name: str):
 
         rows = (
             (row["doc_id"], row["digest"], row["copies"], row["leaf"], row["kind"], ids(row))
-            for part in parts
+            for part in few(parts)
             for row in part.to_pylist()
         )
         yield from batches(schema, rows, lambda r: len(r[5]) // 4)
@@ -315,7 +315,7 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> Dat
         back = codec(vocabulary).decode
         rows = (
             (doc, ids, back(ids or b""))
-            for part in parts
+            for part in few(parts)
             for doc, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
         )
         yield from batches(schema, rows, lambda r: len(r[1] or b"") // 4)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import ALNUM, hashed_words, pick, utf8
+from tidewatch.llm.text import ALNUM, few, hashed_words, pick, utf8
 from tidewatch.plans.registry import query
 from tidewatch.session import materialise, table
 
@@ -72,6 +72,12 @@ def term_filter(items: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def _set(bits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether the packed bits of ``term_filter`` are set for the words."""
+    at = words >> np.uint64(64 - FILTER_BITS)
+    return np.uint64(128) >> (at & np.uint64(7)) & bits[at >> np.uint64(3)] > 0
+
+
 def build_index(docs: DataFrame, wanted: np.ndarray | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored positional index of all documents.
 
@@ -85,14 +91,8 @@ def build_index(docs: DataFrame, wanted: np.ndarray | None = None, doc_id: str =
         ("terms", pa.binary()), ("lists", pa.binary()), ("positions", pa.binary()),
     ])
 
-    def shard(number: int, ids: list, counts: list, hashes: list, wanted_bits) -> pa.RecordBatch:
-        counts_ = np.array(counts, dtype=np.int64)
-        firsts = np.concatenate([[0], np.cumsum(counts_ + GAP)[:-1]])
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        places = np.arange(len(words)) + np.repeat(GAP * np.arange(len(ids)), counts_)
-        if wanted_bits is not None:
-            keep = wanted_bits[words >> np.uint64(64 - FILTER_BITS)]
-            words, places = words[keep], places[keep]
+    def shard(number: int, ids: list, counts: list, firsts: list, hashes: list, held: list) -> pa.RecordBatch:
+        firsts, words, places = np.concatenate(firsts), np.concatenate(hashes), np.concatenate(held)
         order = np.argsort(words, kind="stable")
         words, places = words[order], places[order]
         at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
@@ -101,22 +101,32 @@ def build_index(docs: DataFrame, wanted: np.ndarray | None = None, doc_id: str =
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared.value is None else np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+        bits = None if shared.value is None else np.frombuffer(shared.value, dtype=np.uint8)
         number = TaskContext.get().partitionId() << 32
-        ids, counts, hashes, size = [], [], [], 0
-        for part in parts:
+        ids, counts, firsts, hashes, held, size, end_place = [], [], [], [], [], 0, 0
+        for part in few(parts):
             names = part.column(0).to_pylist()
             for first, end, upto, words in hashed_words(*utf8(part.column(1)), ALNUM):
+                own = np.diff(upto)
+                ends = end_place + np.cumsum(own + GAP)
+                starts = ends - own - GAP
+                places = np.arange(len(words)) + np.repeat(starts - upto[:-1], own)
+                size += len(words)
+                if bits is not None:
+                    keep = _set(bits, words)
+                    words, places = words[keep], places[keep]
                 ids += names[first:end]
-                counts += np.diff(upto).tolist()
+                counts += own.tolist()
+                firsts.append(starts)
                 hashes.append(words)
-                size += len(words)
+                held.append(places)
+                end_place = ends[-1]
                 if size >= SHARD_WORDS:
-                    yield shard(number, ids, counts, hashes, bits)
+                    yield shard(number, ids, counts, firsts, hashes, held)
                     number += 1
-                    ids, counts, hashes, size = [], [], [], 0
+                    ids, counts, firsts, hashes, held, size, end_place = [], [], [], [], [], 0, 0
         if ids:
-            yield shard(number, ids, counts, hashes, bits)
+            yield shard(number, ids, counts, firsts, hashes, held)
 
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return materialise(rows.mapInArrow(run, INDEX_SCHEMA), "positions")
@@ -218,7 +228,8 @@ def _search(index: DataFrame, items: DataFrame, match) -> DataFrame:
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items_ = shared.value
             queries = item_words([t for _, t in items_])
-            for part in parts:
+            # a shard at a time: a batch may hold many
+            for part in few(parts, 1):
                 for row in part.to_pylist():
                     shard, out = Shard(row), []
                     for (item, _), words in zip(items_, queries, strict=True):

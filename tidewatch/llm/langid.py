@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import fold, pick
+from tidewatch.llm.text import few, fold, pick
 from tidewatch.plans.registry import query
 from tidewatch.session import table
 
 UNKNOWN = "und"
 #: Length of the vectors and of the n-grams.
 DIMENSIONS, GRAM = 1024, 3
-#: n-gram vectors that a worker remembers, and those bound in one step.
-REMEMBERED, STEP = 32_768, 4_096
+#: n-gram vectors that a task remembers, those bound in one step, and rows of one batch.
+REMEMBERED, STEP, ROWS = 32_768, 4_096, 4_096
 #: Languages beyond this number are refused: prototypes go to every task.
 MOST_LANGUAGES = 10_000
 
@@ -78,7 +78,7 @@ def bind(packed: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """n-gram vectors a worker has bound already."""
+    """n-gram vectors a task has bound already."""
 
     def __init__(self):
         self.keys = np.zeros(0, dtype=np.int64)
@@ -110,11 +110,6 @@ class Memory:
         return total
 
 
-@functools.cache
-def _memory() -> Memory:
-    return Memory()
-
-
 def _steps(texts: list[str | None], size: int = 1 << 21) -> Iterator[tuple[int, list]]:
     """n-grams of consecutive texts, by about ``size`` characters."""
     first, held, chars = 0, [], 0
@@ -137,7 +132,7 @@ def prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for part in parts:
+        for part in few(parts, ROWS):
             names = part.column(1).to_pylist()
             for first, held in _steps(part.column(0).to_pylist()):
                 own = names[first:first + len(held)]
@@ -180,8 +175,8 @@ def identify(df: DataFrame, learned: dict[str, np.ndarray], text: str = "text",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        memory = _memory()
-        for part in parts:
+        memory = Memory()
+        for part in few(parts, ROWS):
             best, scores = [], []
             for _, held in _steps(part.column(at_text).to_pylist()):
                 memory.learn(np.unique(np.concatenate([p for p, _ in held])))

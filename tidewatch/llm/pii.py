@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import pick
+from tidewatch.llm.text import few, pick
 from tidewatch.plans.registry import query
 from tidewatch.session import table
 
@@ -394,7 +394,7 @@ def find(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, doc_
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few(parts):
             for first, texts in _steps(part, 1):
                 found = [
                     [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in spans]
@@ -422,7 +422,7 @@ def redact(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, te
     at = df.columns.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few(parts):
             for first, texts in _steps(part, at):
                 own = part.slice(first, len(texts))
                 clean = [masked(t, s) if s else t for t, s in zip(texts, all_spans(texts, shared.value), strict=True)]

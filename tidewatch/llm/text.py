@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes handled by one vectorised step; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 18
 
 #: Odd factor of the polynomial word hash and its inverse modulo 2**64.
 _FACTOR = 0x9E3779B97F4A7C15
@@ -50,6 +50,14 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def few(parts: Iterator[pa.RecordBatch], rows: int = 1 << 10) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that a copy of one stays small; gives back memory at the end."""
+    for part in parts:
+        for low in range(0, part.num_rows, rows):
+            yield part.slice(low, rows)
+    release()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
