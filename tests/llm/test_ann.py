@@ -82,3 +82,26 @@ def test_recall_beyond_the_first_round(spark, monkeypatch):
         sizes = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
         visited = [sizes[ann.visits(sizes, np.zeros(len(sizes)), a[q], b[q], dims, None)].sum() for q in range(0, n, 100)]
         assert max(visited) < n / 4  # the first round is a part of the table
+
+
+def test_cells_of_a_query_go_as_masks_of_patches():
+    patches, masks = ann._patches([17, 3, 16, 0, 800])
+    assert dict(zip(patches.tolist(), masks.tolist(), strict=True)) == {0: 0b1001, 2: 0b11, 100: 1}
+    assert [len(x) for x in ann._patches([])] == [0, 0]
+
+
+def test_a_query_is_sent_less_often_than_it_has_cells(spark, monkeypatch):
+    """Rows that carry a query's vector: at most one for a patch."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    sent = []
+    pack = ann._meet
+
+    def meet(index, cells, k):
+        sent.append((cells.count(), cells.select("query_id", "patch").distinct().count(), cells.selectExpr("sum(bit_count(cells))").first()[0]))
+        return pack(index, cells, k)
+
+    monkeypatch.setattr(ann, "_meet", meet)
+    rows = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4))
+    ann.search(rows, rows.filter("vec_id % 300 = 0")).collect()
+    assert len(sent) == 2 and all(a == b < c for a, b, c in sent)

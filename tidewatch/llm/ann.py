@@ -13,8 +13,9 @@ lists, in two rounds:
    product; SLACK spreads are allowed for. On clustered vectors this round ends soon, on
    vectors without structure it reads a good part of them; measured recall is in the README.
 
-Vectors and queries meet per cell, in packed blocks; each task keeps only the k nearest of
-every query. Equal vectors beyond the k+1 smallest ids are never among the k nearest and are
+Vectors and queries meet per patch of PATCH cells, in packed blocks: a query's vector is sent once
+per patch with a mask of the cells it visits there, and is compared with the vectors of these cells
+only. Each task keeps only the k nearest of every query. Equal vectors beyond the k+1 smallest ids are never among the k nearest and are
 left out before the shuffle, so a very common vector does not fill a cell.
 
 Nearness is Euclidean, in double precision, on the original vectors; ties go to the smaller
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import pick
+from tidewatch.llm.text import few, pick
 from tidewatch.plans.registry import query
 from tidewatch.session import materialise, table
 
 CENTROIDS, SAMPLE, FIRST, SLACK, K = 64, 20_000, 2_000, 3.5, 10
 #: Vectors and queries of a packed block, and the parts a cell is dealt to.
 BLOCK, PARTS = 2_048, 8
+#: Cells of a patch (at most 63: their mask is a long).
+PATCH = 8
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -87,7 +90,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def build(rows: DataFrame, books: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
-    """The stored index: blocks of a cell's vectors (cell, ids, vectors, residual)."""
+    """The stored index: blocks of a patch's vectors (patch, ids, cells, residuals, vectors), by cell."""
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = rows.withColumn("place", F.dense_rank().over(same)).filter(F.col("place") <= k + 1).drop("place")
     kept = kept.dropDuplicates(["vec_id", "vector"])
@@ -104,35 +107,36 @@ def build(rows: DataFrame, books: tuple[np.ndarray, np.ndarray], k: int = K) ->
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "cell", "residual"])
 
     placed = kept.mapInArrow(assign, "vec_id long, vector array<double>, cell long, residual double")
-    placed = placed.repartition(F.col("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).sortWithinPartitions("cell")
-    blocks = placed.mapInArrow(_pack(["vec_id", "residual"]), "cell long, n long, vec_id binary, residual binary, vectors binary")
+    placed = placed.withColumn("patch", F.floor(F.col("cell") / PATCH))
+    placed = placed.repartition(F.col("patch"), F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).sortWithinPartitions("patch", "cell")
+    blocks = placed.mapInArrow(_pack(["vec_id", "cell", "residual"]), "patch long, n long, vec_id binary, cell binary, residual binary, vectors binary")
     return materialise(blocks, "cells")
 
 
 def _pack(names: list[str]):
-    """Consecutive rows of a cell as one row of packed arrays."""
-    kinds = {"vec_id": np.int64, "query_id": np.int64, "residual": np.float64, "reach": np.float64}
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64()), *[(n, pa.binary()) for n in names], ("vectors", pa.binary())])
+    """Consecutive rows of a patch as one row of packed arrays."""
+    kinds = {"vec_id": np.int64, "query_id": np.int64, "cell": np.int64, "cells": np.int64, "residual": np.float64, "reach": np.float64}
+    schema = pa.schema([("patch", pa.int64()), ("n", pa.int64()), *[(n, pa.binary()) for n in names], ("vectors", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, size = None, [], 0
+        patch, held, size = None, [], 0
 
         def packed() -> pa.RecordBatch:
             values = [b"".join(h[i] for h in held) for i in range(len(names) + 1)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([cell, size, *values], schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([patch, size, *values], schema, strict=True)], schema=schema)
 
-        for part in parts:
-            cells = np.asarray(part.column("cell"))
+        for part in few(parts):
+            patches = np.asarray(part.column("patch"))
             x = _vectors(part.column("vector"))
             columns = [np.asarray(part.column(n)).astype(kinds[n]) for n in names]
-            cuts = np.flatnonzero(np.diff(cells)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
+            cuts = np.flatnonzero(np.diff(patches)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(patches)], strict=True):
                 if a == b:
                     continue
-                if held and (cell != cells[a] or size + b - a > BLOCK):
+                if held and (patch != patches[a] or size + b - a > BLOCK):
                     yield packed()
                     held, size = [], 0
-                cell = int(cells[a])
+                patch = int(patches[a])
                 for low in range(a, b, BLOCK):
                     high = min(low + BLOCK, b)
                     held.append([c[low:high].tobytes() for c in columns] + [x[low:high].tobytes()])
@@ -185,11 +189,20 @@ def visits(sizes: np.ndarray, residuals: np.ndarray, first: np.ndarray, second:
     return out
 
 
+def _patches(cells: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The patches of the cells, and for each the mask of those cells."""
+    if not cells:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cells = np.sort(np.array(cells, dtype=np.int64))
+    patches, first = np.unique(cells // PATCH, return_index=True)
+    return patches, np.bitwise_or.reduceat(np.int64(1) << cells % PATCH, first)
+
+
 def _meet(index: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, squared) of each query's nearest in its cells."""
-    packed = cells.repartition(F.col("cell"), F.pmod(F.xxhash64("query_id"), F.lit(PARTS))).sortWithinPartitions("cell")
-    packed = packed.mapInArrow(_pack(["query_id", "reach"]), "cell long, n long, query_id binary, reach binary, vectors binary")
-    packed = packed.select("cell", "query_id", "reach", F.col("vectors").alias("queries"))
+    packed = cells.repartition(F.col("patch"), F.pmod(F.xxhash64("query_id"), F.lit(PARTS))).sortWithinPartitions("patch")
+    packed = packed.mapInArrow(_pack(["query_id", "reach", "cells"]), "patch long, n long, query_id binary, reach binary, cells binary, vectors binary")
+    packed = packed.select("patch", "query_id", "reach", "cells", F.col("vectors").alias("queries"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("squared", pa.float64())])
 
     def nearest(found: list[tuple]) -> list[np.ndarray]:
@@ -202,20 +215,26 @@ def _meet(index: DataFrame, cells: DataFrame, k: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for part in parts:
+        # a pair of blocks at a time: a batch may hold many
+        for part in few(parts, 1):
             for row in part.to_pylist():
                 ids, qs = np.frombuffer(row["vec_id"], np.int64), np.frombuffer(row["query_id"], np.int64)
+                own, masks = np.frombuffer(row["cell"], np.int64), np.frombuffer(row["cells"], np.int64)
                 reach = np.frombuffer(row["reach"], np.float64)
                 x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
                 y = np.frombuffer(row["queries"], np.float64).reshape(len(qs), -1)
-                step = max(1, (1 << 20) // x.size)
-                for low in range(0, len(qs), step):
-                    apart = x[None] - y[low:low + step, None]
-                    squared = np.square(apart, out=apart).sum(axis=2)
-                    i, j = np.nonzero((squared <= reach[low:low + step, None]) & (ids[None] != qs[low:low + step, None]))
-                    if len(i):
-                        found.append((qs[low + i], ids[j], squared[i, j]))
-                        size += len(i)
+                cuts = (np.flatnonzero(np.diff(own)) + 1).tolist()
+                for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                    asking = np.flatnonzero(masks >> own[a] % PATCH & 1)
+                    step = max(1, (1 << 20) // x[a:b].size)
+                    for low in range(0, len(asking), step):
+                        some = asking[low:low + step]
+                        apart = x[None, a:b] - y[some, None]
+                        squared = np.square(apart, out=apart).sum(axis=2)
+                        i, j = np.nonzero((squared <= reach[some, None]) & (ids[None, a:b] != qs[some, None]))
+                        if len(i):
+                            found.append((qs[some[i]], ids[a + j], squared[i, j]))
+                            size += len(i)
                 if size > 1 << 19:
                     found = [tuple(nearest(found))]
                     size = len(found[0][0])
@@ -225,7 +244,7 @@ def _meet(index: DataFrame, cells: DataFrame, k: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in nearest(found)], schema=schema)
 
-    both = index.join(packed, "cell").select("vec_id", "vectors", "query_id", "reach", "queries")
+    both = index.join(packed, "patch").select("vec_id", "cell", "vectors", "query_id", "reach", "cells", "queries")
     return both.mapInArrow(run, "query_id long, vec_id long, squared double")
 
 
@@ -240,7 +259,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if books is None:
         return spark.createDataFrame([], empty)
     index = build(rows, books, k)
-    sums = index.mapInArrow(_sums, "cell long, n long, residual double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("residual").alias("r"))
+    sums = index.select("cell", "residual").mapInArrow(_sums, "cell long, n long, residual double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("residual").alias("r"))
     sizes = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     residuals = np.zeros(len(sizes))
     for r in sums.collect():  # at most CENTROIDS ** 2 rows
@@ -248,9 +267,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     shared = spark.sparkContext.broadcast((books, sizes, residuals))
 
     def cells(asked: DataFrame) -> DataFrame:
-        """(cell, query_id, reach, vector): the first round without ``reach``, else the second."""
+        """(patch, query_id, reach, cells, vector): the first round without ``reach``, else the second."""
         second_round = "reach" in asked.columns
-        schema = pa.schema([("cell", pa.int64()), ("query_id", pa.int64()), ("reach", pa.float64()), ("vector", pa.list_(pa.float64()))])
+        schema = pa.schema([("patch", pa.int64()), ("query_id", pa.int64()), ("reach", pa.float64()), ("cells", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (first, second), sizes_, residuals_ = shared.value
@@ -260,17 +279,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     x = _vectors(some.column("vector"))
                     a, b = _squared(x[:, :first.shape[1]], first), _squared(x[:, first.shape[1]:], second)
                     reach = some.column("reach").to_pylist() if second_round else [None] * len(x)
-                    found = [visits(sizes_, residuals_, a[i], b[i], x.shape[1], reach[i]) for i in range(len(x))]
-                    at = np.repeat(np.arange(len(x)), [len(f) for f in found])
+                    found = [_patches(visits(sizes_, residuals_, a[i], b[i], x.shape[1], reach[i])) for i in range(len(x))]
+                    at = np.repeat(np.arange(len(x)), [len(f) for f, _ in found])
                     if not len(at):
                         continue
                     limits = np.array([np.inf if r is None else r for r in reach])[at]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([np.array(f, dtype=np.int64) for f in found])), some.column("vec_id").take(pa.array(at)),
-                        pa.array(limits), some.column("vector").take(pa.array(at)),
+                        pa.array(np.concatenate([f for f, _ in found])), some.column("vec_id").take(pa.array(at)),
+                        pa.array(limits), pa.array(np.concatenate([m for _, m in found])), some.column("vector").take(pa.array(at)),
                     ], schema=schema)
 
-        return asked.mapInArrow(run, "cell long, query_id long, reach double, vector array<double>")
+        return asked.mapInArrow(run, "patch long, query_id long, reach double, cells long, vector array<double>")
 
     # a walk takes far longer than its row is wide, so queries are dealt out by number, not by size
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -290,9 +309,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def _sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        left = [float(np.frombuffer(r, np.float64).sum()) for r in part.column("residual").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("cell"), part.column("n"), pa.array(left, pa.float64())], names=["cell", "n", "residual"])
+    for part in few(parts):
+        cells, left = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("cell", np.int64), ("residual", np.float64)))
+        cells, at = np.unique(cells, return_inverse=True)
+        columns = [pa.array(cells), pa.array(np.bincount(at)), pa.array(np.bincount(at, left))]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", "residual"])
 
 
 @query("op4_nearest_neighbours")
