@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, decontam, langid, pii, setjoin
-from tidewatch.session import materialise, table
+from tidewatch.session import discard, materialise, step, table
 
 #: A text of at least this many characters that is this far from every language is rejected.
 REJECT_CHARS, REJECT_COSINE = 400, 0.1
@@ -42,8 +42,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = rows.select(KEY, "doc_id").distinct().join(classes, KEY)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
     heads = named.groupBy("component_id").agg(F.min_by(KEY, order).alias("head")).select(F.col("head").alias(KEY))
-    kept = rows.join(heads, KEY, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    kept = rows.join(step(heads, "heads"), KEY, "left_semi")
+    # KEY follows from the two, and copies are together by it since the join: texts move once
+    return kept.dropDuplicates([KEY, "doc_id", "text"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     index = decontam.build_index(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"), decontam.term_filter(table(spark, sf_dir, "benchmark")))
     hit = decontam.phrase_matches(index, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
     # few against the rows: its measured size lets the join leave the texts where they are
-    hit = materialise(hit, "contaminated")
+    hit = step(hit, "contaminated")
+    discard(index)
     return rows.join(hit, KEY, "left_anti").select(docs.columns)
 
 
@@ -83,7 +85,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,6 +37,17 @@ def test_one_document_of_each_class_stays(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted({c for _, _, c in classes(rows, P.SHINGLE, P.PERCENT)})
 
 
+def test_texts_move_once_behind_the_classes(spark, stages):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = P.near_copies(spark, stages[1], SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == 2
+
+
 def test_contaminated_documents_go(spark, stages):
     runs = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():

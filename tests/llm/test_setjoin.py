@@ -1,12 +1,16 @@
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import HARD, empty, hard
 from tidewatch.llm import setjoin
+from tidewatch.session import DROP_SHUFFLES, scratch_dir, step
 
 
 def shingles(text, size):
@@ -100,3 +104,52 @@ def test_hard_cases(spark):
     got = Counter(tuple(r) for r in setjoin.linked_classes(hard(spark)).collect())
     assert got == brute([(i, t) for i, t, _ in HARD], 4, 85)
     assert setjoin.linked_classes(empty(spark)).count() == 0
+
+
+def test_a_block_of_one_shingle_hardly_ever_meets_another_by_chance():
+    rng = np.random.default_rng(5)
+    keys = [setjoin.block_keys(np.unique(rng.integers(0, 1 << 64, 24, dtype=np.uint64)), 85) for _ in range(20_000)]
+    every = np.concatenate(keys)
+    assert len(np.unique(every)) == len(every)
+
+
+def stored(spark):
+    """Names of the tables in the scratch folder."""
+    folder = scratch_dir(spark).removeprefix("file:")
+    return Counter(d.rsplit("-", 5)[0] for d in os.listdir(folder)) if os.path.isdir(folder) else Counter()
+
+
+def test_tables_of_the_steps_go(spark):
+    df = spark.createDataFrame(made(3, 30), "doc_id long, text string")
+    before = stored(spark)
+    out = setjoin.linked_classes(df)
+    assert set(stored(spark) - before) == {"members", "classes", "labels"}
+    assert Counter(map(tuple, out.collect())) == brute(made(3, 30), setjoin.SHINGLE, setjoin.PERCENT)
+
+
+def test_shuffle_files_of_a_step_go(spark):
+    kept = spark.conf.get(DROP_SHUFFLES)
+    folders = [str(b) for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def files():
+        return {f for top in folders for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    step(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")), "few")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(DROP_SHUFFLES) == kept
+
+
+def test_long_sets_apart_are_told_by_their_sketch(spark, monkeypatch):
+    """Sets that share words of a block, but are far apart, are not read again."""
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(3000))
+    docs = [(i, common + " " + " ".join(f"w{rng.randint(0, 1 << 40)}" for _ in range(4000))) for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked, verified = [], setjoin._verified
+    monkeypatch.setattr(setjoin, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    assert Counter(map(tuple, setjoin.linked_classes(df, shingle=5, percent=80).collect())) == brute(docs, 5, 80)
+    assert sum(asked) == 0

@@ -21,7 +21,7 @@ are. A set is first compared with the first sets of most of its blocks, and what
 contracted. Then, ROUNDS times, one set of each class in a block is compared with one of the largest class there.
 What still is in different classes is joined in full, and of two classes a few pairs are tried before the others. Candidates pass a sketch of the
 whole sets, of four bits a shingle, and are verified on the sets, which are read again for those that have
-candidates only. Classes do not depend on which of several equal copies is taken.
+candidates only. A step's tables and shuffle files are removed once the next is written. Classes do not depend on which of several equal copies is taken.
 
 Defined results: a null text, and one without words, has an empty set, links with nothing
 and is a class of its own; a null doc_id is ignored as a class id where others exist;
@@ -42,16 +42,17 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.text import SPACED, hashed_words, mix, pick, release, shingle_hashes, utf8
 from tidewatch.plans.registry import query
-from tidewatch.session import materialise, table
+from tidewatch.session import discard, step, table
 
 #: Words of a shingle and least percentage of the union for the registered query.
 SHINGLE, PERCENT = 4, 85
 #: Seeds of the block sketches, least spare blocks for empty ones (a share of the others).
 SEEDS, SPARE = 4, 0.07
-#: Bits that a shingle can toggle in a block; least and most words of the sketch of a whole
+#: Bits that a shingle can toggle in a block (so many that blocks of a single shingle hardly ever
+#: meet by chance, whatever the number of sets); least and most words of the sketch of a whole
 #: set, which has four bits a shingle (a set beyond the most still gets a valid bound), and most words
 #: of the one that goes with each block of a set.
-BLOCK_BITS, SKETCH_WORDS, MOST_WORDS, CARRIED_WORDS = 1 << 20, 8, 4096, 32
+BLOCK_BITS, SKETCH_WORDS, MOST_WORDS, CARRIED_WORDS = 1 << 32, 8, 4096, 32
 #: Rows of a batch looked at in one step.
 ROWS = 512
 #: Size of the bit field that picks the texts to read again, rounds of contraction, pairs that a
@@ -267,10 +268,10 @@ def _may_link(percent: int, a: str, b: str, sketch: str = "sketch") -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set names that link."""
-    pairs = materialise(pairs, "pairs")
+    pairs = step(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     holders = nodes.select("fp", "holder").join(needed, "fp", "left_semi").select(F.col("holder").alias("doc_id"))
-    sets = materialise(_set_rows(docs, shingle, _bits(holders)), "sets")
+    sets = step(_set_rows(docs, shingle, _bits(holders)), "sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -286,7 +287,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([part.column("a").filter(kept), part.column("b").filter(kept)], schema=schema)
 
     # a set may have been read from two documents; a link counts once
-    return materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = step(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,41 +299,47 @@ def components(links: DataFrame) -> DataFrame:
     label, so labels travel along chains in a logarithmic number of rounds.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    both = step(both, "edges")
+    labels = step(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        step = materialise(step, "labels")
-        jump = step.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        after = step.join(jump, "root", "left").select("v", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
-        after = materialise(after, "labels")
+        told = step(labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("old")), "labels")
+        jump = told.select(F.col("v").alias("root"), F.col("root").alias("further"))
+        after = step(told.join(jump, "root", "left").select("v", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "labels")
+        discard(labels, told)
         if after.filter("root <> old").isEmpty():
+            discard(both)
             return after.select("v", "root")
-        labels = after.select("v", "root")
+        labels = after
 
 
 def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = pick(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    drawn = materialise(sketches(docs, shingle, percent, with_keys=False).drop("keys"), "sketches")
+    # the blocks before all else: nothing is stored yet beside their shuffle, the largest
+    block = Window.partitionBy("k")
+    met = sketches(docs, shingle, percent).select(F.explode("keys").alias("k"), "fp")
+    met = met.withColumns({"lead": F.min("fp").over(block), "last": F.max("fp").over(block)}).filter("lead < last")
+    met = step(met.select("k", "fp", "lead").distinct(), "blocks")
+
+    drawn = step(sketches(docs, shingle, percent, with_keys=False).drop("keys"), "sketches")
     # equal sets: one node each, with the sketch of whichever task gave one
     nodes = drawn.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("holder"), F.first("n").alias("n"),
         *[F.max(F.when(F.size(c) > 0, F.col(c))).alias(c) for c in ("short", "carried", "sketch")],
     )
-    nodes = materialise(nodes, "nodes")
-
-    block = Window.partitionBy("k")
-    met = sketches(docs, shingle, percent).select(F.explode("keys").alias("k"), "fp")
-    met = met.withColumns({"lead": F.min("fp").over(block), "last": F.max("fp").over(block)}).filter("lead < last")
-    met = materialise(met.select("k", "fp", "lead").distinct(), "blocks")
+    nodes = step(nodes, "nodes")
+    members = step(drawn.select("doc_id", "fp", F.col("n").alias("n_shingles")), "members")
+    discard(drawn)
 
     def side(end: str) -> DataFrame:
         return nodes.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "short", "sketch")])
 
     def fits(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, "a", "b")).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, "a", "b")).select(pairs.columns)
+
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.union, tables)
 
     def closest(pairs: DataFrame) -> DataFrame:
         """A few pairs per set: with the leads of most of its blocks."""
@@ -349,47 +358,52 @@ def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         known = with_roots(met.select("k", "fp"), roots)
         known = known.withColumns({"low": F.min("root").over(block), "high": F.max("root").over(block)}).filter("low < high")
         known = known.select("k", "fp", "root").join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        return materialise(known.select("k", "fp", "root", "size"), "open-blocks")
+        return step(known.select("k", "fp", "root", "size"), "open-blocks")
 
     # first each set with a few leads, then, round by round, a set of each class in a block with one of the largest class
-    links = _verified(fits(closest(met.filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")))), docs, nodes, shingle, percent)
-    known = open_blocks(links)
+    found = [_verified(fits(closest(met.filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")))), docs, nodes, shingle, percent)]
+    known = open_blocks(all_of(found))
     for _ in range(ROUNDS):
         heads = known.groupBy("k", "root", "size").agg(F.min("fp").alias("b"))
         lead = F.min(F.struct(-F.col("size"), F.col("b"))).over(block)
         pairs = heads.withColumn("a", lead["b"]).filter("a <> b").select("a", "b")
-        links = links.union(_verified(fits(closest(pairs)), docs, nodes, shingle, percent))
-        known = open_blocks(links)
+        found.append(_verified(fits(closest(pairs)), docs, nodes, shingle, percent))
+        discard(known)
+        known = open_blocks(all_of(found))
 
     # at last all members of a block that are not in one class
     # (a pair is told by its first common block, which no earlier block of both precedes, and
     # by few of the others: those whose EARLIER blocks before have none in common)
     own = Window.partitionBy("fp").orderBy("k")
-    known = known.withColumn("earlier", F.array(*[F.coalesce(F.lag("k", i).over(own), F.col("fp")) for i in range(1, EARLIER + 1)]))
+    told = known.withColumn("earlier", F.array(*[F.coalesce(F.lag("k", i).over(own), F.col("fp")) for i in range(1, EARLIER + 1)]))
     # the wider sketch goes along, so that of a large group of near copies only those close to the threshold leave the join
-    known = materialise(known.join(nodes.select("fp", "n", "short", "carried"), "fp"), "open-sets")
+    told = step(told.join(nodes.select("fp", "n", "short", "carried"), "fp"), "open-sets")
+    discard(met, known)
     columns = ("fp", "root", "n", "short", "carried", "earlier")
-    sides = [known.select("k", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
+    sides = [told.select("k", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
     apart = sides[0].join(
         sides[1],
         (sides[0]["k"] == sides[1]["k"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent, "a", "b", "carried")
         & ~F.arrays_overlap("earlier_a", "earlier_b"),
     )
-    rest = materialise(apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "root_a", "root_b").distinct(), "rest")
+    # long sets fill the sketch that went along, and any two pass it: the one that follows their size tells before sets are read
+    rest = step(fits(apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "root_a", "root_b").distinct()), "rest")
+    discard(told)
     # of two classes a few pairs first: if one links, the others of these classes need not be looked at
     place = Window.partitionBy("root_a", "root_b").orderBy(F.xxhash64("a", "b"))
     few = rest.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= LEADS).select("a", "b")
-    links = links.union(_verified(few, docs, nodes, shingle, percent))
-    roots = components(links)
+    found.append(_verified(few, docs, nodes, shingle, percent))
+    roots = components(all_of(found))
     left = with_roots(with_roots(rest.select("a", "b"), roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b")
-    links = links.union(_verified(left.select("a", "b"), docs, nodes, shingle, percent))
-    roots = components(links)
+    found.append(_verified(left.select("a", "b"), docs, nodes, shingle, percent))
+    roots = components(all_of(found))
 
     classes = nodes.select("fp", "holder").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
-    classes = materialise(classes.select("fp", "holder", F.coalesce("root", "fp").alias("root")), "classes")
+    classes = step(classes.select("fp", "holder", F.coalesce("root", "fp").alias("root")), "classes")
+    discard(nodes, rest, *found)
     heads = classes.groupBy("root").agg(F.min("holder").alias("component_id"))
     named = classes.select("fp", "root").join(heads, "root").select("fp", "component_id")
-    return drawn.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(named, "fp", "left").select(
+    return members.join(named, "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 

@@ -70,12 +70,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+#: Shuffle files go once the query that made them is done.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` for one of many steps: the shuffle files behind it go at once.
+
+    Otherwise they stay until the driver happens to collect its garbage. For a plan
+    of its own only: what is cached or read by another query keeps its files.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(DROP_SHUFFLES, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` or ``step`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's intermediate tables once nothing reads them."""
     path = _SCRATCH.pop(spark.sparkContext.applicationId, None)
     if path:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        _delete(spark, path)
